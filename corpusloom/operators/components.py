@@ -1,0 +1,30 @@
+"""Connected components by minimum labels with pointer jumping."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corpusloom.storage import materialize
+
+
+def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """node, component (the smallest node reachable), for every end of ``edges`` (a, b: long).
+
+    Every round takes the least label of the neighbours and then the label of that label, so the
+    number of rounds grows with the logarithm of the longest chain. Labels and edges are tables;
+    only the number of changed labels comes to the driver. Rows with a null end are ignored.
+    """
+    pairs = edges.select("a", "b").where("a is not null and b is not null and a <> b")
+    both = materialize(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
+    labels = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l")).withColumnRenamed("a", "node"), "cc-labels")
+    for _ in range(rounds):
+        near = both.join(labels.select(F.col("node").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("m"))
+        met = labels.join(near, labels["node"] == near["a"]).select("node", F.least("l", "m").alias("k"), F.col("l").alias("old"))
+        jump = labels.select(F.col("node").alias("k"), F.col("l").alias("k_label"))
+        step = met.join(jump, "k").select("node", F.least("k", "k_label").alias("l"), "old")
+        step = materialize(step, "cc-labels")
+        labels = step.select("node", "l")
+        if step.where("l <> old").isEmpty():
+            break
+    return labels.select("node", F.col("l").alias("component"))
