@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat_format, fingerprints, mixing, packing, secrets, topk
+from corpusloom.llm import chat_format, fingerprints, mixing, near_dedup, packing, secrets, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -162,6 +162,10 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), n=2, threshold=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
@@ -170,6 +174,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_fingerprints": op6_fingerprints,
         "op7_mixing": op7_mixing,
         "op8_secrets": op8_secrets,
+        "op9_near_dedup": op9_near_dedup,
     }
 
 
