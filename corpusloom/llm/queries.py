@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat_format, fingerprints, mixing, near_dedup, packing, secrets, topk
+from corpusloom.llm import chat_format, fingerprints, mixing, near_dedup, packing, quality, secrets, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -166,15 +166,38 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), n=2, threshold=80)
 
 
+def _scored(scores: DataFrame, modulus: int, remainder: int) -> DataFrame:
+    return scores.select(
+        "doc_id",
+        toxicity.held_out(modulus, remainder).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.learn(docs, labels.where(~toxicity.held_out(3, 1)))
+    return _scored(quality.score(docs, model), 3, 1)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.learn(docs, labels.where(~toxicity.held_out(5, 0)))
+    return _scored(toxicity.score(docs, model), 5, 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
+        "op3_quality": op3_quality,
         "op4_packing": op4_packing,
         "op5_topk": op5_topk,
         "op6_fingerprints": op6_fingerprints,
         "op7_mixing": op7_mixing,
         "op8_secrets": op8_secrets,
         "op9_near_dedup": op9_near_dedup,
+        "op10_toxicity": op10_toxicity,
     }
 
 
