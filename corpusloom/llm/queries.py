@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat_format, fingerprints, mixing, near_dedup, packing, quality, secrets, topk, toxicity
+from corpusloom.llm import chat_format, fingerprints, mixing, near_dedup, packing, quality, secrets, substring_dedup, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -166,6 +166,10 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), n=2, threshold=80)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def _scored(scores: DataFrame, modulus: int, remainder: int) -> DataFrame:
     return scores.select(
         "doc_id",
@@ -190,6 +194,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
+        "op2_substring_dedup": op2_substring_dedup,
         "op3_quality": op3_quality,
         "op4_packing": op4_packing,
         "op5_topk": op5_topk,
