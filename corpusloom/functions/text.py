@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Punctuation that becomes a space, and the CJK ranges that tokens keep.
 CJK_PUNCTUATION = "，。；：、（）《》\"'【】「」　"
@@ -21,7 +22,7 @@ def strip_ws(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc(text: pd.Series) -> pd.Series:
     import unicodedata
 

@@ -12,6 +12,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.functions import rules
 from corpusloom.functions.text import strip_ws
@@ -141,7 +142,10 @@ def merge_numbers(lines: list[str], parity: bool = False) -> tuple[list[str], in
     return out, merged
 
 
-@F.pandas_udf("text string, contents_table_lines int, spaced_latin int, isolated_numbers int")
+_CLEANED = T.StructType([T.StructField("text", T.StringType()), *[T.StructField(n, T.IntegerType()) for n in ("contents_table_lines", "spaced_latin", "isolated_numbers")]])
+
+
+@F.pandas_udf(_CLEANED)
 def ordered_clean(text: pd.Series) -> pd.DataFrame:
     rows = []
     for t in text:
