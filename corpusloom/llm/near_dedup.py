@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators.components import connected_components
+from corpusloom.operators.prefilter import may_match
 from corpusloom.storage import materialize
 
 TREES, DEPTH, DEEP, DENSE = 24, 5, 10, 32
@@ -132,15 +133,15 @@ def forest_candidates(classes: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """id, set (sorted 64-bit hashes): the sets of the documents named in ids."""
+    """id, set (sorted 64-bit hashes): the sets of the documents named in ids. No text is shuffled."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         np.seterr(over="ignore")
         for batch in batches:
             yield pd.DataFrame({"id": batch["id"], "set": [shingle_set(t, n).tobytes() for t in batch["text"].tolist()]})
 
-    named = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
-    return named.mapInPandas(run, "id long, set binary")
+    named = may_match(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), "id", ids, "id")
+    return named.mapInPandas(run, "id long, set binary").join(ids, "id", "left_semi")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, floor: float) -> DataFrame:
