@@ -149,7 +149,34 @@ after AS (SELECT *, CASE WHEN status <> 'needs_second_retrieval' THEN status WHE
 _ISSUES = f"""{_BASE}, {_rrf('lists', 40)}, hits AS (SELECT *, CASE WHEN chunk_id % 2 = 0 THEN 'path' ELSE 'gaps' END AS issue_id FROM fused),
 plan AS (SELECT query_id AS case_id, unnest(['path', 'gaps']) AS issue_id FROM asked)"""
 
+_LINES = r"""ln AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\r\n?|[\n\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]'), lambda x: regexp_replace(x, '^[\s\x0B\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{3000}]+|[\s\x0B\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{3000}]+$', '', 'g')), lambda x: x <> '' AND lower(x) NOT IN ('<!-- image -->', '<!--image-->')) AS ls FROM documents),
+lv AS (SELECT doc_id, i, line, CASE WHEN regexp_matches(line, '^#{1,6}\s+\S') THEN length(regexp_extract(line, '^(#+)', 1)) WHEN regexp_matches(line, '^\d+(?:\.\d+){0,4}[.、]?\s+[^。]{1,80}$') THEN least(6, length(regexp_extract(line, '^(\d+(?:\.\d+){0,4})', 1)) - length(replace(regexp_extract(line, '^(\d+(?:\.\d+){0,4})', 1), '.', '')) + 1)
+ WHEN regexp_matches(line, '^[一二三四五六七八九十]+、.{1,80}$') THEN 1 WHEN regexp_matches(line, '^（[一二三四五六七八九十]+）.{1,80}$') THEN 2 WHEN starts_with(line, '行业领域') AND length(line) <= 80 THEN 1 END AS level
+ FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM ln))"""
+_PLAN = f"""{_FACTS}, f2 AS (SELECT *, 'case ' || case_id AS question, 'case ' || case_id || ' ' || text AS ctx, coalesce(cross_border_transfer, false) AS abroad, list_filter(['article', 'pronoun', 'preposition'], lambda x: list_contains(dt, x)) AS types,
+ concat_ws(' ', CASE WHEN cross_border_transfer AND overseas_recipient IS NULL THEN 'overseas_recipient' END, CASE WHEN consent0 IS NULL THEN 'legal_basis_or_consent' END, CASE WHEN cross_border_transfer AND NOT has_volume THEN 'data_volume_threshold' END, CASE WHEN processing_purpose IS NULL THEN 'processing_purpose' END, CASE WHEN len(dt) = 0 THEN 'data_types' END) AS missing FROM f1),
+raw AS (
+ SELECT case_id, 0 AS pos, 'legal_issue' AS query_type, question AS text FROM f2
+ UNION ALL SELECT case_id, 1, 'material_fact', concat_ws(' ', CASE WHEN abroad THEN 'export' END, nullif(array_to_string(types, ' '), ''), overseas_recipient, CASE WHEN sensitive_personal_info THEN 'sensitive' END) FROM f2 WHERE abroad OR len(types) > 0 OR overseas_recipient IS NOT NULL OR sensitive_personal_info
+ UNION ALL SELECT case_id, 2, 'region_condition', region || ' list' FROM f2 WHERE region IS NOT NULL AND (contains(ctx, 'keit') OR contains(ctx, 'ou'))
+ UNION ALL SELECT case_id, 3, 'industry_condition', industry || CASE WHEN abroad THEN ' export' ELSE ' security' END || ' rules' FROM f2 WHERE industry IS NOT NULL AND (contains(ctx, 'th') OR contains(ctx, 'ch'))
+ UNION ALL SELECT case_id, 4, 'legal_issue', 'assessment conditions' FROM f2 WHERE contains(ctx, 'tion') OR contains(ctx, 'heit')
+ UNION ALL SELECT case_id, 5, 'legal_issue', 'standard contract' FROM f2 WHERE contains(ctx, 'er') AND abroad AND contains(ctx, 'th')
+ UNION ALL SELECT case_id, 6, 'missing_information', missing FROM f2 WHERE missing <> ''
+), planned AS (SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY pos) AS qpos, query_type, text FROM raw)"""
+
 ORACLES = {
+    "dedupe_title_lines": f"""WITH {_CORPUS}, l AS (SELECT doc_id, title, unnest(string_split(text, E'\\n')) AS line, generate_subscripts(string_split(text, E'\\n'), 1) AS i FROM corpus), st AS (SELECT *, trim(line, E' \\t\\r\\f') AS stripped FROM l),
+n AS (SELECT *, stripped = title AND title <> '' AND row_number() OVER (PARTITION BY doc_id, stripped = title ORDER BY i) > 1 AS again, {_RULE_CASE.replace('(line,', '(stripped,')} AS rule FROM st)
+SELECT doc_id, count(*) FILTER (again) AS n_dropped, md5(coalesce(string_agg(line, E'\\n' ORDER BY i) FILTER (NOT again AND rule IS NULL), '')) AS digest FROM n GROUP BY doc_id""",
+    "heading_depth_hist": f"WITH {_LINES} SELECT CAST(coalesce(level, 0) AS BIGINT) AS level, count(*) AS n FROM lv GROUP BY ALL",
+    "heading_units": f"WITH {_LINES}, u AS (SELECT *, sum(CASE WHEN level IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM lv) SELECT doc_id, CAST(k AS BIGINT) AS unit_no, CAST(max(level) AS BIGINT) AS level, count(*) AS n_lines FROM u GROUP BY doc_id, k",
+    "query_plan": f"WITH {_PLAN} SELECT case_id, 'q_' || qpos AS query_id, query_type, text FROM planned",
+    "query_plan_merge": f"""WITH {_PLAN}, every AS (SELECT case_id, 0 AS plan_pos, qpos, query_type, text FROM planned UNION ALL SELECT case_id, 1, qpos, query_type, ' ' || upper(text) FROM planned UNION ALL SELECT case_id, 1, 99, query_type, 'second opinion' FROM planned WHERE qpos = 1),
+one AS (SELECT *, row_number() OVER (PARTITION BY case_id, query_type, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) ORDER BY plan_pos, qpos) AS n FROM every)
+SELECT case_id, 'q_' || row_number() OVER (PARTITION BY case_id ORDER BY plan_pos, qpos) AS query_id, query_type, text FROM one WHERE n = 1""",
+    "issue_plan": f"""WITH {_PLAN}, g AS (SELECT *, CASE query_type WHEN 'legal_issue' THEN 'path' WHEN 'material_fact' THEN 'facts' WHEN 'missing_information' THEN 'gaps' ELSE 'conditions' END AS issue_id FROM planned)
+SELECT case_id, issue_id, row_number() OVER (PARTITION BY case_id ORDER BY min(qpos)) AS issue_pos, string_agg('q_' || qpos, ',' ORDER BY qpos) AS query_ids FROM g GROUP BY case_id, issue_id""",
     "normalize_text_stats": f"SELECT doc_id, length(n) AS n_chars, len(regexp_extract_all(n, '[a-z0-9]+')) AS n_tokens, md5(n) AS digest FROM (SELECT doc_id, {norm('text')} AS n FROM documents)",
     "token_sets": f"SELECT token, count(*) AS n_docs, min(doc_id) AS first_doc FROM (SELECT doc_id, unnest({tokens('text')}) AS token FROM documents) GROUP BY token",
     "keyword_topk": f"WITH {_CORPUS}, {_BODY}, {_TITLES}, {_PHRASE}, {_weighted([('body', 1.0), ('title_p', 2.5)], True)} {_TOP.format(s='scored', k=10)}",
