@@ -194,12 +194,18 @@ def clean_control_and_space(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.length(t).cast("long").alias("n_chars"), F.md5(t).alias("digest"))
 
 
+def _dirty(spark: SparkSession, d: str) -> DataFrame:
+    """documents as an extractor might leave them: sentence ends as blank runs, commas as table dividers."""
+    text = F.replace(F.replace("text", F.lit(". "), F.lit(".  \n\n\n")), F.lit(", "), F.lit("\n|---|\n"))
+    return table(spark, d, "documents").select("doc_id", text.alias("text"))
+
+
 def clean_rule_hits(spark: SparkSession, d: str) -> DataFrame:
-    return clean.rule_hits(table(spark, d, "documents")).select("doc_id", "rule", F.col("n").cast("long").alias("n"))
+    return clean.rule_hits(_dirty(spark, d)).select("doc_id", "rule", F.col("n").cast("long").alias("n"))
 
 
 def rule_hit_totals(spark: SparkSession, d: str) -> DataFrame:
-    return clean.rule_hits(table(spark, d, "documents")).groupBy("rule").agg(F.sum("n").alias("n"))
+    return clean.rule_hits(_dirty(spark, d)).groupBy("rule").agg(F.sum("n").alias("n"))
 
 
 def dedupe_title_lines(spark: SparkSession, d: str) -> DataFrame:

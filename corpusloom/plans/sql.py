@@ -113,11 +113,11 @@ _RULES = {
     "web_boilerplate_lines": r"^Title:\s+|^URL Source:\s+|^Markdown Content:\s*$|^\*?\s*!\[Image\b|^\[!\[Image\b|^Produced By CMS",
 }
 _RULE_CASE = "CASE " + " ".join(f"WHEN regexp_matches(line, '{p}') THEN '{n}'" for n, p in _RULES.items()) + " END"
-_RULE_HITS = rf"""hits AS (
-  SELECT doc_id, 'control_chars' AS rule, len(regexp_extract_all({_CLEAN}, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]')) AS n FROM documents
-  UNION ALL SELECT doc_id, 'trailing_spaces', len(regexp_extract_all({_CLEAN}, '[ \t]+\n')) FROM documents
-  UNION ALL SELECT doc_id, 'blank_runs', len(regexp_extract_all({_CLEAN}, '\n{{3,}}')) FROM documents
-  UNION ALL SELECT doc_id, {_RULE_CASE}, count(*) FROM (SELECT doc_id, trim(unnest(string_split({_CLEAN}, E'\n')), E' \t\r\f') AS line FROM documents) GROUP BY ALL)"""
+_RULE_HITS = rf"""dirty AS (SELECT doc_id, replace(replace(text, '. ', E'.  \n\n\n'), ', ', E'\n|---|\n') AS text FROM documents), hits AS (
+  SELECT doc_id, 'control_chars' AS rule, len(regexp_extract_all({_CLEAN}, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]')) AS n FROM dirty
+  UNION ALL SELECT doc_id, 'trailing_spaces', len(regexp_extract_all({_CLEAN}, '[ \t]+\n')) FROM dirty
+  UNION ALL SELECT doc_id, 'blank_runs', len(regexp_extract_all({_CLEAN}, '\n{{3,}}')) FROM dirty
+  UNION ALL SELECT doc_id, {_RULE_CASE}, count(*) FROM (SELECT doc_id, trim(unnest(string_split({_CLEAN}, E'\n')), E' \t\r\f') AS line FROM dirty) GROUP BY ALL)"""
 _MATERIAL = "m AS (SELECT conv_id AS case_id, string_agg(coalesce(text, ''), E'\\n' ORDER BY turn, coalesce(text, '')) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id)"
 _FACTS = rf"""{_MATERIAL}, f0 AS (
   SELECT case_id, text, CASE WHEN contains(text, 'tion') THEN 'tion' WHEN contains(text, 'eaux') THEN 'eaux' WHEN contains(text, 'ung') THEN 'ung' END AS overseas_recipient FROM m
