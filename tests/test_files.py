@@ -4,6 +4,7 @@ from pyspark.sql import types as T
 
 from corpusloom.operators import components, prefilter, tables
 from corpusloom.sources import files
+from corpusloom.storage import materialize, release
 from corpusloom.streaming import ingest
 
 S = T.StructType([T.StructField("chunk_id", T.StringType()), T.StructField("n", T.LongType())])
@@ -76,3 +77,13 @@ def test_stream_matches_batch(spark, tmp_path):
     q = ingest.run_available(stream, f"{tmp_path}/out", f"{tmp_path}/cp", lambda b: b.withColumn("n", F.length("text")), "doc_id")
     q.awaitTermination(60)
     assert spark.read.parquet(f"{tmp_path}/out").select("doc_id").distinct().count() == 20
+
+
+def test_release(spark):
+    from corpusloom.storage import shared_dir
+
+    release(spark)
+    t = materialize(spark.range(3).toDF("n"), "probe")
+    path = t.inputFiles()[0].rsplit("/", 1)[0]
+    assert path.split("file:")[-1].lstrip("/").startswith(shared_dir(spark).lstrip("/")) and files.exists(spark, path)
+    assert release(spark) == 1 and not files.exists(spark, path)
