@@ -10,6 +10,7 @@ from corpusloom.functions.text import html_to_text, jaccard, mock_embedding, nor
 from corpusloom.operators import chunk, clean, evaluate, policy, rank, report, retrieve, review, tables
 from corpusloom.plans.sql import ORACLES
 from corpusloom.sources.bindings import corpus, queries as asked, table
+from corpusloom.storage import materialize
 from corpusloom.streaming import ingest
 
 FIELDS = {"body": "text", "title": "title"}
@@ -76,12 +77,12 @@ def vector_label_recall(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lists(spark: SparkSession, d: str, k: int = 50) -> DataFrame:
-    """The body list (0) and the title list (1) of every benchmark item, as hits of a case."""
+    """The body list (0) and the title list (1) of every benchmark item, as hits of a case; a table, as queries read it often."""
     rows, q = corpus(spark, d), asked(spark, d)
     body = retrieve.top_k(retrieve.overlap_hits(rows, q, {"body": "text"}, {"body": 1.0}), k).withColumn("list_id", F.lit(0))
     title = retrieve.top_k(retrieve.overlap_hits(rows, q, {"title": "title"}, {"title": 1.0}), k).withColumn("list_id", F.lit(1))
     both = body.unionByName(title).withColumnRenamed("query_id", "case_id")
-    return both.join(rows.select("chunk_id", "source_id"), "chunk_id")
+    return materialize(both.join(rows.select("chunk_id", "source_id"), "chunk_id"), "lists")
 
 
 def multi_query_merge(spark: SparkSession, d: str) -> DataFrame:
@@ -250,11 +251,11 @@ def _gold(spark: SparkSession, d: str) -> DataFrame:
     rows, q = corpus(spark, d), asked(spark, d)
     hits = retrieve.overlap_hits(rows, q, {"body": "text"}, {"body": 1.0}, "text").where("score >= 3").join(rows.select("chunk_id", "source_id"), "chunk_id")
     gold = hits.select(F.col("query_id").alias("case_id"), "source_id").distinct()
-    return gold.withColumn("must", F.row_number().over(Window.partitionBy("case_id").orderBy("source_id")) == 1)
+    return materialize(gold.withColumn("must", F.row_number().over(Window.partitionBy("case_id").orderBy("source_id")) == 1), "gold")
 
 
 def _metrics(spark: SparkSession, d: str) -> DataFrame:
-    hits = rank.rrf(_lists(spark, d), 50).select("case_id", "chunk_id", "source_id", "rank")
+    hits = materialize(rank.rrf(_lists(spark, d), 50).select("case_id", "chunk_id", "source_id", "rank"), "fused")
     q = asked(spark, d)
     cases = q.select(
         F.col("query_id").alias("case_id"), (F.col("query_id") % 10 == 9).alias("should_abstain"), F.lit(0.5).alias("min_recall"),
