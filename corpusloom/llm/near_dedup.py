@@ -61,7 +61,8 @@ def word_hashes(text: str | None) -> np.ndarray:
     import xxhash
 
     h = xxhash.xxh3_64_intdigest
-    return np.array([h(w) for w in WORDS.findall((text or "").translate(LOWER))], dtype=np.uint64)
+    # bytes are lower-cased and split by ASCII alone, as WORDS and LOWER do on text
+    return np.array([h(w) for w in (text or "").encode("utf-8", "surrogatepass").lower().split()], dtype=np.uint64)
 
 
 def shingle_set(text: str | None, n: int) -> np.ndarray:
