@@ -13,12 +13,17 @@ document is the component of links, named by its smallest doc_id.
    of a deep region has the first of the wider one, so candidates grow linearly with a region.
 3. Candidates are confirmed on full sets: first the one with the longest common prefixes over
    all trees, then the others where the two are not yet in one component.
-4. What confirmed candidates leave apart is settled exactly: in every neighbourhood (candidates
-   with at least ``REGION`` similarity, connected) the documents outside its largest component
-   are compared with all its documents, block by block of bounded size, inside tasks.
-
-A pair at the threshold of 0.8 shares no region with probability (1 - 0.8^5)^24 = 7e-5. Nothing
-is capped. Defined cases: a text that is null or without words has an empty set and is linked
+4. In every region, of whatever size, that holds more than one component then, the signatures of
+   the documents outside its largest component are compared with all its signatures, block by
+   block of bounded size, inside tasks, whether or not they resemble the region's first document.
+   Components whose members agree in ``ALIKE`` of the values are neighbours.
+5. What is left apart is settled exactly: in every neighbourhood (candidates with at least
+   ``REGION`` similarity and neighbours of step 4, connected) the documents outside its largest
+   component are compared with all its documents, in such blocks as well.
+
+A pair at the threshold of 0.8 shares no region with probability (1 - 0.8^5)^24 = 7e-5, and a pair
+that shares one agrees in less than ``ALIKE`` of its values with less than 1e-6. Nothing is capped.
+Regions of many documents that neither link nor resemble each other are quadratic work in step 4. Defined cases: a text that is null or without words has an empty set and is linked
 with nothing; rows of one doc_id count as one document; a null doc_id is linked with nothing,
 has a null component and is kept; an empty table gives no row.
 """
@@ -40,8 +45,11 @@ from corpusloom.storage import materialize
 TREES, DEPTH, DEEP, DENSE = 24, 5, 10, 32
 HASHES = TREES * DEPTH
 REGION = 0.5
-#: Shingles in a block of the exact comparison.
+#: Share of a signature in which two documents of a region agree to be neighbours.
+ALIKE = 0.6
+#: Shingles in a block of the exact comparison, signatures in a block of a region.
 LEFT_BLOCK, MEMBER_BLOCK = 100_000, 400_000
+SIGNATURE_BLOCK = 2048
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -94,38 +102,40 @@ def signature(values: np.ndarray) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (null: empty), tree labels at both depths, for every row of docs."""
+    """doc_id, n_shingles, set_key (null: empty), signature (HASHES values of 4 bytes), for every row of docs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         np.seterr(over="ignore")
         for batch in batches:
-            out: dict[str, list] = {"n_shingles": [], "set_key": [], "wide": [], "deep": []}
+            out: dict[str, list] = {"n_shingles": [], "set_key": [], "signature": []}
             for text in batch["text"].tolist():
                 values = shingle_set(text, n)
                 out["n_shingles"].append(len(values))
                 if not len(values):
                     out["set_key"].append(None)
-                    out["wide"].append(None)
-                    out["deep"].append(None)
+                    out["signature"].append(None)
                     continue
-                sig = signature(values)
-                twice = np.concatenate([sig, sig[:DEEP]])
                 out["set_key"].append(xxhash.xxh3_128_digest(values.tobytes()))
-                out["wide"].append([xxhash.xxh3_64_intdigest(twice[t * DEPTH : t * DEPTH + DEPTH].tobytes()) >> 1 for t in range(TREES)])
-                out["deep"].append([xxhash.xxh3_64_intdigest(twice[t * DEPTH : t * DEPTH + DEEP].tobytes()) >> 1 for t in range(TREES)])
+                out["signature"].append(signature(values).tobytes())
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64")} | out)
 
-    schema = "doc_id long, n_shingles long, set_key binary, wide array<long>, deep array<long>"
+    schema = "doc_id long, n_shingles long, set_key binary, signature binary"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, schema)
 
 
-def forest_candidates(classes: DataFrame) -> DataFrame:
-    """id, center, lcp: linear candidates from all trees; lcp sums the shared depths."""
-    rows = classes.select("id", F.posexplode(F.arrays_zip("wide", "deep")).alias("tree", "l")).select("id", "tree", F.col("l.wide").alias("wide"), F.col("l.deep").alias("deep"))
+def forest_members(classes: DataFrame) -> DataFrame:
+    """id, tree, wide, deep, n, first: the documents of every region of two or more, with its size and smallest id."""
+    twice = classes.select("id", F.concat("signature", F.expr(f"substring(signature, 1, {4 * DEEP})")).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    label = lambda depth: F.xxhash64(F.expr(f"substring(s, {4 * DEPTH} * tree + 1, {4 * depth})"))
+    rows = twice.select("id", "tree", label(DEPTH).alias("wide"), label(DEEP).alias("deep"))
     wide = rows.groupBy("tree", "wide").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
-    members = materialize(rows.join(wide, ["tree", "wide"]), "forest-members")
+    return rows.join(wide, ["tree", "wide"])
+
+
+def forest_candidates(members: DataFrame) -> DataFrame:
+    """id, center, lcp: linear candidates from all trees; lcp sums the shared depths."""
     deep = members.where(F.col("n") > DENSE).groupBy("tree", "wide", "deep").agg(F.count("*").alias("n_deep"), F.min("id").alias("first_deep"))
     joined = members.join(deep.where("n_deep > 1"), ["tree", "wide", "deep"], "left")
     inner = F.col("first_deep").isNotNull() & (F.col("first_deep") != F.col("id"))
@@ -172,6 +182,49 @@ def _linked(threshold: int):
     return F.col("shared") * 100 >= F.col("joint") * threshold
 
 
+def neighbours(members: DataFrame, links: DataFrame, signatures: DataFrame) -> DataFrame:
+    """a, b: documents of one region that agree in ALIKE of their signatures, at most one for each component and block."""
+    own = connected_components(links).select(F.col("node").alias("id"), "component")
+    placed = members.select("id", "tree", "wide").join(own, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = materialize(placed, "region-members")
+    parts = placed.groupBy("tree", "wide", "component").agg(F.count("*").alias("n"))
+    regions = parts.groupBy("tree", "wide").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all"))
+    regions = regions.where("parts > 1").select(
+        "tree",
+        "wide",
+        F.col("main.component").alias("main"),
+        F.ceil((F.col("all") - F.col("main.n")) / SIGNATURE_BLOCK).cast("int").alias("left_blocks"),
+        F.ceil(F.col("all") / SIGNATURE_BLOCK).cast("int").alias("member_blocks"),
+    )
+    opened = materialize(placed.join(regions, ["tree", "wide"]).withColumn("h", F.xxhash64("id")), "region-open")
+    named = may_match(signatures, "id", opened, "id")
+    bodies = opened.join(named, "id")
+    left = bodies.where("component <> main").select(
+        "tree", "wide", F.pmod("h", "left_blocks").alias("x"), F.explode(F.sequence(F.lit(0), F.col("member_blocks") - 1)).alias("y"), "id", "component", "signature"
+    )
+    right = bodies.select("tree", "wide", F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)).alias("x"), F.pmod("h", "member_blocks").alias("y"), "id", "component", "signature")
+    right = right.toDF("r_tree", "r_wide", "r_x", "r_y", "r_id", "r_component", "r_signature")
+
+    def compare(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:  # noqa: E741
+        found: list[tuple[int, int]] = []
+        if len(l) and len(r):
+            values = np.frombuffer(b"".join(r["r_signature"]), dtype=np.uint32).reshape(len(r), HASHES)
+            ids, comps = r["r_id"].to_numpy(), r["r_component"].to_numpy()
+            _, code = np.unique(np.concatenate([l["component"].to_numpy(), comps]), return_inverse=True)
+            group = np.arange(code.max() + 1)  # components that neighbours have joined in this block
+            for i, (me, mine) in enumerate(zip(l["id"], l["signature"], strict=True)):
+                agree = np.count_nonzero(values == np.frombuffer(mine, dtype=np.uint32), axis=1)
+                for j in np.flatnonzero(agree >= ALIKE * HASHES):
+                    p, q = group[code[i]], group[code[len(l) + j]]
+                    if p != q:
+                        found.append((int(me), int(ids[j])))
+                        group[group == q] = p
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+    met = left.groupBy("tree", "wide", "x", "y").cogroup(right.groupBy("r_tree", "r_wide", "r_x", "r_y"))
+    return met.applyInPandas(compare, "a long, b long").distinct()
+
+
 def _apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
     """Pairs whose ends are not in one component."""
     own = lambda end: components.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}"))
@@ -232,9 +285,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFra
     """Per row of docs: doc_id, n_shingles, component_id, kept."""
     rows = materialize(sets_of(docs, n), "near-sets")
     named = rows.where("set_key is not null and doc_id is not null")
-    classes = named.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.min(F.struct("wide", "deep")).alias("l"))
+    classes = named.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.min("signature").alias("signature"))
     same = named.select("set_key", F.col("doc_id").alias("a")).join(classes.select("set_key", F.col("id").alias("b")), "set_key").where("a <> b").select("a", "b")
-    candidates = materialize(forest_candidates(classes.select("id", "l.wide", "l.deep")), "near-candidates")
+    members = materialize(forest_members(classes.select("id", "signature")), "forest-members")
+    candidates = materialize(forest_candidates(members), "near-candidates")
     ids = candidates.select("id").union(candidates.select("center")).distinct()
     sets = materialize(full_sets(docs, ids, n), "near-full-sets")
     best = candidates.groupBy("id").agg(F.max(F.struct("lcp", (-F.col("center")).alias("m"))).alias("best"))
@@ -245,7 +299,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFra
     near2 = materialize(confirm(_apart(others, connected_components(links1)), sets, REGION), "near-others")
     near = near1.unionByName(near2)
     links = near.where(_linked(threshold)).select("a", "b")
-    missed = materialize(settle(near, links, sets, threshold), "near-missed")
+    alike = materialize(neighbours(members, links, named.select(F.col("doc_id").alias("id"), "signature")), "near-alike")
+    missed = materialize(settle(near.select("a", "b").unionByName(alike), links, sets, threshold), "near-missed")
     found = connected_components(links.unionByName(missed).unionByName(same))
     out = rows.join(found, rows["doc_id"] == found["node"], "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "doc_id"))

@@ -81,3 +81,15 @@ def test_one_of_each_class_stays(spark):
     df = spark.createDataFrame([(1, "a b c d e f g", 0), (2, "a b c d e f g", 0), (3, "other words entirely here now", 0), (None, "a b c d e f g", 0)], S)
     out = N.drop_near_duplicates(df)
     assert out.columns == df.columns and sorted((r.doc_id or 0) for r in out.collect()) == [0, 1, 3]
+
+
+def test_pair_among_lower_ids_that_share_a_part(spark):
+    """A pair over the threshold whose regions begin with lower ids, each under REGION with another part of the pair."""
+    rng = random.Random(5)
+    own = lambda k: [f"u{rng.randint(0, 10**9)}" for _ in range(k)]
+    one = own(200)
+    rows = [(i, " ".join(rng.sample(one, 124) + own(76))) for i in range(600)]
+    rows += [(600, " ".join(one)), (601, " ".join(one[:182] + own(18)))]
+    got = {r.doc_id: r.component_id for r in N.near_duplicates(spark.createDataFrame([(i, t, 0) for i, t in rows], S), 1).collect()}
+    want = brute(rows, 1)
+    assert want == {i: min(i, 600) for i in range(602)} and got == want
