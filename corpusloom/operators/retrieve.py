@@ -7,11 +7,15 @@ best of each query are a window.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import rules
-from corpusloom.functions.text import cosine, normalize_text, token_set, tokens
+from corpusloom.functions.text import normalize_text, token_set, tokens
 
 
 def postings(corpus: DataFrame, fields: dict[str, str]) -> DataFrame:
@@ -94,10 +98,48 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int, text: str = "text", k1:
     return top_k(hits, k)
 
 
-def cosine_search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id, score, rank by cosine similarity; a query is not its own neighbour."""
-    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    pairs = vectors.join(asked, F.col("vec_id") != F.col("query_id"))  # a stated query set against all rows
-    hits = pairs.select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
+def vector_blocks(vectors: DataFrame, size: int) -> DataFrame:
+    """ids, dims, mat (unit rows, doubles): up to ``size`` vectors of one length; length 0 for those without a value."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            whole = [np.zeros(0) if v is None else np.asarray(v, dtype=np.float64) for v in batch["embedding"]]
+            whole = [np.zeros(0) if np.isnan(v).any() else v for v in whole]
+            dims, ids = np.array([len(v) for v in whole]), batch["vec_id"].to_numpy(dtype=np.int64)
+            for n in np.unique(dims):
+                at = np.flatnonzero(dims == n)
+                for part in np.split(at, range(size, len(at), size)):
+                    mat = np.stack([whole[i] for i in part])
+                    with np.errstate(invalid="ignore"):
+                        mat = mat / np.sqrt((mat * mat).sum(axis=1, keepdims=True))
+                    yield pd.DataFrame({"ids": [ids[part].tobytes()], "dims": [int(n)], "mat": [mat.tobytes()]})
+
+    rows = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    return rows.mapInPandas(run, "ids binary, dims int, mat binary")
+
+
+def cosine_search(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096, query_block: int = 512) -> DataFrame:
+    """query_id, vec_id, score, rank by cosine similarity; a query is not its own neighbour.
+
+    Blocks of queries meet blocks of vectors; a pair of blocks leaves the k best of each query for
+    the final window. Pairs without a score (no values, other lengths, zero vectors) come last.
+    """
+    asked = vector_blocks(queries, query_block).toDF("q_ids", "q_dims", "q_mat")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                q_ids, ids = np.frombuffer(r.q_ids, dtype=np.int64), np.frombuffer(r.ids, dtype=np.int64)
+                scores = np.full((len(q_ids), len(ids)), np.nan)
+                if r.dims == r.q_dims and r.dims:
+                    scores = np.frombuffer(r.q_mat).reshape(len(q_ids), -1) @ np.frombuffer(r.mat).reshape(len(ids), -1).T
+                    scores = np.sign(scores) * np.floor(np.abs(scores) * 1e6 + 0.5) / 1e6
+                for me, own in zip(q_ids, scores, strict=True):
+                    other = np.flatnonzero(ids != me)
+                    best = other[np.lexsort((ids[other], -own[other]))[:k]]  # NaN is last
+                    yield pd.DataFrame({"query_id": np.full(len(best), me), "vec_id": ids[best], "score": own[best]})
+
+    # a stated query set against all rows, block against block
+    hits = vector_blocks(vectors, block).crossJoin(asked).mapInPandas(run, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(best) - 1).where(F.col("rank") < k)
