@@ -30,8 +30,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the repetitions that their source's target asks for."""
-    return mixing.mixed_documents(docs)
+    """Documents in the repetitions that their source's target asks for, all of them whole."""
+    return mixing.mixed_documents(docs, cut=False)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

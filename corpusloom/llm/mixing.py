@@ -102,9 +102,11 @@ def mix(
     )
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, cut: bool = True, **options) -> DataFrame:
     """The mix itself: every column of docs, one row per repetition; a document in part has its leading words.
 
+    Without ``cut`` a document in part is taken whole or not at all, whichever is nearer the target.
+
     Rows of equal doc_id and size share their plan, one of the equal plans each.
     """
     key = ["_id", "_k", "_size"]
@@ -113,7 +115,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         F.col("k").alias("_k"),
         F.col("size").alias("_size"),
         F.col("whole").alias("_whole"),
-        F.col("part").alias("_part"),
+        (F.col("part") if cut else F.when(F.col("part") * 2 >= F.col("size"), F.col("size")).otherwise(0).cast("long")).alias("_part"),
     )
     plan = plan.groupBy(*key).agg(F.max("_whole").alias("_whole"), F.sort_array(F.collect_list("_part")).alias("_parts"))
     rows = docs.select(
