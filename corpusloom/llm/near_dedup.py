@@ -38,8 +38,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.operators.components import connected_components
-from corpusloom.operators.prefilter import may_match
+from corpusloom.llm.components import connected_components
+from corpusloom.llm.prefilter import may_match
 from corpusloom.storage import materialize
 
 TREES, DEPTH, DEEP, DENSE = 24, 5, 10, 32
