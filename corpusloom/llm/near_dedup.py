@@ -6,11 +6,12 @@ sets have a Jaccard similarity of at least ``threshold`` percent are linked; the
 document is the component of links, named by its smallest doc_id.
 
 1. Equal sets are one class, stood for by the smallest id, so that exact copies never meet.
-2. ``TREES`` orders of one signature of ``HASHES`` values: each tree's label is the signature
-   from its own place on. A region of a tree is the documents whose labels share the first
-   ``DEPTH`` values; regions of more than ``DENSE`` documents are gone into to ``DEEP`` values.
-   A document's candidate in a tree is the first document of its deepest region, and the first
-   of a deep region has the first of the wider one, so candidates grow linearly with a region.
+2. ``TREES`` orders of one signature of ``HASHES`` values: each tree's label is the ``DEEP`` values
+   from its own place on. Only documents whose labels share ``DEPTH`` values (a region) can be
+   candidates. A region of more than ``DENSE`` documents is gone into value by value, each document
+   to the least depth at which its part is small enough. Every part is sorted by label, and the
+   neighbours in that order, which have the longest common prefix on either side, are candidates;
+   so is the first document of the region, so that candidates grow linearly with a region.
 3. Candidates are confirmed on full sets: first the one with the longest common prefixes over
    all trees, then the others where the two are not yet in one component.
 4. In every region, of whatever size, that holds more than one component then, the signatures of
@@ -21,11 +22,13 @@ document is the component of links, named by its smallest doc_id.
    ``REGION`` similarity and neighbours of step 4, connected) the documents outside its largest
    component are compared with all its documents, in such blocks as well.
 
-A pair at the threshold of 0.8 shares no region with probability (1 - 0.8^5)^24 = 7e-5, and a pair
-that shares one agrees in less than ``ALIKE`` of its values with less than 1e-6. Nothing is capped.
-Regions of many documents that neither link nor resemble each other are quadratic work in step 4. Defined cases: a text that is null or without words has an empty set and is linked
-with nothing; rows of one doc_id count as one document; a null doc_id is linked with nothing,
-has a null component and is kept; an empty table gives no row.
+A pair at the threshold of 0.8 shares no region with probability (1 - 0.8^5)^24 = 7e-5, were the
+trees independent (half of a label's values are the next tree's as well), and a pair that shares one
+agrees in less than ``ALIKE`` of its values with less than 1e-6. Nothing is capped. Steps 4 and 5 are
+the exact way for what the orders leave apart: regions of many documents that neither link nor
+resemble each other are quadratic work there. Defined cases: a text that is null or without words has
+an empty set and is linked with nothing; rows of one doc_id count as one document; a null doc_id is
+linked with nothing, has a null component and is kept; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -35,14 +38,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.components import connected_components
 from corpusloom.llm.prefilter import may_match
+from corpusloom.llm.words import shingles, word_groups
 from corpusloom.storage import materialize
 
-TREES, DEPTH, DEEP, DENSE = 24, 5, 10, 32
+TREES, DEPTH, DEEP, DENSE = 24, 5, 10, 2048
 HASHES = TREES * DEPTH
 REGION = 0.5
 #: Share of a signature in which two documents of a region agree to be neighbours.
@@ -53,52 +57,31 @@ SIGNATURE_BLOCK = 2048
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finalizer on an array."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def word_hashes(text: str | None) -> np.ndarray:
-    import xxhash
-
-    h = xxhash.xxh3_64_intdigest
-    # bytes are lower-cased and split by ASCII alone, as WORDS and LOWER do on text
-    return np.array([h(w) for w in (text or "").encode("utf-8", "surrogatepass").lower().split()], dtype=np.uint64)
-
-
-def shingle_set(text: str | None, n: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles."""
-    words = word_hashes(text)
-    if not len(words):
-        return words
-    k = min(n, len(words))
-    count = len(words) - k + 1
-    acc = np.full(count, np.uint64(k))
-    for j in range(k):
-        acc = _mixed(acc * _MIX + words[j : j + count])
-    return np.unique(acc)
+def shingle_sets(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the shingles of every text."""
+    for _, words, bounds in word_groups(texts):
+        x, at = shingles(words, bounds, n)
+        for i in range(len(bounds) - 1):
+            k = int(bounds[i + 1] - bounds[i])
+            own = x[at[i] : at[i + 1]] if k >= n or not k else shingles(words[bounds[i] : bounds[i + 1]], np.array([0, k]), k)[0]
+            yield np.unique(own)
 
 
 def _parameters() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20240229)
-    return rng.integers(1, 2**63, HASHES, dtype=np.uint64) | np.uint64(1), rng.integers(0, 2**63, HASHES, dtype=np.uint64)
+    return rng.integers(1, 2**32, HASHES, dtype=np.uint32) | np.uint32(1), rng.integers(0, 2**32, HASHES, dtype=np.uint32)
 
 
 def signature(values: np.ndarray) -> np.ndarray:
-    """HASHES minima of independent multiply-add hashes (upper 32 bits)."""
+    """HASHES minima of multiply-add hashes of 32 bits."""
     a, b = _parameters()
-    low = np.full(HASHES, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(values), 512):
-        part = values[at : at + 512]
-        low = np.minimum(low, (part[:, None] * a[None, :] + b[None, :]).min(axis=0))
-    return (low >> np.uint64(32)).astype(np.uint32)
+    low = np.full(HASHES, np.iinfo(np.uint32).max, dtype=np.uint32)
+    top = (values >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(top), 512):
+        low = np.minimum(low, (top[at : at + 512, None] * a[None, :] + b[None, :]).min(axis=0))
+    return low
 
 
 def sets_of(docs: DataFrame, n: int) -> DataFrame:
@@ -110,37 +93,58 @@ def sets_of(docs: DataFrame, n: int) -> DataFrame:
         np.seterr(over="ignore")
         for batch in batches:
             out: dict[str, list] = {"n_shingles": [], "set_key": [], "signature": []}
-            for text in batch["text"].tolist():
-                values = shingle_set(text, n)
+            for values in shingle_sets(batch["text"].tolist(), n):
                 out["n_shingles"].append(len(values))
-                if not len(values):
-                    out["set_key"].append(None)
-                    out["signature"].append(None)
-                    continue
-                out["set_key"].append(xxhash.xxh3_128_digest(values.tobytes()))
-                out["signature"].append(signature(values).tobytes())
+                out["set_key"].append(xxhash.xxh3_128_digest(values.tobytes()) if len(values) else None)
+                out["signature"].append(signature(values).tobytes() if len(values) else None)
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64")} | out)
 
     schema = "doc_id long, n_shingles long, set_key binary, signature binary"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, schema)
 
 
-def forest_members(classes: DataFrame) -> DataFrame:
-    """id, tree, wide, deep, n, first: the documents of every region of two or more, with its size and smallest id."""
-    twice = classes.select("id", F.concat("signature", F.expr(f"substring(signature, 1, {4 * DEEP})")).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    label = lambda depth: F.xxhash64(F.expr(f"substring(s, {4 * DEPTH} * tree + 1, {4 * depth})"))
-    rows = twice.select("id", "tree", label(DEPTH).alias("wide"), label(DEEP).alias("deep"))
-    wide = rows.groupBy("tree", "wide").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
-    return rows.join(wide, ["tree", "wide"])
+#: The tree is in the low bits of a region's key.
+_TREE_BITS = (TREES - 1).bit_length()
+
 
+def _label(tree: Column | str, depth: int) -> Column:
+    """The first ``depth`` values of a tree's label; the values go round."""
+    return F.substring(F.concat("signature", F.expr(f"substring(signature, 1, {4 * DEEP})")), tree * (4 * DEPTH) + 1, F.lit(4 * depth))
 
-def forest_candidates(members: DataFrame) -> DataFrame:
-    """id, center, lcp: linear candidates from all trees; lcp sums the shared depths."""
-    deep = members.where(F.col("n") > DENSE).groupBy("tree", "wide", "deep").agg(F.count("*").alias("n_deep"), F.min("id").alias("first_deep"))
-    joined = members.join(deep.where("n_deep > 1"), ["tree", "wide", "deep"], "left")
-    inner = F.col("first_deep").isNotNull() & (F.col("first_deep") != F.col("id"))
-    chosen = joined.select("id", F.when(inner, F.col("first_deep")).otherwise(F.col("first")).alias("center"), F.when(inner, DEEP).otherwise(DEPTH).alias("depth"))
-    return chosen.where("id <> center").groupBy("id", "center").agg(F.sum("depth").alias("lcp"))
+
+def forest_members(classes: DataFrame) -> DataFrame:
+    """id, region, n, first: the documents of every region of two or more, with its size and smallest id."""
+    each = classes.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
+    low = (1 << _TREE_BITS) - 1
+    rows = each.select("id", (F.xxhash64(_label(F.col("tree"), DEPTH)).bitwiseAND(~low)).bitwiseOR(F.col("tree").cast("long")).alias("region"))
+    sizes = rows.groupBy("region").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
+    return rows.join(sizes, "region")
+
+
+def forest_parts(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """id, first, label, part: members with the part of their region, of at most about DENSE documents, in which they are sorted."""
+    tree = F.col("region").bitwiseAND((1 << _TREE_BITS) - 1).cast("int")
+    labelled = members.join(classes.select("id", "signature"), "id").select("id", "region", "n", "first", _label(tree, DEEP).alias("label"))
+    few = labelled.where(F.col("n") <= DENSE).select("id", "first", "label", F.col("region").alias("part"), F.lit(0).cast("long").alias("salt"))
+    deeper = labelled.where(F.col("n") > DENSE).withColumn("depth", F.explode(F.sequence(F.lit(DEPTH + 1), F.lit(DEEP))))
+    deeper = deeper.withColumn("part", F.xxhash64("region", "depth", F.substring("label", F.lit(1), F.col("depth") * 4)))
+    sizes = deeper.groupBy("part").agg(F.count("*").alias("in_part"))
+    fits = deeper.join(sizes, "part").where((F.col("in_part") <= DENSE) | (F.col("depth") == DEEP))
+    # documents that agree in a whole label are dealt out by their ids
+    salt = F.pmod(F.xxhash64("id"), F.ceil(F.col("in_part") / DENSE))
+    many = fits.groupBy("id", "region").agg(F.min_by(F.struct("first", "label", "part", salt.alias("salt")), "depth").alias("x")).select("id", "x.*")
+    return few.unionByName(many.select(*few.columns))
+
+
+def forest_candidates(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """id, center (of lower id), lcp: linear candidates from all trees; lcp sums the common prefixes."""
+    order = Window.partitionBy("part", "salt").orderBy("label", "id")
+    sorted_ = forest_parts(members, classes).select("id", "first", "label", F.lag("id").over(order).alias("other"), F.lag("label").over(order).alias("other_label"))
+    prefix = lambda c, k: F.expr(f"substring({c}, 1, {4 * k})")
+    lcp = sum(((prefix("label", k) == prefix("other_label", k)).cast("int") for k in range(1, DEEP + 1)), F.lit(0))
+    near = sorted_.where("other is not null").select(F.greatest("id", "other").alias("id"), F.least("id", "other").alias("center"), lcp.alias("lcp"))
+    first = members.select("id", F.col("first").alias("center"), F.lit(DEPTH).alias("lcp"))
+    return near.unionByName(first).where("id <> center").groupBy("id", "center").agg(F.sum("lcp").alias("lcp"))
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -149,7 +153,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         np.seterr(over="ignore")
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "set": [shingle_set(t, n).tobytes() for t in batch["text"].tolist()]})
+            yield pd.DataFrame({"id": batch["id"], "set": [x.tobytes() for x in shingle_sets(batch["text"].tolist(), n)]})
 
     named = may_match(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), "id", ids, "id")
     return named.mapInPandas(run, "id long, set binary").join(ids, "id", "left_semi")
@@ -185,25 +189,24 @@ def _linked(threshold: int):
 def neighbours(members: DataFrame, links: DataFrame, signatures: DataFrame) -> DataFrame:
     """a, b: documents of one region that agree in ALIKE of their signatures, at most one for each component and block."""
     own = connected_components(links).select(F.col("node").alias("id"), "component")
-    placed = members.select("id", "tree", "wide").join(own, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = members.select("id", "region").join(own, "id", "left").withColumn("component", F.coalesce("component", "id"))
     placed = materialize(placed, "region-members")
-    parts = placed.groupBy("tree", "wide", "component").agg(F.count("*").alias("n"))
-    regions = parts.groupBy("tree", "wide").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all"))
+    parts = placed.groupBy("region", "component").agg(F.count("*").alias("n"))
+    regions = parts.groupBy("region").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all"))
     regions = regions.where("parts > 1").select(
-        "tree",
-        "wide",
+        "region",
         F.col("main.component").alias("main"),
         F.ceil((F.col("all") - F.col("main.n")) / SIGNATURE_BLOCK).cast("int").alias("left_blocks"),
         F.ceil(F.col("all") / SIGNATURE_BLOCK).cast("int").alias("member_blocks"),
     )
-    opened = materialize(placed.join(regions, ["tree", "wide"]).withColumn("h", F.xxhash64("id")), "region-open")
+    opened = materialize(placed.join(regions, "region").withColumn("h", F.xxhash64("id")), "region-open")
     named = may_match(signatures, "id", opened, "id")
     bodies = opened.join(named, "id")
     left = bodies.where("component <> main").select(
-        "tree", "wide", F.pmod("h", "left_blocks").alias("x"), F.explode(F.sequence(F.lit(0), F.col("member_blocks") - 1)).alias("y"), "id", "component", "signature"
+        "region", F.pmod("h", "left_blocks").alias("x"), F.explode(F.sequence(F.lit(0), F.col("member_blocks") - 1)).alias("y"), "id", "component", "signature"
     )
-    right = bodies.select("tree", "wide", F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)).alias("x"), F.pmod("h", "member_blocks").alias("y"), "id", "component", "signature")
-    right = right.toDF("r_tree", "r_wide", "r_x", "r_y", "r_id", "r_component", "r_signature")
+    right = bodies.select("region", F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)).alias("x"), F.pmod("h", "member_blocks").alias("y"), "id", "component", "signature")
+    right = right.toDF("r_region", "r_x", "r_y", "r_id", "r_component", "r_signature")
 
     def compare(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:  # noqa: E741
         found: list[tuple[int, int]] = []
@@ -221,7 +224,7 @@ def neighbours(members: DataFrame, links: DataFrame, signatures: DataFrame) -> D
                         group[group == q] = p
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    met = left.groupBy("tree", "wide", "x", "y").cogroup(right.groupBy("r_tree", "r_wide", "r_x", "r_y"))
+    met = left.groupBy("region", "x", "y").cogroup(right.groupBy("r_region", "r_x", "r_y"))
     return met.applyInPandas(compare, "a long, b long").distinct()
 
 
@@ -285,10 +288,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFra
     """Per row of docs: doc_id, n_shingles, component_id, kept."""
     rows = materialize(sets_of(docs, n), "near-sets")
     named = rows.where("set_key is not null and doc_id is not null")
-    classes = named.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.min("signature").alias("signature"))
-    same = named.select("set_key", F.col("doc_id").alias("a")).join(classes.select("set_key", F.col("id").alias("b")), "set_key").where("a <> b").select("a", "b")
+    classes = materialize(named.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.min("signature").alias("signature")), "near-classes")
+    # an id with rows of several sets ties their classes
+    several = named.groupBy("doc_id").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y")).where("x <> y").select("doc_id")
+    tied = named.join(several, "doc_id", "left_semi").join(classes.select("set_key", "id"), "set_key").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b")
     members = materialize(forest_members(classes.select("id", "signature")), "forest-members")
-    candidates = materialize(forest_candidates(members), "near-candidates")
+    candidates = materialize(forest_candidates(members, classes), "near-candidates")
     ids = candidates.select("id").union(candidates.select("center")).distinct()
     sets = materialize(full_sets(docs, ids, n), "near-full-sets")
     best = candidates.groupBy("id").agg(F.max(F.struct("lcp", (-F.col("center")).alias("m"))).alias("best"))
@@ -299,16 +304,23 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFra
     near2 = materialize(confirm(_apart(others, connected_components(links1)), sets, REGION), "near-others")
     near = near1.unionByName(near2)
     links = near.where(_linked(threshold)).select("a", "b")
-    alike = materialize(neighbours(members, links, named.select(F.col("doc_id").alias("id"), "signature")), "near-alike")
+    alike = materialize(neighbours(members, links, classes.select("id", "signature")), "near-alike")
     missed = materialize(settle(near.select("a", "b").unionByName(alike), links, sets, threshold), "near-missed")
-    found = connected_components(links.unionByName(missed).unionByName(same))
-    out = rows.join(found, rows["doc_id"] == found["node"], "left")
-    component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    found = connected_components(links.unionByName(missed).unionByName(tied))
+    placed = rows.join(classes.select("set_key", "id"), "set_key", "left").join(found, F.col("id") == found["node"], "left")
+    component = F.when(F.col("set_key").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "id"))
+    return placed.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
-    """docs with one document of each class (the smallest id); rows repeated under that id stay once."""
-    found = near_duplicates(docs, n, threshold).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(found, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    return left
+    """docs with one document of each class (the smallest id).
+
+    Of rows with one doc_id, one stays (that of the least text hash); rows without a doc_id all stay.
+    """
+    found = near_duplicates(docs, n, threshold)
+    told = found.where("doc_id is not null").groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n"))
+    told = materialize(told.where("not kept or n > 1").withColumnRenamed("doc_id", "_told"), "near-told")
+    same_id = F.col("doc_id").cast("long") == F.col("_told")
+    single = docs.join(told.select("_told"), same_id, "left_anti")
+    repeated = docs.join(told.where("kept").select("_told"), same_id, "left_semi").groupBy(F.col("doc_id").alias("_same")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("_row"))
+    return single.unionByName(repeated.select("_row.*"))
