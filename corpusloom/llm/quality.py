@@ -5,13 +5,14 @@ run over the whole text with ``STRIDE``; their greatest value in every chunk of
 positions (chunks overlap by one block and cover the whole document) goes through a small hidden
 layer to a chunk score, and the greatest and the mean chunk score make the document's probability.
 
-Learning takes a bounded sample of labelled rows (``Limits.rows`` by the least seeded hashes of
-doc_id, ``Limits.chunks`` chunks of each); scoring reads every byte. Memory of a task is bounded
+Learning takes a bounded sample of labelled rows, whole texts by the least seeded hashes of doc_id: at
+most ``Limits.rows`` of them and ``Limits.bytes`` together (a text that would go beyond is passed
+over), in ``Limits.steps`` gradient steps whatever their number. Scoring reads every byte. Memory of a task is bounded
 by ``SEGMENT`` positions, whatever the length of a text.
 
 Defined cases: a null text is empty and scores as a chunk of padding; rows without a usable label
-don't teach; without two classes every score is the share of label 1 (0.5 if there are no
-labels); repeated rows are scored each; an empty table gives no row.
+don't teach, and of rows with one doc_id the shortest does; without two classes every score is the
+share of label 1 (0.5 if there are no labels); repeated rows are scored each; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -29,15 +30,17 @@ BLOCK, SPAN = 32, 8
 CHUNK_BYTES = BLOCK * SPAN * STRIDE
 HOP_BYTES = BLOCK * (SPAN - 1) * STRIDE
 SEGMENT = 16_384
+#: Chunks convolved at a time in learning.
+SLICE = 512
 
 
 @dataclass(frozen=True)
 class Limits:
-    """Bounds of what learning takes: labelled rows, chunks a document, passes."""
+    """Bounds of what learning takes: labelled rows, bytes of their texts, gradient steps."""
 
     rows: int = 4_000
-    chunks: int = 8
-    passes: int = 14
+    bytes: int = 12_000_000
+    steps: int = 1_200
     batch: int = 48
 
 
@@ -88,25 +91,29 @@ class Network:
         o = self.p["o"]
         return float(1 / (1 + np.exp(-np.clip(o[0] * s.max() + o[1] * s.mean() + o[2], -30, 30))))
 
-    def fit(self, docs: list[np.ndarray], y: np.ndarray, passes: int, batch: int, rng: np.random.Generator, rate: float = 0.004) -> None:
+    def fit(self, docs: list[np.ndarray], y: np.ndarray, steps: int, batch: int, rng: np.random.Generator, rate: float = 0.004) -> None:
         """docs: (chunks, CHUNK_BYTES + WIDTH) bytes of each; y: 1 for the class the probability stands for. Adam."""
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s2 = {k: np.zeros_like(v) for k, v in self.p.items()}
         step = 0
         positions = BLOCK * SPAN
-        for turn in range(passes):
-            pace = rate * (1 - 0.9 * turn / passes)
+        while step < steps:
             order = rng.permutation(len(docs))
             for at in range(0, len(order), batch):
+                pace = rate * (1 - 0.9 * step / steps)
                 rows = order[at : at + batch]
                 data = np.concatenate([docs[i] for i in rows])
                 sizes = np.array([len(docs[i]) for i in rows])
                 starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                conv = self.p["t"][0].take(data[:, : positions * STRIDE : STRIDE], axis=0)
-                for j in range(1, WIDTH):
-                    conv += self.p["t"][j].take(data[:, j : j + positions * STRIDE : STRIDE], axis=0)
-                where = conv.argmax(axis=1)
-                peaks = np.take_along_axis(conv, where[:, None, :], axis=1)[:, 0] + self.p["tb"]
+                found = []
+                for part in np.split(data, range(SLICE, len(data), SLICE)):  # a long text doesn't take more memory
+                    conv = self.p["t"][0].take(part[:, : positions * STRIDE : STRIDE], axis=0)
+                    for j in range(1, WIDTH):
+                        conv += self.p["t"][j].take(part[:, j : j + positions * STRIDE : STRIDE], axis=0)
+                    top = conv.argmax(axis=1)
+                    found.append((top, np.take_along_axis(conv, top[:, None, :], axis=1)[:, 0]))
+                where = np.concatenate([w for w, _ in found])
+                peaks = np.concatenate([v for _, v in found]) + self.p["tb"]
                 act = np.maximum(peaks, 0)
                 pre = act @ self.p["u"] + self.p["ub"]
                 hid = np.maximum(pre, 0)
@@ -138,13 +145,12 @@ class Network:
                     self.p[k] = (self.p[k] - change).astype(np.float32)
 
 
-def sampled_chunks(text: str, most: int) -> list[bytes]:
-    """At most ``most`` chunks spread evenly over the text."""
+def chunks_of(text: str) -> np.ndarray:
+    """All chunks of a text, a row each, with the bytes that the last positions need beyond."""
     data = text.encode("utf-8", "surrogatepass")
     starts = chunk_starts(len(data))
-    if len(starts) > most:
-        starts = [starts[round(i * (len(starts) - 1) / (most - 1))] for i in range(most)]
-    return [data[s : s + CHUNK_BYTES + WIDTH].ljust(CHUNK_BYTES + WIDTH, b"\0") for s in starts]
+    padded = np.frombuffer(data.ljust(starts[-1] + CHUNK_BYTES + WIDTH, b"\0"), dtype=np.uint8)
+    return np.stack([padded[s : s + CHUNK_BYTES + WIDTH] for s in starts])
 
 
 @dataclass
@@ -164,21 +170,22 @@ def learn(docs: DataFrame, labels: DataFrame, limits: Limits | None = None, seed
     limits = limits or Limits()
     own = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("y")).where("id is not null and y in (0, 1)")
     own = own.groupBy("id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64(F.col("id"), F.lit(23)))
-    chosen = own.orderBy("h", "id").limit(limits.rows).select("id", "y")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "y": batch["y"], "chunks": [sampled_chunks(t, limits.chunks) for t in batch["text"].tolist()]})
-
-    rows = texts.select("id", "y", "text").mapInPandas(run, "id long, y int, chunks array<binary>").toPandas().sort_values("id")
-    if not len(rows) or rows["y"].nunique() < 2:
-        return Model(None, float(rows["y"].mean()) if len(rows) else 0.5)
-    data = [np.stack([np.frombuffer(c, dtype=np.uint8) for c in chunks]) for chunks in rows["chunks"]]
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    sized = texts.select("id", F.octet_length("text").alias("size")).join(own, "id")
+    chosen, room = [], limits.bytes
+    for r in sized.orderBy("h", "id", "size").limit(limits.rows).collect():
+        if r["size"] <= room:
+            chosen.append((r["id"], r["y"]))
+            room -= r["size"]
+    if len({y for _, y in chosen}) < 2:
+        return Model(None, sum(y for _, y in chosen) / len(chosen) if chosen else 0.5)
+    named = docs.sparkSession.createDataFrame(sorted(set(chosen)), "id long, y int")
+    # of rows with one id, those of the least size taken above
+    rows = texts.join(F.broadcast(named), "id").groupBy("id", "y").agg(F.min_by("text", F.struct(F.octet_length("text"), F.xxhash64("text"))).alias("text")).toPandas().sort_values("id")
+    data = [chunks_of(t) for t in rows["text"]]
     rng = np.random.default_rng(seed)
     network = Network(rng)
-    passes = max(limits.passes, min(60, limits.passes * 1000 // len(data)))
-    network.fit(data, 1 - rows["y"].to_numpy(np.float32), passes, limits.batch, rng)
+    network.fit(data, 1 - rows["y"].to_numpy(np.float32), limits.steps, limits.batch, rng)
     return Model(network, float(rows["y"].mean()))
 
 

@@ -1,16 +1,21 @@
 """Toxicity: gradient-boosted trees over dense features, with isotonic calibration.
 
 Learning takes a bounded sample of labelled rows (``Limits.rows``, the least seeded hashes of
-doc_id), dealt by hash into three parts: one for the lexicon, one for the trees, one for the
-calibration. The lexicon holds the words and word beginnings with the highest log-odds in toxic
-documents (at most ``Limits.lexicon``), found by a Spark aggregation over its part. Features of
+doc_id), dealt by hash into ten parts: four for the lexicon, six for the trees and the calibration.
+The lexicon holds the words and word beginnings with the highest log-odds in toxic documents, found
+by a Spark aggregation over its parts; at most the ``Limits.lexicon`` strongest are kept, and the
+model tells how many are not (``left_out``). The trees learn from all of their parts; what calibrates
+them are scores of trees that have not met the row (``FOLDS`` further sets of trees, each without
+its share of the rows), at every size of the sample. Features of
 a text: densities and counts of strong and weak lexicon words, the share of lexicon words near a
 second-person word, capitals, punctuation and obfuscation rates, and lengths. Labels, language,
 source and doc_id are never features.
 
 Defined cases: a null text is empty and gets a score like any other; rows without a label, a
-doc_id or a 0/1 value don't teach; without two classes among the labels every score is the share
-of label 1 (0 if there are no labels); repeated rows are scored each; an empty table gives no row.
+doc_id or a 0/1 value don't teach; without two classes among the labels, or without a row for the
+trees, every score is the share of label 1 (0 if there are no labels); repeated rows are scored each;
+an empty table gives no row. Where toxic rows are almost absent, calibrated scores are low and none
+may reach 0.5.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ class Limits:
     """Bounds of what learning takes: labelled rows, lexicon entries, trees and their depth."""
 
     rows: int = 12_000
-    lexicon: int = 3_000
+    lexicon: int = 20_000
     trees: int = 80
     depth: int = 3
 
@@ -45,6 +50,7 @@ SECOND_PERSON = frozenset(
 DISGUISE = str.maketrans("013457@$!", "oieastasi")
 WORD = re.compile(r"[^\W_][\w@$!*'-]*")
 PREFIXES = (4, 5, 6)
+LEXICON_PARTS, FOLDS = 4, 3
 STRONG, WEAK = 4.0, 2.2
 
 
@@ -217,7 +223,7 @@ class Trees:
                 v2, n2, r2 = blocks.pop()
                 blocks[-1] = [blocks[-1][0] + v2, blocks[-1][1] + n2, blocks[-1][2] + r2]
         at = np.array([r / n for _, n, r in blocks])
-        level = np.array([(v + 0.5 * (v / n)) / (n + 0.5) for v, n, _ in blocks])
+        level = np.array([v / n for v, n, _ in blocks])
         self.steps = (at, level)
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -232,6 +238,8 @@ class Model:
     lexicon: dict[str, float]
     trees: Trees | None
     share: float
+    #: Lexicon entries that the bound has left out.
+    left_out: int = 0
 
     def of(self, texts: list[str | None]) -> np.ndarray:
         if self.trees is None:
@@ -250,8 +258,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -
     return materialize(texts.join(F.broadcast(chosen), "id").select("id", "text", "y", "part"), "labelled-sample")
 
 
-def learn_lexicon(sample: DataFrame, limit: int) -> dict[str, float]:
-    """token: log-odds, of the tokens met in toxic documents far more often than in others."""
+def learn_lexicon(sample: DataFrame, limit: int) -> tuple[dict[str, float], int]:
+    """token: log-odds, of the tokens met in toxic documents far more often than in others; and how many the limit leaves out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -261,35 +269,39 @@ def learn_lexicon(sample: DataFrame, limit: int) -> dict[str, float]:
     totals = sample.agg(F.sum("y").alias("p"), F.count("*").alias("n")).first()
     pos, neg = totals["p"] or 0, (totals["n"] or 0) - (totals["p"] or 0)
     if not pos or not neg:
-        return {}
+        return {}, 0
     counts = sample.select("text", "y").mapInPandas(run, "token string, y int").groupBy("token").agg(F.sum("y").alias("p"), F.count("*").alias("n"))
     odds = F.log((F.col("p") + 0.25) / (pos + 0.5)) - F.log((F.col("n") - F.col("p") + 0.25) / (neg + 0.5))
-    found = counts.where(F.col("p") >= max(2, round(0.004 * pos))).withColumn("w", odds).where(F.col("w") >= WEAK)
-    return {r["token"]: float(r["w"]) for r in found.orderBy(F.desc(F.col("w") * F.sqrt("p")), "token").limit(limit).collect()}
+    found = materialize(counts.where(F.col("p") >= max(2, round(0.004 * pos))).withColumn("w", odds).where(F.col("w") >= WEAK), "lexicon")
+    kept = {r["token"]: float(r["w"]) for r in found.orderBy(F.desc(F.col("w") * F.sqrt("p")), "token").limit(limit).collect()}
+    return kept, found.count() - len(kept)
 
 
 def learn(docs: DataFrame, labels: DataFrame, limits: Limits | None = None) -> Model:
     """A model from labelled rows; hand in only the labels that may teach."""
     limits = limits or Limits()
     sample = labelled_sample(docs, labels, "toxic", limits.rows)
-    lexicon = learn_lexicon(sample.where("part < 4"), limits.lexicon)
+    lexicon, left_out = learn_lexicon(sample.where(F.col("part") < LEXICON_PARTS), limits.lexicon)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = [features(t, lexicon) for t in batch["text"].tolist()]
             yield pd.DataFrame({"id": batch["id"], "x": x, "y": batch["y"], "part": batch["part"]})
 
-    rows = sample.mapInPandas(run, "id long, x array<double>, y int, part int").toPandas().sort_values("id")
-    if not len(rows) or rows["y"].nunique() < 2:
-        return Model({}, None, float(rows["y"].mean()) if len(rows) else 0.0)
-    x, y, part = np.stack(rows["x"].to_list()), rows["y"].to_numpy(float), rows["part"].to_numpy()
-    fit, level = (part >= 4) & (part < 8), part >= 8
-    if y[fit].min(initial=1) == y[fit].max(initial=0) or fit.sum() < 20:
-        fit = np.ones(len(y), dtype=bool)
-    trees = Trees.fit(x[fit], y[fit], limits.trees, limits.depth)
-    if y[level].sum() >= 10:
-        trees.calibrate(trees.raw(x[level]), y[level])
-    return Model(lexicon, trees, float(y.mean()))
+    told = sample.agg(F.count("*").alias("n"), F.sum("y").alias("p")).first()
+    if not told["p"] or told["p"] == told["n"]:
+        return Model({}, None, 1.0 if told["p"] else 0.0)
+    rows = sample.where(F.col("part") >= LEXICON_PARTS).mapInPandas(run, "id long, x array<double>, y int, part int").toPandas().sort_values("id")
+    if not len(rows):
+        return Model({}, None, told["p"] / told["n"])
+    x, y = np.stack(rows["x"].to_list()), rows["y"].to_numpy(float)
+    trees = Trees.fit(x, y, limits.trees, limits.depth)
+    fold, unseen = np.arange(len(y)) % FOLDS, np.zeros(len(y))
+    for k in range(FOLDS):
+        others = fold != k if (fold != k).any() else fold == k
+        unseen[fold == k] = Trees.fit(x[others], y[others], limits.trees, limits.depth).raw(x[fold == k])
+    trees.calibrate(unseen, y)
+    return Model(lexicon, trees, told["p"] / told["n"], left_out)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
