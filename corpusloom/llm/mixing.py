@@ -7,7 +7,7 @@ the rest get ``level * weight``; window sums over the per-source table find it.
 
 Every document is taken ``floor(target / source size)`` whole times. The fraction left is a
 seeded sample: documents of the source in the order of a seeded hash, until the words are
-reached; the one document at the boundary is taken in part (its leading words), so a source's
+reached; the one document at the boundary is taken in part (up to a word's end), so a source's
 taken words equal its target to the rounding.
 
 Defined cases: null text has size 0; null source is a source of its own, last in order; a null
@@ -17,7 +17,7 @@ a source without words has target 0; an empty table gives no row.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.storage import materialize
@@ -25,15 +25,23 @@ from corpusloom.storage import materialize
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def measure(docs: DataFrame, seed: str) -> DataFrame:
-    """doc_id, k (source key in code point order, null last), size, u (seeded hash), b (its bucket)."""
-    u = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+def measured(docs: DataFrame, seed: str, *keep: str) -> DataFrame:
+    """_id, _k (source key in code point order, null last), _size, _u (seeded hash), _b (its bucket), and columns kept."""
+    told = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    u = F.md5(F.concat(F.lit(f"{seed}:"), told))
     return docs.select(
-        "doc_id",
-        F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source"))).alias("k"),
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        u.alias("u"),
-    ).withColumn("b", F.substring("u", 1, 3))
+        *keep,
+        told.alias("_id"),
+        F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source"))).alias("_k"),
+        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("_size"),
+        u.alias("_u"),
+        F.substring(u, 1, 3).alias("_b"),
+    )
+
+
+def measure(docs: DataFrame, seed: str) -> DataFrame:
+    """doc_id, k, size, u, b of every document."""
+    return measured(docs, seed, "doc_id").select("doc_id", F.col("_k").alias("k"), F.col("_size").alias("size"), F.col("_u").alias("u"), F.col("_b").alias("b"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, max_epochs: float) -> DataFrame:
@@ -67,78 +75,101 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, max_epochs
     )
 
 
-def mix(
-    docs: DataFrame,
-    weights: tuple[int, ...] = (5, 2, 1),
-    share: float = 1.5,
-    max_epochs: float = 2.0,
-    seed: str = "mix-1",
-) -> DataFrame:
-    """Per document: doc_id, k, u, size, source_size, target, whole (repetitions), part (words), taken."""
-    sizes = materialize(measure(docs, seed), "mix-sizes")
+def source_goals(sizes: DataFrame, weights: tuple[int, ...], share: float, max_epochs: float) -> DataFrame:
+    """k, source_size, target, whole (repetitions of every document) and rest (words taken once more)."""
     goal = targets(sizes, weights, share, max_epochs).select(
         "k",
         "source_size",
         "target",
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("whole"),
     )
-    goal = goal.withColumn("rest", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
-    # a source's hash order is cut into 4,096 buckets, so that a hot source is summed in many tasks
-    buckets = sizes.groupBy("k", "b").agg(F.sum("size").alias("in_bucket"))
+    return goal.withColumn("rest", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
+
+
+def hash_buckets(sizes: DataFrame, goal: DataFrame) -> DataFrame:
+    """The goal's columns, b and bucket_before: the words of the source before a bucket of its hash order.
+
+    A source's hash order is cut into 4,096 buckets, so that a hot source is summed in many tasks.
+    """
     run = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = (
-        buckets.withColumn("bucket_before", F.coalesce(F.sum("in_bucket").over(run), F.lit(0).cast("long")))
-        .drop("in_bucket")
-        .join(goal, "k")
-    )
+    buckets = sizes.groupBy("k", "b").agg(F.sum("size").alias("in_bucket"))
+    return buckets.withColumn("bucket_before", F.coalesce(F.sum("in_bucket").over(run), F.lit(0).cast("long"))).drop("in_bucket").join(goal, "k")
+
+
+def shares(sizes: DataFrame, buckets: DataFrame) -> DataFrame:
+    """sizes with the columns of their buckets and part: the words taken once more."""
     inside = Window.partitionBy("k", "b").orderBy("u", "size").rowsBetween(Window.unboundedPreceding, -1)
     ranked = sizes.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0).cast("long")))
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("rest") - F.col("bucket_before") - F.col("inside")))
-    return (
-        ranked.join(buckets, ["k", "b"])
-        .withColumn("part", part)
-        .withColumn("taken", F.col("whole") * F.col("size") + F.col("part"))
-        .select("doc_id", "k", "u", "size", "source_size", "target", "whole", "part", "taken")
-    )
+    return ranked.join(buckets, ["k", "b"]).withColumn("part", part)
 
 
-def mixed_documents(docs: DataFrame, cut: bool = True, **options) -> DataFrame:
-    """The mix itself: every column of docs, one row per repetition; a document in part has its leading words.
+def mix(
+    docs: DataFrame,
+    weights: tuple[int, ...] = (5, 2, 1),
+    share: float = 1.5,
+    max_epochs: float = 2.0,
+    seed: str = "mix-1",
+) -> DataFrame:
+    """Per document: doc_id, k, u, size, source_size, target, whole (repetitions), part (words), taken."""
+    sizes = materialize(measure(docs, seed), "mix-sizes")
+    taken = shares(sizes, hash_buckets(sizes, source_goals(sizes, weights, share, max_epochs)))
+    return taken.withColumn("taken", F.col("whole") * F.col("size") + F.col("part")).select("doc_id", "k", "u", "size", "source_size", "target", "whole", "part", "taken")
+
+
+def leading_words(text: Column, k: Column) -> Column:
+    """The text up to the end of its k-th word."""
+    gaps, words = F.split(text, WORD, -1), F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    lengths = F.zip_with(F.slice(gaps, F.lit(1), k), F.slice(words, F.lit(1), k), lambda g, w: F.length(g) + F.length(w))
+    return F.substring(text, F.lit(1), F.aggregate(lengths, F.lit(0), lambda a, x: a + x))
+
+
+def mixed_documents(
+    docs: DataFrame,
+    cut: bool = True,
+    weights: tuple[int, ...] = (5, 2, 1),
+    share: float = 1.5,
+    max_epochs: float = 2.0,
+    seed: str = "mix-1",
+) -> DataFrame:
+    """The mix itself: every column of docs, one row per repetition; a document in part is its text up to a word's end.
 
     Without ``cut`` a document in part is taken whole or not at all, whichever is nearer the target.
 
-    Rows of equal doc_id and size share their plan, one of the equal plans each.
+    What a document is taken for follows from its source and its bucket, but in the one bucket of
+    each source that holds the boundary. Only the documents of that bucket meet the ranked plan, so
+    other texts aren't shuffled unless the table of sources is too large to broadcast. Rows of equal
+    doc_id and size share their plan, one of the equal plans each.
     """
+    sizes = materialize(measure(docs, seed), "mix-sizes")
+    goal = materialize(source_goals(sizes, weights, share, max_epochs), "mix-goals")
+    buckets = materialize(hash_buckets(sizes, goal), "mix-buckets")
+    edge = buckets.where("bucket_before < rest").groupBy("k").agg(F.max("b").alias("b"))
     key = ["_id", "_k", "_size"]
-    plan = mix(docs, **options).select(
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"),
-        F.col("k").alias("_k"),
-        F.col("size").alias("_size"),
-        F.col("whole").alias("_whole"),
-        (F.col("part") if cut else F.when(F.col("part") * 2 >= F.col("size"), F.col("size")).otherwise(0).cast("long")).alias("_part"),
-    )
-    plan = plan.groupBy(*key).agg(F.max("_whole").alias("_whole"), F.sort_array(F.collect_list("_part")).alias("_parts"))
-    rows = docs.select(
-        F.struct("*").alias("_row"),
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"),
-        F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source"))).alias("_k"),
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("_size"),
+    part = F.col("part") if cut else F.when(F.col("part") * 2 >= F.col("size"), F.col("size")).otherwise(0).cast("long")
+    plan = shares(sizes.join(edge, ["k", "b"], "left_semi"), buckets).select(
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"), F.col("k").alias("_k"), F.col("size").alias("_size"), part.alias("_part")
     )
+    plan = plan.groupBy(*key, "_part").agg(F.count("*").alias("_times"))
+    upto = Window.partitionBy(*key).orderBy("_part")
+    plan = plan.withColumn("_to", F.sum("_times").over(upto)).withColumn("_from", F.col("_to") - F.col("_times"))
+
+    per_source = goal.join(edge, "k", "left").select(F.col("k").alias("_k"), F.col("whole").alias("_whole"), F.coalesce("b", F.lit("")).alias("_edge"))
+    rows = measured(docs.select(F.struct("*").alias("_row"), "doc_id", "source", "text"), seed, "_row").join(per_source, "_k")
+    rest = rows.where("_b <> _edge").withColumn("_part", F.when(F.col("_b") < F.col("_edge"), F.col("_size")).otherwise(0).cast("long"))
     turn = Window.partitionBy(*key).orderBy(F.xxhash64("_row.text"))
-    joined = rows.join(plan, key).withColumn("_part", F.get("_parts", F.row_number().over(turn) - 1))
+    ranked = rows.where("_b = _edge").withColumn("_turn", F.row_number().over(turn) - 1)
+    met = ranked.join(plan, key).where("_turn >= _from and _turn < _to").select(*rest.columns)
+    joined = rest.unionByName(met)
+
     none = F.array().cast("array<bigint>")
     all_words = F.lit(-1).cast("long")
     copies = F.concat(
         F.array_repeat(all_words, F.col("_whole").cast("int")),
-        F.when((F.col("_part") == F.col("_size")) & (F.col("_size") > 0), F.array(all_words))
-        .when(F.col("_part") > 0, F.array(F.col("_part")))
-        .otherwise(none),
+        F.when((F.col("_part") == F.col("_size")) & (F.col("_size") > 0), F.array(all_words)).when(F.col("_part") > 0, F.array(F.col("_part"))).otherwise(none),
     )
     joined = joined.withColumn("_words", F.explode(copies))
-    leading = F.array_join(
-        F.slice(F.regexp_extract_all(F.col("_row.text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("_words").cast("int")), " "
-    )
-    text = F.when(F.col("_words") < 0, F.col("_row.text")).otherwise(leading)
+    text = F.when(F.col("_words") < 0, F.col("_row.text")).otherwise(leading_words(F.col("_row.text"), F.col("_words").cast("int")))
     fields = []
     for f in docs.schema.fields:
         if f.name == "text":

@@ -1,5 +1,7 @@
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from corpusloom.llm import mixing as M
 
 S = "doc_id long, text string, source string, n_chars long, size int"
@@ -59,3 +61,31 @@ def test_documents_of_the_mix(spark):
         texts[i].add(" ".join(t.split()))
     for r in out.collect():
         assert any(t.startswith(" ".join(r.text.split())) for t in texts[r.doc_id]) and r.n_chars == len(r.text)
+
+
+def test_a_part_keeps_the_text_as_it_is(spark):
+    text = "x\ny\tz  \nq r\n"
+    df = spark.createDataFrame([(text, k) for k in range(1, 6)], "t string, k int")
+    got = {r.k: r.p for r in df.select("k", M.leading_words(F.col("t"), F.col("k")).alias("p")).collect()}
+    assert got == {1: "x", 2: "x\ny", 3: "x\ny\tz", 4: "x\ny\tz  \nq", 5: "x\ny\tz  \nq r"}
+
+
+def test_documents_follow_the_plan(spark):
+    """Every document comes whole as often as its plan says, and the boundary document in part."""
+    rows = [(i, " ".join(f"d{i}w{j}" for j in range(1 + i * 13 % 40)), f"s{i % 4}" if i % 7 else None) for i in range(300)] + [(7, "a b c", "s1")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for cut in (True, False):
+        words = {}
+        for r in M.mixed_documents(df, cut=cut).collect():
+            words.setdefault(r.doc_id, []).append(len(r.text.split()))
+        plan = {}
+        for r in M.mix(df).collect():
+            part = r.part if cut else (r.size if 2 * r.part >= r.size else 0)
+            plan.setdefault(r.doc_id, []).extend([r.size] * r.whole + ([part] if part else []))
+        assert {i: sorted(w) for i, w in words.items()} == {i: sorted(w) for i, w in plan.items() if w}
+
+
+def test_very_long_text(spark):
+    df = spark.createDataFrame([(1, "w " * 400_000, "s"), (2, "a b", "s")], "doc_id long, text string, source string")
+    got = {r.doc_id: r.size for r in M.mix(df).collect()}
+    assert got == {1: 400_000, 2: 2}
