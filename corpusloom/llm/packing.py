@@ -16,6 +16,7 @@ an empty table gives no row. Padding is what the rounding to ``unit`` and the la
 
 from __future__ import annotations
 
+import math
 import re
 import struct
 import zlib
@@ -208,11 +209,11 @@ def plan_patterns(histogram: dict[int, int], capacity: int) -> list[tuple[dict[i
 def pack_pieces(pieces: DataFrame, capacity: int = 2048, unit: int = 16, buckets: int = 1024) -> DataFrame:
     """Adds sequence_id and offset to pieces."""
     spark = pieces.sparkSession
-    kept = materialize(pieces, "pack-pieces")
+    unit = math.gcd(unit, capacity)  # classes have to add up to the capacity
+    # a piece's bucket is its place in its task, written with it, so that equal rows don't meet in one bucket
+    kept = materialize(pieces.withColumn("_b", F.pmod(F.monotonically_increasing_id(), F.lit(buckets)).cast("int")), "pack-pieces")
     order = ["doc_id", "start", "ids_crc32", "length"]
-    rows = kept.withColumn("_c", F.ceil(F.col("length") / unit).cast("int")).withColumn(
-        "_b", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).cast("int")
-    )
+    rows = kept.withColumn("_c", F.ceil(F.col("length") / unit).cast("int"))
     counts = rows.groupBy("_c", "_b").agg(F.count("*").alias("_n"))
     histogram = {r["_c"]: r["n"] for r in counts.groupBy("_c").agg(F.sum("_n").alias("n")).collect()}
     slots, sequence = [], 0

@@ -84,7 +84,8 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
         part = first[i][alive]
         for b in range(1, len(cuts) - 1):
             if len(alive) > k:
-                slack = q_mass[b, i] * c_mass[b][alive] + 1
+                # above what rounding can take from masses and, beyond 2^53, from sums
+                slack = q_mass[b, i] * c_mass[b][alive] * (1 + 1e-9) + 1 + np.abs(part) * 2.0**-50
                 least = np.partition(part - slack, len(alive) - k)[len(alive) - k]
                 keep = part + slack >= least
                 alive, part = alive[keep], part[keep]
