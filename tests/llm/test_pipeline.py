@@ -29,6 +29,37 @@ def test_stages_feed_each_other(spark):
     assert sum(p.length for p in pieces) == sum(wanted)
 
 
+def test_defined_cases_of_every_stage(spark):
+    """Nulls in every column, empty and long texts, repeated rows, extra columns of names used inside, an empty table."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, size string, k string, _row string, bins string, component_id int"
+    long = "some words of a long text " * 20000
+    rows = [(1, "a b c d e f g", "en", "s", 13), (1, "a b c d e f g", "en", "s", 13), (2, None, None, None, None), (3, "", "en", "s", 0), (None, "a b c d e f g", None, None, 13), (None, None, None, None, None)]
+    rows += [(4, long, "en", "s", len(long)), (5, "password=hunter22 " + "x " * 9, "en", None, 36)]
+    docs = spark.createDataFrame([(*r, "1", "2", "3", "4", 5) for r in rows], schema)
+    ids = []
+    for _, stage in C.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, SF), "cases")
+        assert docs.schema.simpleString() == spark.createDataFrame([], schema).schema.simpleString()
+        assert {tuple(r)[5:] for r in docs.collect()} == {("1", "2", "3", "4", 5)}
+        ids.append(sorted(r.doc_id or 0 for r in docs.collect()))
+    assert ids[0] == [0, 0, 1, 1, 2, 3, 4, 5] and ids[1] == ids[2] == [0, 0, 1, 2, 3, 4, 5]
+    assert {r.text for r in docs.where("doc_id = 5").collect()} <= {"[SECRET] " + "x " * 9}
+    pieces = C.STAGES[-1][1](spark, docs, SF)
+    assert pieces.where("start = 0").count() == docs.count()
+    empty = spark.createDataFrame([], schema)
+    for _, stage in C.STAGES[:-1]:
+        assert stage(spark, empty, SF).count() == 0
+    assert C.STAGES[-1][1](spark, empty, SF).count() == 0
+
+
+def test_run_leaves_one_table(spark):
+    from corpusloom.storage import made
+
+    before = made(spark)
+    C.run(spark, SF)
+    assert made(spark) - before <= 3
+
+
 def test_run_is_the_stages(spark):
     out = C.run(spark, SF)
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and out.count() > 0
