@@ -2,7 +2,12 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame.
 All but the last return the columns of documents. Between stages the table is written as Parquet
-and read again.
+and read again; what a stage has written for itself is deleted then.
+
+Defined cases, for every stage: a null text is an empty one; very long texts are worked on whole; an
+empty table gives an empty one; further columns, whatever their names, pass through all stages but
+the last. Rows of one doc_id are scored and scanned each; near-dedup leaves one of them, and all rows
+without a doc_id. Rows without a source are a source of their own.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import mixing, near_dedup, packing, secrets, toxicity
 from corpusloom.llm.queries import table, tokenizer_paths
-from corpusloom.storage import materialize
+from corpusloom.storage import made, materialize, release
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +57,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), made(spark)
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(spark, before, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)

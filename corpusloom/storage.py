@@ -29,10 +29,12 @@ def session(app: str = "corpusloom", cpus: str = "*", **conf: str) -> SparkSessi
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; one of our own only where it is unset (local runs)."""
+    """spark.checkpoint.dir of the session; one of our own only where it is unset and the master is local."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="spark-corpusloom-")
@@ -43,7 +45,8 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Write a table to the shared folder and read it back.
 
     Cuts the lineage with columnar, compressed files that any executor can read again after a
-    loss; only narrow tables (ids, counts, signatures) go this way.
+    loss. Ids, counts and signatures go this way, texts only between stages of the pipeline and in
+    samples of a stated size.
     """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -51,9 +54,16 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Delete the tables that this application has materialized; call it when no result needs them any more."""
-    paths = _MADE.pop(spark.sparkContext.applicationId, [])
+def made(spark: SparkSession) -> int:
+    """How many tables this application has materialized and not released."""
+    return len(_MADE.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Delete the tables materialized after the first ``since``, but for the last ``keep``; no result may need them any more."""
+    own = _MADE.get(spark.sparkContext.applicationId, [])
+    paths = own[since : len(own) - keep]
+    del own[since : len(own) - keep]
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
