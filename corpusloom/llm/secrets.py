@@ -8,11 +8,14 @@ inferred (decimal, hexadecimal, base 32, alphanumeric, base 64) and three tests
 * Wald-Wolfowitz runs above and below the middle of the alphabet;
 * lag-1 serial correlation of the symbol ranks.
 
-A candidate that one of them rejects as random (|z| above ``REJECT``) is left alone. For the
-others the p-value of the contrary hypothesis is computed, "symbols as in ordinary words": under
-it chi-squared is non-central with a shift that grows with the length, and runs are rare, so long
-candidates gain evidence and short ones don't. Benjamini-Hochberg over all candidates of the
-corpus, by a histogram of p-values (401 numbers), gives the level up to which they are reported.
+The three are combined twice. As tests of randomness, by Fisher's method: a candidate whose combined
+p-value is under ``RANDOM`` is not random and is left alone. And against the contrary hypothesis,
+"symbols as in ordinary words": under it chi-squared is non-central with a shift that grows with the
+length, runs are rare and neighbours are correlated, so each test has a distance from words in
+standard deviations. These are summed with weights in proportion to how far a random string of this
+length and encoding would be, the most powerful weights for independent normal distances; so long
+candidates gain evidence and short ones don't. Benjamini-Hochberg over the p-values of all
+candidates of the corpus, by a histogram (401 numbers), gives the level up to which they are reported.
 
 Defined cases: null text is empty; repeated rows are scanned each; positions are code points,
 end exclusive; an empty table gives no row.
@@ -33,12 +36,16 @@ ASSIGN = (
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-REJECT = 3.3
+RANDOM = 0.001
 LEVEL = 0.001
-#: Noise of words, as one over the number of equally likely symbols: the sum of squared letter shares of prose.
-WORD_CONCENTRATION = 0.066
+#: Noise of words, as one over the number of equally likely symbols: the sum of squared letter shares of prose and of names put together from it.
+WORD_CONCENTRATION = 0.06
 #: Share of neighbours in words on different sides of the alphabet's middle.
-WORD_SWITCHES = 0.15
+WORD_SWITCHES = 0.25
+#: Correlation of neighbours in words, and its standard deviation times the root of the length.
+WORD_SERIAL, WORD_SERIAL_SPREAD = -0.12, 0.9
+#: Matches whose places are summed in one go; sums of sums follow.
+RUN = 512
 
 SPAN = "struct<kind:string,start:int,end:int>"
 
@@ -52,17 +59,32 @@ def match_spans(text: Column, pattern: str) -> Column:
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
     hits = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.length(m))
 
-    def sums(hs: Column, gs: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-        folded = F.aggregate(
-            F.zip_with(F.slice(gs, F.lit(1), F.size(hs)), hs, lambda g, h: F.struct(g.alias("g"), h.alias("h"))),
-            start,
+    place = "struct<start:int,end:int>"
+
+    def block(pairs: Column) -> Column:
+        """Total length of a run of gaps and matches, and the places of the matches from its beginning."""
+        return F.aggregate(
+            pairs,
+            F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{place}>").alias("out")),
             lambda acc, x: F.struct(
                 (acc["at"] + x["g"] + x["h"]).alias("at"),
                 F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("start"), (acc["at"] + x["g"] + x["h"]).alias("end")))).alias("out"),
             ),
         )
-        return folded["out"]
+
+    def shifted(blocks: Column) -> Column:
+        begins = F.aggregate(
+            blocks,
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+            lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+        )["out"]
+        moved = F.zip_with(blocks, begins, lambda x, at: F.transform(x["out"], lambda m: F.struct((m["start"] + at).alias("start"), (m["end"] + at).alias("end"))))
+        return F.flatten(moved)
+
+    def sums(hs: Column, gs: Column) -> Column:
+        pairs = F.zip_with(F.slice(gs, F.lit(1), F.size(hs)), hs, lambda g, h: F.struct(g.alias("g"), h.alias("h")))
+        runs = F.sequence(F.lit(0), F.floor(F.size(hs) / RUN).cast("int"))
+        return _let(pairs, lambda ps: _let(F.transform(runs, lambda i: block(F.slice(ps, i * RUN + 1, F.lit(RUN)))), shifted))
 
     return _let(hits, lambda hs: _let(gaps, lambda gs: sums(hs, gs)))
 
@@ -87,8 +109,14 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
+def _surprise(z: Column) -> Column:
+    """-log of the two-sided p-value of a normal (its logistic form)."""
+    size = F.least(F.abs(z), F.lit(20.0))
+    return F.log(1 + F.exp(0.07056 * F.pow(size, F.lit(3.0)) + 1.5976 * size)) - F.log(F.lit(2.0))
+
+
 def battery(token: Column) -> Column:
-    """Struct: z_chi, z_runs, z_serial (under randomness) and word_z (under ordinary words; low: unlike words)."""
+    """Struct: z_chi, z_runs, z_serial (under randomness), random_p (the three combined) and word_z (under ordinary words; low: unlike words)."""
     alphabet = (
         F.when(token.rlike("^[0-9]+$"), F.struct(F.lit(10.0).alias("n"), F.lit(53).alias("mid")))
         .when(token.rlike("^[0-9a-f]+$"), F.struct(F.lit(16.0).alias("n"), F.lit(56).alias("mid")))
@@ -116,9 +144,18 @@ def battery(token: Column) -> Column:
         lagged = F.aggregate(F.zip_with(F.slice(cs, F.lit(1), F.greatest(F.size(cs) - 1, F.lit(0))), F.slice(cs, F.lit(2), F.size(cs)), lambda x, y: F.when(y.isNull(), F.lit(0.0)).otherwise((x - mean) * (y - mean))), F.lit(0.0), lambda s, x: s + x)
         z_serial = F.when(power <= 0, F.lit(9.0)).otherwise(lagged / F.greatest(power, F.lit(1e-9)) * F.sqrt(n))
         shift = n * F.greatest(a["n"] * WORD_CONCENTRATION - 1, F.lit(0.25))
-        chi_word = (chi - (df + shift)) / F.sqrt(2 * (df + 2 * shift))
-        runs_word = ((n - 1) * WORD_SWITCHES - switches) / F.sqrt((n - 1) * WORD_SWITCHES * (1 - WORD_SWITCHES))
-        return F.struct(z_chi.alias("z_chi"), z_runs.alias("z_runs"), z_serial.alias("z_serial"), ((chi_word + runs_word) / F.sqrt(F.lit(2.0))).alias("word_z"))
+        switch = (n - 1) * WORD_SWITCHES
+        # distances from words, and where a random string would be
+        apart = [
+            ((chi - (df + shift)) / F.sqrt(2 * (df + 2 * shift)), shift / F.sqrt(2 * (df + 2 * shift))),
+            ((switch - switches) / F.sqrt(switch * (1 - WORD_SWITCHES)), F.greatest(expected - switch, F.lit(0.0)) / F.sqrt(switch * (1 - WORD_SWITCHES))),
+            ((WORD_SERIAL - z_serial / F.sqrt(n)) * F.sqrt(n) / WORD_SERIAL_SPREAD, -WORD_SERIAL * F.sqrt(n) / WORD_SERIAL_SPREAD),
+        ]
+        weight = F.sqrt(sum((d * d for _, d in apart), F.lit(0.0)))
+        word_z = sum((z * d for z, d in apart), F.lit(0.0)) / F.greatest(weight, F.lit(1e-9))
+        half = sum((_surprise(z) for z in (z_chi, z_runs, z_serial)), F.lit(0.0))
+        random_p = F.exp(-half) * (1 + half + half * half / 2)  # chi-squared of 6 degrees of freedom
+        return F.struct(z_chi.alias("z_chi"), z_runs.alias("z_runs"), z_serial.alias("z_serial"), random_p.alias("random_p"), word_z.alias("word_z"))
 
     return _let(codes, lambda cs: _let(alphabet, lambda a: tests(cs, a)))
 
@@ -141,8 +178,7 @@ def scan_texts(docs: DataFrame, *keep: str) -> DataFrame:
     )
     all_base = F.concat("assign", "access", "hex")
     clear = F.filter(tokens, lambda c: ~F.exists(all_base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    random = lambda t: (F.abs(t["z_chi"]) <= REJECT) & (F.abs(t["z_runs"]) <= REJECT) & (F.abs(t["z_serial"]) <= REJECT)
-    scored = F.transform(clear, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.when(random(c["t"]), evidence(c["t"]["word_z"])).otherwise(F.lit(0)).alias("score")))
+    scored = F.transform(clear, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.when(c["t"]["random_p"] >= RANDOM, evidence(c["t"]["word_z"])).otherwise(F.lit(0)).alias("score")))
     none = F.array().cast("array<struct<start:int,end:int,score:int>>")
     return found.select("doc_id", *keep, "assign", "access", "hex", F.when(F.col("text").rlike(CANDIDATE), scored).otherwise(none).alias("candidates"))
 
@@ -193,13 +229,13 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", level: float = LEVEL) -> Dat
     def cut(ss: Column) -> Column:
         folded = F.aggregate(
             F.sort_array(F.transform(ss, lambda s: F.struct(s["start"].alias("s"), s["end"].alias("e")))),
-            F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
             lambda acc, s: F.struct(
                 F.greatest(acc["at"], s["e"]).alias("at"),
-                F.when(s["s"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["s"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
+                F.when(s["s"] >= acc["at"], F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, s["s"] - acc["at"]), F.lit(mark)))).otherwise(acc["out"]).alias("out"),
             ),
         )
-        return F.concat(folded["out"], F.substring(text, folded["at"] + 1, F.length(text)))
+        return _let(folded, lambda f: F.concat(F.array_join(f["out"], ""), F.substring(text, f["at"] + 1, F.length(text))))
 
     marked = F.when(F.size(spans) == 0, text).otherwise(cut(spans))
     fields = []

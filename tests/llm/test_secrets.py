@@ -1,4 +1,6 @@
+import math
 import random
+import string
 import re
 
 from pyspark.sql import functions as F
@@ -46,6 +48,87 @@ def test_battery_finds_random_tokens_and_leaves_words(spark):
     assert all((s.start, s.end) == (4, 44) for i in range(30) for s in rows[i])
 
 
+def told_apart(token):
+    """The battery, in plain code: distance from words and p-value of randomness."""
+    for pattern, size, mid in (("[0-9]+", 10, 53), ("[0-9a-f]+", 16, 56), ("[0-9A-F]+", 16, 56), ("[A-Z2-7]+=*", 32, 75), ("[A-Za-z0-9]+", 62, 86), (".*", 64, 86)):
+        if re.fullmatch(pattern, token):
+            break
+    codes = [ord(c) for c in token.rstrip("=")]
+    n, df = len(codes), size - 1
+    chi = sum((codes.count(c) - n / size) ** 2 for c in set(codes)) * size / n + (size - len(set(codes))) * n / size
+    z_chi = ((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+    high = sum(c >= mid for c in codes)
+    switches = sum((x >= mid) != (y >= mid) for x, y in zip(codes, codes[1:]))
+    expected = 2 * high * (n - high) / n
+    z_runs = -9.0 if min(high, n - high) < 2 else (switches - expected) / math.sqrt(max(expected * (expected - 1) / (n - 1), 1e-9))
+    mean = sum(codes) / n
+    power = sum((c - mean) ** 2 for c in codes)
+    z_serial = 9.0 if power == 0 else sum((x - mean) * (y - mean) for x, y in zip(codes, codes[1:])) / power * math.sqrt(n)
+    half = 0.0
+    for z in (z_chi, z_runs, z_serial):
+        a = min(abs(z), 20.0)
+        half += math.log(1 + math.exp(0.07056 * a**3 + 1.5976 * a)) - math.log(2)
+    shift = n * max(size * Z.WORD_CONCENTRATION - 1, 0.25)
+    spread = math.sqrt(2 * (df + 2 * shift))
+    usual = (n - 1) * Z.WORD_SWITCHES
+    wide = math.sqrt(usual * (1 - Z.WORD_SWITCHES))
+    parts = [
+        ((chi - df - shift) / spread, shift / spread),
+        ((usual - switches) / wide, max(expected - usual, 0.0) / wide),
+        ((Z.WORD_SERIAL - z_serial / math.sqrt(n)) * math.sqrt(n) / Z.WORD_SERIAL_SPREAD, -Z.WORD_SERIAL * math.sqrt(n) / Z.WORD_SERIAL_SPREAD),
+    ]
+    word_z = sum(z * d for z, d in parts) / math.sqrt(sum(d * d for _, d in parts))
+    return word_z, math.exp(-half) * (1 + half + half * half / 2)
+
+
+def score(token):
+    word_z, random_p = told_apart(token)
+    if random_p < Z.RANDOM:
+        return 0
+    return min(400, max(0, math.floor(math.log10(1 + math.exp(min(600.0, -(0.07056 * word_z**3 + 1.5976 * word_z)))) * 8)))
+
+
+def some_tokens(rng, n):
+    letters = string.ascii_letters
+    words = ["".join(rng.choice("aeiou" if i % 2 else "bcdfglmnprst") for i in range(rng.randint(3, 9))) for _ in range(300)]
+    alphabets = [letters + string.digits, letters + string.digits + "+/", string.ascii_uppercase + "234567", "0123456789ABCDEF", string.digits]
+    keys = ["".join(rng.choice(rng.choice([alphabets[i % 5]])) for _ in range(rng.randint(20, 70))) for i in range(n)]
+    clean = [rng.choice("-_/").join(rng.choice(words) + rng.choice(["", "", str(rng.randint(1, 99))]) for _ in range(rng.randint(4, 9))) for _ in range(n)]
+    clean += ["".join(rng.choice(words).capitalize() for _ in range(rng.randint(4, 9))) for _ in range(n)]
+    return keys, [c for c in clean if len(c) >= 20]
+
+
+def test_random_spans_against_plain_code(spark):
+    keys, clean = some_tokens(random.Random(11), 120)
+    df = spark.createDataFrame([(i, f"see {t} here {t[::-1]}", "") for i, t in enumerate(keys + clean)], S)
+    own = [(i, m.start(), m.end(), m[0]) for i, t in enumerate(keys + clean) for m in re.finditer(Z.CANDIDATE, f"see {t} here {t[::-1]}")]
+    base = {r.doc_id: told(r) for r in Z.find_secrets(df).collect()}
+    own = [(i, s, e, score(t)) for i, s, e, t in own if not any(b < e and s < f for _, b, f in base[i])]
+    least = 401
+    for level in sorted({x[3] for x in own} - {0}, reverse=True):
+        if len(own) * 10 ** (-level / 8) <= Z.LEVEL * sum(x[3] >= level for x in own):
+            least = level
+    got = {(r.doc_id, s.start, s.end) for r in Z.find_secrets(df).collect() for s in r.random}
+    assert got == {x[:3] for x in own if x[3] >= least} and got
+
+
+def test_realised_rates(spark):
+    """Of what is reported nearly all is random; of long random strings of rich alphabets nearly all is reported."""
+    keys, clean = some_tokens(random.Random(12), 400)
+    df = spark.createDataFrame([(i, t, "") for i, t in enumerate(keys + clean)], S)
+    got = {r.doc_id for r in Z.find_secrets(df).collect() if r.random}
+    wrong = sum(i >= len(keys) for i in got)
+    long = [i for i, k in enumerate(keys) if len(k) >= 40 and i % 5 in (0, 1)]
+    assert wrong <= 0.01 * len(got) and len(got & set(long)) >= 0.9 * len(long)
+
+
+def test_many_matches_in_one_text(spark):
+    text = "x password=hunter22 é " * 3000
+    r = Z.find_secrets(spark.createDataFrame([(1, text, "")], S)).first()
+    assert [(s.start, s.end) for s in r.assign] == [m.span() for m in re.finditer("password=hunter22", text)]
+    assert Z.redact(spark.createDataFrame([(1, text, "")], S)).first().text == text.replace("password=hunter22", "[SECRET]")
+
+
 def test_nulls_repeats_empty_and_listing(spark):
     assert Z.find_secrets(spark.createDataFrame([], S)).count() == 0
     df = spark.createDataFrame([(1, None, None), (1, None, None), (None, "token=abcdefg", "")], S)
