@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import json
+import unicodedata
+from functools import cache
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Punctuation that becomes a space, and the CJK ranges that tokens keep.
 CJK_PUNCTUATION = "，。；：、（）《》\"'【】「」　"
@@ -22,21 +25,32 @@ def strip_ws(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
-@F.pandas_udf(T.StringType())
-def _nfc(text: pd.Series) -> pd.Series:
-    import unicodedata
+@cache
+def _composed() -> tuple[str, str, str]:
+    """By rule: a pattern of ASCII letters with marks that NFC makes one letter of, and characters that NFC turns into CJK or ASCII ones, with those."""
+    nfc = lambda t: unicodedata.normalize("NFC", t)
+    marks = [chr(c) for c in range(0x300, 0x370)]
+    letters = []
+    for x in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz":
+        own = "".join(m for m in marks if len(nfc(x + m)) == 1)
+        if own:
+            letters.append(f"{x}\\p{{M}}*?[{own}]\\p{{M}}*")
+    single = [chr(c) for c in (0x212A, *range(0xF900, 0xFADA)) if len(nfc(chr(c))) == 1 and nfc(chr(c)) != chr(c)]
+    return "|".join(letters), "".join(single), "".join(nfc(c) for c in single)
 
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
+def composed_tokens(text: Column) -> Column:
+    """The text as far as tokens see NFC: letters with marks are no ASCII letters, compatibility characters are the plain ones.
 
-def compose(text: Column) -> Column:
-    """NFC; texts without combining marks stay on the JVM side."""
-    return F.when(text.rlike(r"\p{M}"), _nfc(text)).otherwise(text)
+    Texts without any of them, nearly all, are looked through once and stay as they are.
+    """
+    pattern, single, plain = _composed()
+    return F.when(text.rlike(f"[\\p{{M}}{single[0]}\\uF900-\\uFADA]"), F.regexp_replace(F.translate(text, single, plain), pattern, " ")).otherwise(text)
 
 
 def normalize_text(text: Column) -> Column:
-    """All but CJK and ASCII letters and digits as single spaces, trimmed, in lower case. Compose first if marks occur."""
-    kept = F.regexp_replace(text, f"[^{CJK}A-Za-z0-9]+", " ")
+    """All but CJK and ASCII letters and digits, after NFC, as single spaces, trimmed, in lower case."""
+    kept = F.regexp_replace(composed_tokens(text), f"[^{CJK}A-Za-z0-9]+", " ")
     return F.lower(F.trim(kept))
 
 
@@ -75,9 +89,9 @@ def labels_of(text: Column, table: dict[str, str]) -> Column:
     return F.array_distinct(F.transform(F.filter(found, lambda x: F.contains(text, x["t"])), lambda x: x["l"]))
 
 
-def title_of(text: Column, limit: int = 120) -> Column:
+def title_of(text: Column) -> Column:
     """The first line that isn't blank."""
-    return F.substring(F.trim(F.split_part(F.ltrim(text, F.lit(" \n\r\t")), F.lit("\n"), F.lit(1))), 1, limit)
+    return F.trim(F.split_part(F.ltrim(text, F.lit(" \n\r\t")), F.lit("\n"), F.lit(1)))
 
 
 def html_to_text(html: Column) -> Column:
@@ -92,13 +106,35 @@ def html_to_text(html: Column) -> Column:
     ]
     for pattern, by in steps:
         html = F.regexp_replace(html, pattern, by)
-    for entity, by in ENTITIES.items():
-        html = F.replace(html, F.lit(entity), F.lit(by))
-    return F.trim(F.regexp_replace(F.regexp_replace(html, r"[ \t]+", " "), r"\n{3,}", "\n\n"), F.lit(" \n\t\r"))
+    return strip_ws(F.regexp_replace(F.regexp_replace(unescape_html(html), r"[ \t]+", " "), r"\n{3,}", "\n\n"))
+
+
+_ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+
+@cache
+def _entities() -> str:
+    """The named entities as JSON."""
+    return json.dumps({name[:-1]: by for name, by in html5.items() if name.endswith(";")})
+
+
+def unescape_html(text: Column) -> Column:
+    """Named and numeric entities (ended by a semicolon) undone; unknown names stay."""
+    table = F.from_json(F.lit(_entities()), "map<string,string>")
+
+    def undone(entity: Column) -> Column:
+        name = F.substring(entity, F.lit(2), F.length(entity) - 2)
+        digits = F.when(F.lower(name).startswith("#x"), F.conv(F.substring(name, F.lit(3), F.length(name)), 16, 10)).otherwise(F.substring(name, F.lit(2), F.length(name)))
+        code = digits.cast("int")
+        valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        char = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
+        return F.when(F.startswith(name, F.lit("#")), char).otherwise(F.coalesce(F.try_element_at(table, name), entity))
 
+    def joined(found: Column) -> Column:
+        gaps = F.split(text, _ENTITY, -1)
+        return F.array_join(F.flatten(F.zip_with(gaps, F.transform(found, undone), lambda g, e: F.array(g, F.coalesce(e, F.lit(""))))), "")
 
-#: Named entities undone, the ampersand last.
-ENTITIES = {"&quot;": '"', "&copy;": "©", "&middot;": "·", "&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&#39;": "'", "&amp;": "&"}
+    return F.when(text.rlike(_ENTITY), let(F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(0)), joined)).otherwise(text)
 
 
 def strip_tags(text: Column) -> Column:

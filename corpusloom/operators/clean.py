@@ -8,6 +8,7 @@ pandas UDF.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -44,75 +45,105 @@ def simple_clean(text: Column) -> Column:
 
 def mechanical_rule(line: Column) -> Column:
     """Name of the first rule that drops the (stripped) line, or null."""
-    return F.coalesce(*[F.when(line.rlike(p), F.lit(n)) for n, p in rules.MECHANICAL.items()])
+    url = F.trim(line, F.lit("[]()")).rlike(rules.SOURCE_URL)
+    found = []
+    for name, pattern in rules.MECHANICAL.items():
+        met = line.rlike(pattern)
+        found.append(F.when(met | url if name == "standalone_source_url_lines" else met, F.lit(name)))
+    return F.coalesce(*found)
 
 
-def drop_lines(text: Column, title: Column | None = None) -> Column:
-    """Struct of the kept text and the names of the rules that dropped a line, one each.
+def drop_titles(text: Column, title: Column) -> Column:
+    """Struct of the text without the second and later lines equal to the title, and how many went."""
+    lines = F.split(text, "\n", -1)
+    same = lambda x: F.coalesce((strip_ws(x) == strip_ws(title)) & (title != ""), F.lit(False))
+    first = F.array_position(F.transform(lines, same), True)
+    kept = F.filter(lines, lambda x, i: ~same(x) | (i + 1 == first))
+    return F.struct(F.array_join(kept, "\n").alias("text"), (F.size(lines) - F.size(kept)).alias("n"))
 
-    The second and later lines equal to the title go as well.
-    """
+
+def drop_lines(text: Column) -> Column:
+    """Struct of the text without mechanical lines, and the names of the rules that dropped one, one each."""
     told = F.transform(F.split(text, "\n", -1), lambda x: F.struct(x.alias("line"), mechanical_rule(strip_ws(x)).alias("rule")))
-    if title is not None:
-        lines = F.split(text, "\n", -1)
-        first = F.array_position(F.transform(lines, strip_ws), strip_ws(title))
-        told = F.transform(told, lambda x, i: F.struct(x["line"].alias("line"), F.coalesce(F.when((strip_ws(x["line"]) == strip_ws(title)) & (i + 1 > first) & (title != ""), F.lit("duplicate_title")), x["rule"]).alias("rule")))
     kept = F.array_join(F.transform(F.filter(told, lambda x: x["rule"].isNull()), lambda x: x["line"]), "\n")
     return F.struct(kept.alias("text"), F.array_compact(F.transform(told, lambda x: x["rule"])).alias("rules"))
 
 
+def _counted(names: list[str], counts: list[Column]) -> Column:
+    """Map of rule and count, zeros left out."""
+    every = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*counts))
+    return F.map_filter(every, lambda k, n: n > 0)
+
+
+def _by_rule(rules_met: Column) -> Column:
+    """Map of rule and count, of an array that names a rule for each line dropped."""
+    return F.map_from_entries(F.transform(F.array_distinct(rules_met), lambda r: F.struct(r, F.size(F.filter(rules_met, lambda x: x == r)))))
+
+
 def rule_hits(docs: DataFrame) -> DataFrame:
-    """doc_id, rule, n: hits of the counted rules, zeros left out."""
+    """doc_id, rule, n: hits of the counted rules in the text as it is, zeros left out. Counts stay in the row: nothing is shuffled."""
     text = unify_newlines(F.col("text"))
-    counted = docs.select(
-        "doc_id",
-        F.explode(
-            F.map_from_arrays(
-                F.array(F.lit("control_chars"), F.lit("trailing_spaces"), F.lit("blank_runs")),
-                F.array(F.regexp_count(text, F.lit(CONTROL)), F.regexp_count(text, F.lit(r"[ \t]+\n")), F.regexp_count(text, F.lit(r"\n{3,}"))),
-            )
-        ).alias("rule", "n"),
-    ).where("n > 0")
-    lines = docs.select("doc_id", F.explode(drop_lines(text)["rules"]).alias("rule")).groupBy("doc_id", "rule").agg(F.count("*").cast("int").alias("n"))
-    return counted.unionByName(lines)
+    counted = _counted(
+        ["control_chars", "trailing_space", "blank_lines"], [F.regexp_count(text, F.lit(CONTROL)), F.regexp_count(text, F.lit(r"[ \t]+\n")), F.regexp_count(text, F.lit(r"\n{3,}"))]
+    )
+    every = docs.select("doc_id", F.coalesce(counted, F.create_map().cast("map<string,int>")).alias("c"), drop_lines(text)["rules"].alias("r"))
+    return every.select("doc_id", F.explode(F.map_concat("c", _by_rule(F.coalesce("r", F.array().cast("array<string>"))))).alias("rule", "n"))
 
 
 # --- rules that follow the lines one after another -------------------------------------------
 
-_TOC_TITLE = re.compile(r"^(contents|目录|目次|tableofcontents)$", re.I)
-_STRUCTURE = re.compile(rf"^第[{rules.HAN}\d]+[章节编]")
-_LEADER = re.compile(r"[.·…．]{4,}")
-_PAGE = re.compile(r"^[IVXLCDM\d]+$", re.I)
-_DIVIDER = re.compile(r"^\|[\s:|-]+$")
-_BODY = re.compile(rf"^(?:#{{1,6}}\s+)?(?:前\s*言|引\s*言)\b|^第[{rules.HAN}\d]+[章节编条]|^1\s*(?:范围|适用范围)")
-_NUMBER = re.compile(r"^\d+(?:\.\d+){0,4}$")
-_SPACED = re.compile(r"(^|[^\w])([a-zA-Z](?:\s[a-zA-Z]){4,})")
+_CONTENTS, _CHAPTER, _SPACED, _NUMBER = (re.compile(p) for p in (rules.CONTENTS_TITLE, rules.CHAPTER, rules.SPACED_LETTERS, rules.ISOLATED_NUMBER))
+_ENTRY = [re.compile(p) for p in (rules.LEADER_DOTS, rules.PAGE_NUMBER, rules.DIVIDER)]
+_BODY = [re.compile(p) for p in (rules.FRONT_MATTER, rules.CHAPTER, rules.FIRST_SECTION, rules.ARTICLE)]
+
+
+def _filled(lines: list[str], start: int, end: int) -> Iterator[tuple[int, str]]:
+    """Places and stripped texts of the lines that aren't blank."""
+    return ((i, x) for i, x in ((i, lines[i].strip()) for i in range(start, min(end, len(lines)))) if x)
+
+
+def _chapters_end(lines: list[str], start: int) -> int | None:
+    """Where the first of the chapter headings that follow each other comes again."""
+    first = None
+    for i, x in _filled(lines, start, len(lines)):
+        if x == first:
+            return i
+        if not _CHAPTER.match(x) or "条" in x:
+            return None
+        first = first or x
+    return None
+
+
+def _entries_end(lines: list[str], start: int) -> int | None:
+    """Where a run of contents entries stops, if it does within the limit."""
+    met = False
+    for i, x in _filled(lines, start, start - 1 + rules.CONTENTS_LINES):
+        body = any(p.match(x) for p in _BODY)
+        if not body and any(p.search(x) for p in _ENTRY):
+            met = True
+        elif met or body:
+            return i if met else None
+        else:
+            return None
+    return None
 
 
-def remove_contents(lines: list[str], most: int = 60) -> tuple[list[str], int]:
-    """Without the block of contents entries after a contents heading, and how many lines went.
+def remove_contents(lines: list[str]) -> tuple[list[str], int]:
+    """Without the blocks after contents headings, and how many lines went.
 
     A block of chapter headings ends where its first heading comes again; a block of dotted
-    leaders, page numbers and table dividers ends where the body starts or at ``most`` lines.
+    leaders, page numbers and table dividers where the body starts or another line follows. A
+    block without such an end stays.
     """
-    for i, line in enumerate(lines):
-        if not _TOC_TITLE.match(re.sub(r"[\s#]+", "", line)):
-            continue
-        after = [x.strip() for x in lines[i + 1 :]]
-        heads = [j for j, x in enumerate(after) if _STRUCTURE.match(x)]
-        if heads:
-            again = [j for j in heads[1:] if after[j] == after[heads[0]]]
-            if again:
-                return lines[:i] + lines[i + 1 + again[0] :], again[0] + 1
-        end, entries = 0, 0
-        for j, x in enumerate(after[:most]):
-            if _LEADER.search(x) or (x and _PAGE.match(x)) or _DIVIDER.match(x):
-                entries, end = entries + 1, j + 1
-            elif x and (_BODY.match(x) or entries):
-                break
-        if entries:
-            return lines[:i] + lines[i + 1 + end :], end + 1
-    return lines, 0
+    out, i = [], 0
+    while i < len(lines):
+        end = None
+        if _CONTENTS.match(re.sub(r"[\s#]+", "", lines[i])):
+            end = _chapters_end(lines, i + 1) or _entries_end(lines, i + 1)
+        if end is None:
+            out.append(lines[i])
+        i = i + 1 if end is None else end
+    return out, len(lines) - len(out)
 
 
 def join_spaced_letters(line: str) -> tuple[str, int]:
@@ -120,48 +151,65 @@ def join_spaced_letters(line: str) -> tuple[str, int]:
     return _SPACED.subn(lambda m: m[1] + re.sub(r"\s", "", m[2]), line)
 
 
-def merge_numbers(lines: list[str], parity: bool = False) -> tuple[list[str], int]:
+def merge_numbers(lines: list[str]) -> tuple[list[str], int]:
     """A bare clause number takes the next line that isn't blank, without heading marks.
 
-    parity: only the line right after the number is taken out, so that a title beyond blank
-    lines stays as well.
+    The line right after the number goes, whatever it is: a title beyond blank lines stays as well.
     """
-    out, merged, i = [], 0, 0
-    while i < len(lines):
-        line = lines[i].strip()
-        j = i + 1
-        while j < len(lines) and not lines[j].strip():
-            j += 1
-        if _NUMBER.match(line) and j < len(lines) and not _NUMBER.match(lines[j].strip()):
-            out.append(f"{line} {re.sub(r'^#{1,6}\s+', '', lines[j].strip()).strip()}")
-            merged += 1
-            i = i + 2 if parity else j + 1
+    out, merged, passed = [], 0, -1
+    for i, line in enumerate(lines):
+        if i == passed:
+            continue
+        title = next((x for _, x in _filled(lines, i + 1, len(lines))), None) if _NUMBER.match(line.strip()) else None
+        if title is None or _NUMBER.match(title):
+            out.append(line)
         else:
-            out.append(lines[i])
-            i += 1
+            out.append(f"{line.strip()} {re.sub(r'^#{1,6}\s+(?=.)', '', title).strip()}")
+            merged, passed = merged + 1, i + 1
     return out, merged
 
 
-_CLEANED = T.StructType([T.StructField("text", T.StringType()), *[T.StructField(n, T.IntegerType()) for n in ("contents_table_lines", "spaced_latin", "isolated_numbers")]])
+def _counts(*names: str) -> T.StructType:
+    """A text and its counts."""
+    return T.StructType([T.StructField("text", T.StringType()), *[T.StructField(n, T.IntegerType()) for n in names]])
 
 
-@F.pandas_udf(_CLEANED)
-def ordered_clean(text: pd.Series) -> pd.DataFrame:
+@F.pandas_udf(_counts("contents_table_lines"))
+def without_contents(text: pd.Series) -> pd.DataFrame:
+    rows = [remove_contents(t.split("\n")) for t in text]
+    return pd.DataFrame({"text": ["\n".join(x) for x, _ in rows], "contents_table_lines": [n for _, n in rows]})
+
+
+@F.pandas_udf(_counts("spaced_latin", "merged_isolated_numbers"))
+def joined_lines(text: pd.Series) -> pd.DataFrame:
     rows = []
     for t in text:
-        lines, n_toc = remove_contents((t or "").split("\n"))
-        spaced = [join_spaced_letters(x) for x in lines]
-        merged, n_num = merge_numbers([x for x, _ in spaced])
-        rows.append(("\n".join(merged), n_toc, sum(n for _, n in spaced), n_num))
-    return pd.DataFrame(rows, columns=["text", "contents_table_lines", "spaced_latin", "isolated_numbers"])
+        spaced = [join_spaced_letters(x) for x in t.split("\n")]
+        merged, n = merge_numbers([x for x, _ in spaced])
+        rows.append(("\n".join(merged), sum(k for _, k in spaced), n))
+    return pd.DataFrame(rows, columns=["text", "spaced_latin", "merged_isolated_numbers"])
 
 
 def clean_documents(docs: DataFrame, title: Column) -> DataFrame:
-    """docs with cleaned text and ``cleaning_rule_hits`` (rule: count, zeros left out)."""
-    t = drop_trailing_blanks(drop_controls(unify_newlines(F.coalesce(F.col("text"), F.lit("")))))
-    own = docs.withColumn("_title", title).withColumn("_o", ordered_clean(t)).withColumn("_d", drop_lines(F.col("_o.text"), F.col("_title")))
-    final = F.concat(F.trim(squeeze_blank_lines(F.col("_d.text")), F.lit(" \n\t\r")), F.lit("\n"))
-    names = ["contents_table_lines", "spaced_latin", "isolated_numbers"]
-    counts = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.col(f"_o.{n}") for n in names]))
-    dropped = F.map_from_entries(F.transform(F.array_distinct("_d.rules"), lambda r: F.struct(r, F.size(F.filter("_d.rules", lambda x: x == r)))))
-    return own.withColumn("cleaning_rule_hits", F.map_filter(F.map_concat(counts, dropped), lambda k, v: v > 0)).withColumn("text", final).drop("_title", "_o", "_d")
+    """docs with cleaned text and ``cleaning_rule_hits`` (rule: count, zeros left out).
+
+    In this order: line ends, control characters, trailing blanks, repeated titles, contents
+    blocks, mechanical lines, letter-spaced runs, isolated numbers, blank lines.
+    """
+    t = unify_newlines(F.coalesce(F.col("text"), F.lit("")))
+    own = docs.withColumn("_t", t).withColumn("_p", drop_controls(F.col("_t")))
+    own = own.withColumn("_d", drop_titles(drop_trailing_blanks(F.col("_p")), F.coalesce(title, F.lit(""))))
+    own = own.withColumn("_c", without_contents("_d.text")).withColumn("_m", drop_lines(F.col("_c.text"))).withColumn("_j", joined_lines("_m.text"))
+    own = own.withColumn("_s", strip_ws(F.col("_j.text")))
+    counts = {
+        "control_chars": F.regexp_count("_t", F.lit(CONTROL)),
+        "trailing_space": F.regexp_count("_p", F.lit(r"[ \t]+\n")),
+        "duplicate_title": F.col("_d.n"),
+        "contents_table_lines": F.col("_c.contents_table_lines"),
+        "spaced_latin": F.col("_j.spaced_latin"),
+        "merged_isolated_numbers": F.col("_j.merged_isolated_numbers"),
+        "blank_lines": F.regexp_count("_s", F.lit(r"\n{3,}")),
+    }
+    hits = F.map_concat(_counted(list(counts), list(counts.values())), _by_rule(F.col("_m.rules")))
+    final = F.concat(squeeze_blank_lines(F.col("_s")), F.lit("\n"))
+    return own.withColumn("cleaning_rule_hits", hits).withColumn("text", final).drop("_t", "_p", "_d", "_c", "_m", "_j", "_s")

@@ -10,12 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import rules
-from corpusloom.functions.text import contains_any, jaccard, token_set
+from corpusloom.functions.text import contains_any, jaccard
 
 
 def ranked(hits: DataFrame, order: list, k: int | None = None, by: str = "case_id") -> DataFrame:
-    out = hits.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1)
-    return out if k is None else out.where(F.col("rank") < k)
+    """hits with zero-based ranks by group; the cut comes before the subtraction, so that Spark takes it to the map side."""
+    out = hits.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+    return (out if k is None else out.where(F.col("rank") <= k)).withColumn("rank", F.col("rank") - 1)
 
 
 def merge_queries(hits: DataFrame, k: int) -> DataFrame:
@@ -67,18 +68,43 @@ def boost_factor(cross_border_terms: tuple[str, ...] = rules.BOOST_CROSS_BORDER_
     ).otherwise(one)
     industry = F.when(
         (role == "conditional_industry_basis") & F.col("industry").isNotNull(),
-        F.when(industry_matches(F.col("subject_words"), F.col("industry"), industries), F.lit(b["industry"])).otherwise(b["industry_mismatch"]),
+        F.when(industry_matches(F.col("subject_words"), F.col("industry"), industries), F.lit(b["industry"]))
+        .when(~F.lower(F.trim("industry")).isin(*rules.NO_INDUSTRY), F.lit(b["industry_mismatch"]))
+        .otherwise(one),
     ).otherwise(one)
+    asked = F.coalesce(F.col("query_type") == "missing_information", F.lit(False))
+    implementation = F.when((role == "implementation_reference") & asked, F.lit(b["implementation"])).otherwise(one)
     auxiliary = F.when(role == "interpretation_auxiliary", F.lit(b["auxiliary"])).otherwise(one)
-    missing = F.when(F.col("query_type") == "missing_information", F.lit(b["missing_information"])).otherwise(one)
-    return primary * local * industry * auxiliary * missing
+    missing = F.when(asked, F.lit(b["missing_information"])).otherwise(one)
+    return primary * local * industry * implementation * auxiliary * missing
 
 
-def apply_boosts(hits: DataFrame, chunks: DataFrame, facts: DataFrame) -> DataFrame:
-    """Scores times their factor, rounded to 6 places; a hit without a chunk passes unchanged."""
+def boost_summary(facts: DataFrame, query_types: DataFrame) -> DataFrame:
+    """case_id, boosts (map): the boost rules that a case's facts and query types (case_id, query_type) set going."""
+    b = rules.BOOSTS
+    asked = query_types.groupBy("case_id").agg(F.bool_or(F.col("query_type") == "missing_information").alias("asked"))
+    code = region_code(F.col("region"))
+    entry = lambda when, key, value: F.when(when, F.struct(key.alias("key"), F.lit(value).alias("value")))
+    named = F.coalesce(~F.lower(F.trim("industry")).isin(*rules.NO_INDUSTRY), F.lit(False))
+    entries = F.array(
+        entry(F.lit(True), F.lit("primary_legal_basis"), b["primary"]),
+        entry(F.lit(True), F.lit("interpretation_auxiliary"), b["auxiliary"]),
+        entry(F.coalesce("cross_border", F.lit(False)), F.lit("primary_legal_basis:cross_border"), b["primary_cross_border"]),
+        entry(F.col("region") != "", F.concat(F.lit("conditional_local_basis:"), code), b["local"]),
+        entry((F.col("region") != "") & specific_region(code), F.lit("conditional_local_basis:mismatch"), b["local_mismatch"]),
+        entry(F.col("industry") != "", F.concat(F.lit("conditional_industry_basis:"), "industry"), b["industry"]),
+        entry((F.col("industry") != "") & named, F.lit("conditional_industry_basis:mismatch"), b["industry_mismatch"]),
+        entry(F.coalesce("asked", F.lit(False)), F.lit("implementation_reference:missing_information"), b["implementation"]),
+        entry(F.coalesce("asked", F.lit(False)), F.lit("query_type:missing_information"), b["missing_information"]),
+    )
+    return facts.join(asked, "case_id", "left").select("case_id", F.map_from_entries(F.array_compact(entries)).alias("boosts"))
+
+
+def apply_boosts(hits: DataFrame, chunks: DataFrame, facts: DataFrame, **options) -> DataFrame:
+    """hits with boost, and scores times it, rounded to 6 places; a hit without a chunk passes unchanged. options: as of boost_factor."""
     own = hits.join(chunks, "chunk_id", "left").join(facts, "case_id", "left")
-    factor = F.when(F.col("mentions").isNull(), F.lit(1.0)).otherwise(boost_factor())
-    return own.withColumn("boost", factor).withColumn("score", F.round(F.col("score") * F.col("boost"), 6)).select(*hits.columns, "boost")
+    factor = F.when(F.col("mentions").isNull(), F.lit(1.0)).otherwise(boost_factor(**options))
+    return own.withColumn("boost", factor).withColumn("score", F.round(F.col("score") * F.col("boost") + 1e-9, 6)).select(*hits.columns, "boost")
 
 
 def rrf(hits: DataFrame, k: int, constant: int = rules.RRF_K) -> DataFrame:
@@ -100,23 +126,31 @@ def rrf(hits: DataFrame, k: int, constant: int = rules.RRF_K) -> DataFrame:
 def source_fuse(hits: DataFrame, chunks: DataFrame, k: int, near: float = rules.NEAR_DUPLICATE) -> DataFrame:
     """One row per source: its best chunk, plus up to two supports that aren't near-duplicates of it.
 
-    chunks: chunk_id, tokens (array), doc_id, chunk_index. Supports within one place of the
-    representative in the same document decay less.
+    chunks: chunk_id, tokens (array), chunk_index, article_no, prev_chunk_id, next_chunk_id. A support
+    of the representative's article, before or after it, or within one place of it decays less.
     """
     inside = Window.partitionBy("case_id", "source_id").orderBy(F.desc("score"), "rank", "chunk_id")
-    own = hits.join(chunks.select("chunk_id", "tokens", "doc_id", "chunk_index"), "chunk_id", "left")
+    place = ["tokens", "chunk_index", "article_no", "prev_chunk_id", "next_chunk_id"]
+    own = hits.join(chunks.select("chunk_id", *place), "chunk_id", "left")
     placed = own.withColumn("_p", F.row_number().over(inside))
-    rep = placed.where("_p = 1").select(
-        "case_id", "source_id", "chunk_id", "query_type", F.col("score").alias("rep_score"), F.col("tokens").alias("rep_tokens"), F.col("doc_id").alias("rep_doc"), F.col("chunk_index").alias("rep_index")
-    )
-    rest = placed.where("_p > 1").select("case_id", "source_id", F.col("score").alias("s"), "tokens", "doc_id", "chunk_index", "_p").join(
-        rep.drop("chunk_id", "query_type", "rep_score"), ["case_id", "source_id"]
+    rep = placed.where("_p = 1").select("case_id", "source_id", "chunk_id", "query_type", F.col("score").alias("rep_score"), *[F.col(c).alias(f"rep_{c}") for c in place])
+    rest = placed.where("_p > 1").select("case_id", "source_id", F.col("chunk_id").alias("sup"), F.col("score").alias("s"), *place, "_p").join(
+        rep.drop("query_type", "rep_score"), ["case_id", "source_id"]
     )
     rest = rest.where(jaccard(F.col("rep_tokens"), F.col("tokens")) < near)
     support = Window.partitionBy("case_id", "source_id").orderBy("_p")
     rest = rest.withColumn("_n", F.row_number().over(support)).where("_n <= 2")
-    related = (F.col("doc_id") == F.col("rep_doc")) & (F.abs(F.col("chunk_index") - F.col("rep_index")) <= 1)
-    decay = F.when(F.coalesce(related, F.lit(False)), F.lit(rules.CONTEXT_DECAY)).otherwise(rules.SUPPORT_DECAY)
+    related = F.lit(False)
+    for met in (
+        (F.col("article_no") == F.col("rep_article_no")) & (F.col("article_no") != ""),
+        F.col("rep_next_chunk_id") == F.col("sup"),
+        F.col("rep_prev_chunk_id") == F.col("sup"),
+        F.col("next_chunk_id") == F.col("chunk_id"),
+        F.col("prev_chunk_id") == F.col("chunk_id"),
+        F.abs(F.col("chunk_index") - F.col("rep_chunk_index")) <= 1,
+    ):
+        related = related | F.coalesce(met, F.lit(False))
+    decay = F.when(related, F.lit(rules.CONTEXT_DECAY)).otherwise(rules.SUPPORT_DECAY)
     added = rest.groupBy("case_id", "source_id").agg(F.sum(F.col("s") * decay).alias("added"), F.count("*").alias("n_supports"))
     weight = F.coalesce(*[F.when(F.col("query_type") == t, F.lit(w)) for t, w in rules.QUERY_TYPE_WEIGHTS.items()], F.lit(1.0))
     total = (F.col("rep_score") + F.coalesce("added", F.lit(0.0))) * weight
@@ -168,7 +202,3 @@ def flatten_packets(packets: DataFrame) -> DataFrame:
     first = Window.partitionBy("case_id", "chunk_id").orderBy("rank", "i")
     once = every.withColumn("_n", F.row_number().over(first)).where("_n = 1").withColumnRenamed("rank", "packet")
     return ranked(once, ["packet", "i"]).select("case_id", "chunk_id", F.col("rank").alias("pos"))
-
-
-def tokens_of(chunks: DataFrame) -> DataFrame:
-    return chunks.withColumn("tokens", token_set(F.col("text")))

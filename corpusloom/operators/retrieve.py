@@ -39,8 +39,8 @@ def overlap_hits(corpus: DataFrame, queries: DataFrame, fields: dict[str, str],
     """query_id, chunk_id, score: shares of query tokens met by field, weighted; plus the phrase weight.
 
     ``phrase`` is the column in which the whole query may occur. A text that contains a query has
-    all its inner tokens, so only such pairs are looked at (and, for queries of up to two tokens,
-    all texts). ``base`` names a field without which there is no hit.
+    all its inner tokens, so only such pairs are looked at (and, for queries of up to two tokens, the
+    texts with a word that holds one of them). ``base`` names a field without which there is no hit.
     """
     met = query_tokens(queries).join(postings(corpus, fields), "token")
     counts = [F.count_if(F.col("field") == f).alias(f"n_{f}") for f in fields]
@@ -54,11 +54,17 @@ def overlap_hits(corpus: DataFrame, queries: DataFrame, fields: dict[str, str],
         hits = hits.where(F.col(f"n_{base}") > 0)
     if phrase is None:
         return hits.select("query_id", "chunk_id", "score")
-    q = queries.select("query_id", normalize_text(F.col("text")).alias("q"), F.size(token_set(F.col("text"))).alias("q_tokens")).where(F.length("q") >= rules.PHRASE_LEAST)
+    q = queries.select("query_id", normalize_text(F.col("text")).alias("q"), token_set(F.col("text")).alias("t")).where(F.length("q") >= rules.PHRASE_LEAST)
+    near = hits.where(F.col("n_body") >= F.col("n_tokens") - 2).select("query_id", "chunk_id").join(q.where("size(t) > 2").select("query_id", "q"), "query_id")
+    # a text that holds a query of one or two tokens has a token that holds the first of them
+    short = q.where("size(t) between 1 and 2").select("query_id", "q", F.col("t")[0].alias("part"))
+    words = postings(corpus, {"body": phrase}).select("token", "chunk_id")
+    holding = words.select("token").distinct().join(short, F.contains("token", "part")).join(words, "token").select("query_id", "chunk_id", "q")
+    # a text meets all queries that may be in it at once, and is not copied for each
+    asked = near.unionByName(holding.select(*near.columns)).groupBy("chunk_id").agg(F.collect_set(F.struct("query_id", "q")).alias("asked"))
     body = corpus.select("chunk_id", normalize_text(F.col(phrase)).alias("body"))
-    near = hits.where(F.col("n_body") >= F.col("n_tokens") - 2).select("query_id", "chunk_id").join(q.where("q_tokens > 2"), "query_id").join(body, "chunk_id")
-    short = q.where("q_tokens <= 2").join(body, F.contains("body", "q"))
-    found = near.where(F.contains("body", "q")).select("query_id", "chunk_id").unionByName(short.select("query_id", "chunk_id"))
+    met = asked.join(body, "chunk_id").select("chunk_id", F.explode(F.filter("asked", lambda x: F.contains(F.col("body"), x["q"]))).alias("x"))
+    found = met.select(F.col("x.query_id").alias("query_id"), "chunk_id")
     found = found.withColumn("phrase", F.lit(rules.PHRASE_WEIGHT))
     return hits.select("query_id", "chunk_id", "score").join(found, ["query_id", "chunk_id"], "full").select(
         "query_id", "chunk_id", (F.coalesce("score", F.lit(0.0)) + F.coalesce("phrase", F.lit(0.0))).alias("score")
@@ -66,9 +72,13 @@ def overlap_hits(corpus: DataFrame, queries: DataFrame, fields: dict[str, str],
 
 
 def top_k(hits: DataFrame, k: int, tie: str = "chunk_id", key: str = "query_id") -> DataFrame:
-    """The k best of each query with zero-based ranks; order on the unrounded score, then ``tie``; score rounded after."""
+    """The k best of each query with zero-based ranks; order on the unrounded score, then ``tie``; score rounded after.
+
+    The cut is on the row number itself, so that each task sorts out its own k best before the shuffle.
+    """
     best = Window.partitionBy(key).orderBy(F.desc("score"), tie)
-    return hits.where("score > 0").withColumn("rank", F.row_number().over(best) - 1).where(F.col("rank") < k).withColumn("score", F.round("score", 6))
+    cut = hits.where("score > 0").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return cut.withColumn("rank", F.col("rank") - 1).withColumn("score", F.round("score", 6))
 
 
 def keyword_search(corpus: DataFrame, queries: DataFrame, k: int, fields: dict[str, str], phrase: str | None = "text") -> DataFrame:
@@ -142,4 +152,4 @@ def cosine_search(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4
     # a stated query set against all rows, block against block
     hits = vector_blocks(vectors, block).crossJoin(asked).mapInPandas(run, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(best) - 1).where(F.col("rank") < k)
+    return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)

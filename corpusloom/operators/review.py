@@ -17,11 +17,11 @@ class Dictionary:
 
     cross_border: tuple[str, ...] = rules.CROSS_BORDER_TERMS
     verbs: tuple[str, ...] = rules.TRANSFER_VERBS
-    recipients: dict[str, str] = field(default_factory=lambda: rules.RECIPIENTS)
+    recipients: dict[str, str] = field(default_factory=lambda: {t: t for t in rules.RECIPIENTS})
     data_types: dict[str, str] = field(default_factory=lambda: rules.DATA_TYPES)
     sensitive: tuple[str, ...] = rules.SENSITIVE_HINTS
     industries: dict[str, str] = field(default_factory=lambda: rules.INDUSTRIES)
-    regions: dict[str, str] = field(default_factory=lambda: rules.REGIONS)
+    regions: dict[str, str] = field(default_factory=lambda: {t: t for t in rules.REGIONS})
     consent: dict[str, str] = field(default_factory=lambda: rules.CONSENT)
     negations: tuple[str, ...] = rules.NEGATIONS
     purposes: tuple[str, ...] = rules.PURPOSES
@@ -171,13 +171,64 @@ def self_check(facts: DataFrame, hits: DataFrame, evidence_terms: tuple[str, ...
     return out.select("case_id", "issues", F.when(quality, F.lit("needs_second_retrieval")).otherwise("sufficient").alias("status"), "primary", "binding")
 
 
-def second_plan(facts: DataFrame, checks: DataFrame, expansions: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
-    """case_id, terms: expansions of the terms found in the facts, of cases that need a second pass."""
-    table = expansions or rules.EXPANSIONS
-    known = F.concat_ws(" ", F.array_join("data_types", " "), "industry", "region", F.when(F.col("cross_border_transfer"), F.lit(next(iter(table)))))
-    own = facts.withColumn("_k", known)
-    found = [F.when(F.contains("_k", F.lit(t)), F.array(*[F.lit(x) for x in more])).otherwise(F.array().cast("array<string>")) for t, more in table.items()]
-    return own.join(checks.where("status = 'needs_second_retrieval'").select("case_id"), "case_id").select("case_id", F.array_distinct(F.concat(*found)).alias("terms"), F.lit(20).alias("top_k"))
+#: Terms that an issue of the evidence asks to expand.
+ISSUE_TERMS = {
+    "no_primary_legal_basis": ("数据出境", "安全评估", "个人信息"),
+    "only_auxiliary_evidence": ("数据出境", "安全评估", "个人信息"),
+    "region_mismatch": ("负面清单", "自贸区"),
+    "cross_border_mismatch": ("数据出境", "跨境"),
+}
+#: Issues about the evidence that the rules decide, whatever else reports them.
+OBJECTIVE_ISSUES = ("no_primary_legal_basis", "only_auxiliary_evidence", "region_mismatch", "industry_mismatch")
+#: Names of laws of elsewhere, which call for a judgment that rules can't make.
+OUT_OF_SCOPE = ("eu ai act", "欧盟 ai act", "ccpa", "cpra", "gdpr")
+
+
+def second_plan(facts: DataFrame, checks: DataFrame, expansions: dict[str, tuple[str, ...]] | None = None, issue_terms: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """case_id, query_id, query_type, text, top_k: the queries of the second pass, of cases that need one.
+
+    Every issue of a case brings its terms, in the order of the issues' groups; each expansion of a
+    term is a query, once; one more query holds the case's facts.
+    """
+    table, asked = expansions or rules.EXPANSIONS, issue_terms or ISSUE_TERMS
+    own = facts.join(checks.where("status = 'needs_second_retrieval'").select("case_id", "issues"), "case_id")
+    has = lambda issue: F.array_contains("issues", issue)
+    none = F.array().cast("array<string>")
+    listed = lambda words: F.array(*[F.lit(w) for w in words])
+    basis = has("no_primary_legal_basis") | has("only_auxiliary_evidence")
+    terms = F.concat(
+        F.when(basis, listed(asked["no_primary_legal_basis"])).otherwise(none),
+        F.when(has("region_mismatch") & F.col("region").isNotNull(), listed(asked["region_mismatch"])).otherwise(none),
+        F.when(has("industry_mismatch") & F.col("industry").isNotNull(), F.array("industry")).otherwise(none),
+        F.when(has("cross_border_mismatch"), listed(asked["cross_border_mismatch"])).otherwise(none),
+    )
+    known = F.map_from_entries(F.array(*[F.struct(F.lit(t), listed(more)) for t, more in table.items()]))
+    texts = F.array_distinct(F.flatten(F.transform(terms, lambda t: F.coalesce(F.try_element_at(known, t), none))))
+    told = F.array_compact(F.concat("data_types", F.array("overseas_recipient", "industry", "region")))
+    query = lambda kind, text: F.struct(F.lit(kind).alias("query_type"), text.alias("text"))
+    every = F.concat(F.transform(texts, lambda t: query("legal_issue", t)), F.when(F.size(told) > 0, F.array(query("material_fact", F.array_join(told, " ")))).otherwise(F.array().cast("array<struct<query_type:string,text:string>>")))
+    placed = own.select("case_id", F.posexplode(every).alias("i", "q"))
+    return placed.select("case_id", F.concat(F.lit("q_"), (F.col("i") + 1).cast("string")).alias("query_id"), "q.query_type", "q.text", F.lit(20).alias("top_k"))
+
+
+def validated_check(other: DataFrame, own: DataFrame) -> DataFrame:
+    """A self-check of another origin (case_id, issues, status) without objective issues that the rules' check doesn't find."""
+    both = other.join(own.select("case_id", F.col("issues").alias("_own")), "case_id", "left")
+    contrary = F.array_except(F.array(*[F.lit(i) for i in OBJECTIVE_ISSUES]), F.coalesce("_own", F.array().cast("array<string>")))
+    left = F.array_except("issues", contrary)
+    quality = F.size(F.array_except(left, F.array(F.lit("critical_facts_missing")))) > 0
+    kept = F.when(F.col("status") == "sufficient", F.col("issues")).otherwise(left)
+    return both.select("case_id", kept.alias("issues"), F.when((F.col("status") == "sufficient") | ~quality, F.lit("sufficient")).otherwise(F.col("status")).alias("status"))
+
+
+def needs_judgment() -> Column:
+    """Whether a case (question, text and facts) names a law of elsewhere or tells no fact of substance."""
+    text = F.lower(F.concat_ws("\n", "question", "text"))
+    facts = [F.coalesce(F.col(c).cast("string") != "", F.lit(False)) for c in ("cross_border_transfer", "processing_purpose", "industry", "region")]
+    told = F.size("data_types") > 0
+    for f in facts:
+        told = told | f
+    return contains_any(text, OUT_OF_SCOPE) | ~told
 
 
 def after_second(checks: DataFrame) -> DataFrame:
@@ -223,17 +274,21 @@ def valid_claims(claims: DataFrame, citable: DataFrame) -> DataFrame:
     return kept.groupBy("case_id", "claim_pos", "claim").agg(F.sort_array(F.collect_list(F.struct("i", "chunk_id"))).alias("s")).select("case_id", "claim_pos", "claim", F.col("s.chunk_id").alias("support"))
 
 
-#: Issue groups of the query types, in order.
-ISSUE_GROUPS = {"legal_issue": "path", "material_fact": "facts", "region_condition": "conditions", "industry_condition": "conditions", "missing_information": "gaps"}
+#: The issues in order, the query types each holds, and its priority.
+ISSUE_GROUPS = (("核心法律问题", ("legal_issue", "material_fact"), "high"), ("地区适用条件", ("region_condition",), "medium"), ("行业适用条件", ("industry_condition",), "medium"), ("关键缺失信息", ("missing_information",), "medium"))
 
 
-def issue_plan(queries: DataFrame, most: int = 5) -> DataFrame:
-    """case_id, issue_id, issue_pos, query_ids: queries grouped by type, in the order of their first query."""
-    group = F.coalesce(*[F.when(F.col("query_type") == t, F.lit(g)) for t, g in ISSUE_GROUPS.items()])
-    grouped = queries.withColumn("issue_id", group).groupBy("case_id", "issue_id").agg(F.min("query_pos").alias("_p"), F.sort_array(F.collect_list(F.struct("query_pos", "query_id"))).alias("q"))
-    place = Window.partitionBy("case_id").orderBy("_p")
-    out = grouped.withColumn("issue_pos", F.row_number().over(place)).where(F.col("issue_pos") <= most)
-    return out.select("case_id", "issue_id", "issue_pos", F.col("q.query_id").alias("query_ids"))
+def issue_plan(queries: DataFrame) -> DataFrame:
+    """case_id, issue_id (issue_1 ..), issue_pos, question, query_ids, query_types, priority: a case's queries by group, in the groups' order."""
+    group = F.coalesce(*[F.when(F.col("query_type").isin(*types), F.lit(i)) for i, (_, types, _) in enumerate(ISSUE_GROUPS)])
+    own = queries.withColumn("_g", group).where("_g is not null")
+    grouped = own.groupBy("case_id", "_g").agg(F.sort_array(F.collect_list(F.struct("query_pos", "query_id", "query_type", "text"))).alias("q"))
+    told = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(priority).alias("priority")) for label, _, priority in ISSUE_GROUPS])[F.col("_g")]
+    placed = grouped.withColumn("issue_pos", F.row_number().over(Window.partitionBy("case_id").orderBy("_g"))).withColumn("_t", told)
+    return placed.select(
+        "case_id", F.concat(F.lit("issue_"), F.col("issue_pos").cast("string")).alias("issue_id"), "issue_pos",
+        F.concat("_t.label", F.lit("："), F.array_join("q.text", "；")).alias("question"), F.col("q.query_id").alias("query_ids"), F.array_distinct("q.query_type").alias("query_types"), "_t.priority",
+    )
 
 
 def dossiers(plan: DataFrame, hits: DataFrame) -> DataFrame:
@@ -248,41 +303,43 @@ def dossiers(plan: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def select_by_issue(plan: DataFrame, pools: DataFrame, hits: DataFrame, k: int, anchors: int = 3) -> DataFrame:
-    """case_id, chunk_id, rank (from 1): anchors of the global list, then a hit of every issue, then the list again.
+    """case_id, chunk_id, rank (from 1): anchors of the global list, a hit of the first issue of high priority, the global list, then a hit of every issue.
 
-    An issue gives its first hit of a source not yet taken, else its first chunk not yet taken.
-    plan: case_id, issue_id, issue_pos. pools: case_id, issue_id, rank, chunk_id, source_id. The
-    order of choices matters, so a case's (small) lists meet in one group.
+    But for the anchors, a choice is the best hit (score, then rank, then chunk_id) of a source not
+    yet taken, else the best chunk not yet taken. plan: case_id, issue_id, issue_pos, priority.
+    pools: case_id, issue_id, rank, score, chunk_id, source_id; hits likewise without an issue. Every
+    choice depends on those before, so the lists of a case, as long as its searches' top-k, meet in
+    one group.
     """
     import pandas as pd
 
-    lists = pools.join(plan.select("case_id", "issue_id", "issue_pos"), ["case_id", "issue_id"]).select("case_id", "issue_pos", "rank", "chunk_id", "source_id")
-    every = lists.unionByName(hits.select("case_id", F.lit(0).alias("issue_pos"), "rank", "chunk_id", "source_id")).where(F.col("rank") < 50)
+    order = F.when(F.col("priority") == "high", 0).when(F.col("priority") == "medium", 1).otherwise(2)
+    lists = pools.join(plan.select("case_id", "issue_id", "issue_pos", order.alias("priority")), ["case_id", "issue_id"]).select("case_id", "priority", "issue_pos", "rank", "score", "chunk_id", "source_id")
+    every = lists.unionByName(hits.select("case_id", F.lit(-1).alias("priority"), F.lit(0).alias("issue_pos"), "rank", "score", "chunk_id", "source_id"))
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["issue_pos", "rank", "chunk_id"])
-        by = {p: list(zip(g["chunk_id"], g["source_id"], strict=True)) for p, g in rows.groupby("issue_pos")}
-        whole = by.pop(0, [])
-        taken, sources = [], set()
-
-        def take(options: list) -> None:
-            left = [x for x in options if x[0] not in taken]
-            fresh = [x for x in left if x[1] not in sources]
-            for chunk, source in (fresh or left)[:1]:
-                if len(taken) < k:
-                    taken.append(chunk)
-                    sources.add(source)
-
-        for chunk, source in whole[:anchors]:
-            if chunk not in taken and len(taken) < k:
-                taken.append(chunk)
-                sources.add(source)
-        for p in sorted(by):
-            take(by[p])
-        for chunk, _ in whole:
-            if chunk not in taken and len(taken) < k:
-                taken.append(chunk)
-        return pd.DataFrame({"case_id": rows["case_id"].iloc[0], "chunk_id": taken, "rank": range(1, len(taken) + 1)})
+        rows = rows.assign(_s=-rows["score"]).sort_values(["priority", "issue_pos", "_s", "rank", "chunk_id"])
+        by = {key: list(zip(g["chunk_id"], g["source_id"], g["rank"], strict=True)) for key, g in rows.groupby(["priority", "issue_pos"])}
+        whole = by.pop((-1, 0), [])
+        taken: dict[int, str] = {}
+
+        def best(options: list) -> bool:
+            left = [x for x in options if x[0] not in taken] if len(taken) < k else []
+            sources = set(taken.values())
+            for chunk, source, _ in ([x for x in left if x[1] not in sources] or left)[:1]:
+                taken[chunk] = source
+            return bool(left)
+
+        for x in sorted(whole, key=lambda x: x[2])[:anchors]:
+            best([x])
+        issues = sorted(by)
+        if issues and issues[0][0] == 0:
+            best(by[issues[0]])
+        while best(whole):
+            pass
+        for key in issues:
+            best(by[key])
+        return pd.DataFrame({"case_id": rows["case_id"].iloc[0], "chunk_id": list(taken), "rank": range(1, len(taken) + 1)})
 
     return every.groupBy("case_id").applyInPandas(choose, "case_id long, chunk_id long, rank int")
 

@@ -63,7 +63,7 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def _neighbours(spark: SparkSession, d: str, k: int) -> DataFrame:
     v = table(spark, d, "embeddings")
-    return retrieve.cosine_search(v, v.where(F.col("vec_id") % 50 == 0), k)
+    return retrieve.cosine_search(v, v.where(F.col("vec_id") % 20 == 0), k)
 
 
 def vector_knn_cosine(spark: SparkSession, d: str) -> DataFrame:
@@ -115,14 +115,14 @@ def metadata_boosts(spark: SparkSession, d: str) -> DataFrame:
         "chunk_id", "citation_role", (F.col("citation_role") == "primary_legal_basis").alias("primary_like"), F.concat_ws(" ", "title", F.substring("text", 1, 500)).alias("mentions"),
         "applicable_region", F.concat_ws(" ", "topic_tags").alias("subject_words"), F.when(F.col("chunk_id") % 5 == 0, "missing_information").otherwise("legal_issue").alias("query_type"),
     )
-    own = hits.join(rows, "chunk_id").join(_facts_by_case(spark, d), "case_id")
-    factor = rank.boost_factor(cross_border_terms=("the", "der"), industries={"en": ("en",)})
-    return own.select("case_id", "chunk_id", F.round(factor, 6).alias("boost"), F.round(F.col("score") * factor + 1e-9, 6).alias("score"))
+    own = rank.apply_boosts(hits, rows, _facts_by_case(spark, d), cross_border_terms=("the", "der"), industries={"en": ("en",)})
+    return own.select("case_id", "chunk_id", F.round("boost", 6).alias("boost"), "score")
 
 
-def _boosted(spark: SparkSession, d: str) -> DataFrame:
-    rows = corpus(spark, d).select("chunk_id", "doc_id", "source_id", F.lit(0).alias("chunk_index"), token_set(F.col("text")).alias("tokens"))
-    fused = rank.rrf(_lists(spark, d), 50).withColumn("query_type", F.when(F.col("chunk_id") % 4 == 0, "missing_information").otherwise("material_fact"))
+def _boosted(spark: SparkSession, d: str, lists: DataFrame | None = None) -> DataFrame:
+    none = F.lit(None).cast("long")
+    rows = corpus(spark, d).select("chunk_id", F.col("doc_id").alias("chunk_index"), "article_no", none.alias("prev_chunk_id"), none.alias("next_chunk_id"), token_set(F.col("text")).alias("tokens"))
+    fused = rank.rrf(_lists(spark, d) if lists is None else lists, 50).withColumn("query_type", F.when(F.col("chunk_id") % 4 == 0, "missing_information").otherwise("material_fact"))
     return rank.source_fuse(fused, rows, 10)
 
 
@@ -134,7 +134,7 @@ def rerank_blend(spark: SparkSession, d: str) -> DataFrame:
     hits = rank.rrf(_lists(spark, d), 50)
     rows = corpus(spark, d).select("chunk_id", token_set(F.col("title")).alias("t"))
     q = asked(spark, d).select(F.col("query_id").alias("case_id"), token_set(F.col("text")).alias("q"))
-    scores = hits.join(rows, "chunk_id").join(q, "case_id").where("chunk_id % 3 <> 0").select("case_id", "chunk_id", F.round(jaccard(F.col("q"), F.col("t")), 6).alias("rerank_score"))
+    scores = hits.join(rows, "chunk_id").join(q, "case_id").select("case_id", "chunk_id", F.round(jaccard(F.col("q"), F.col("t")), 6).alias("rerank_score"))
     return rank.rerank(hits.select("case_id", "chunk_id", "score", "rank"), scores, 20).select("case_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -158,12 +158,14 @@ def neighbor_expansion(spark: SparkSession, d: str) -> DataFrame:
 
 
 def source_packets(spark: SparkSession, d: str) -> DataFrame:
-    packets = rank.source_packets(_boosted(spark, d), rank.rrf(_lists(spark, d), 50))
+    lists = _lists(spark, d)
+    packets = rank.source_packets(_boosted(spark, d, lists), rank.rrf(lists, 50))
     return packets.select("case_id", "source_id", "representative", F.array_join(F.transform("supporting", lambda x: x.cast("string")), ",").alias("supporting"))
 
 
 def packet_order(spark: SparkSession, d: str) -> DataFrame:
-    flat = rank.flatten_packets(rank.source_packets(_boosted(spark, d), rank.rrf(_lists(spark, d), 50)))
+    lists = _lists(spark, d)
+    flat = rank.flatten_packets(rank.source_packets(_boosted(spark, d, lists), rank.rrf(lists, 50)))
     return flat.select("case_id", "chunk_id", F.col("pos").cast("long").alias("pos"))
 
 
@@ -181,7 +183,10 @@ def clause_citable_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def citation_roles(spark: SparkSession, d: str) -> DataFrame:
-    rows = _meta(spark, d).select("citation_role", "can_cite_clause", policy.usage(F.col("citation_role")).alias("usage"))
+    """Documents by the role of their source, under a policy for the tables' sources."""
+    roles = {"primary_legal_basis": ("src0", "src3"), "conditional_local_basis": ("src1", "src12"), "conditional_industry_basis": ("src5",), "implementation_reference": ("src7", "src8"), "interpretation_auxiliary": ()}
+    rows = corpus(spark, d).withColumn("citation_role", policy.citation_role(F.col("source_id"), roles))
+    rows = rows.select("citation_role", policy.can_cite_chunk(F.col("citation_role"), F.col("article_no")).alias("can_cite_clause"), policy.usage(F.col("citation_role")).alias("usage"))
     return rows.groupBy("citation_role", "usage", "can_cite_clause").agg(F.count("*").alias("n"))
 
 
@@ -210,8 +215,8 @@ def rule_hit_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dedupe_title_lines(spark: SparkSession, d: str) -> DataFrame:
-    rows = corpus(spark, d).select("doc_id", clean.drop_lines(F.col("text"), F.col("title")).alias("c"))
-    return rows.select("doc_id", F.size(F.filter("c.rules", lambda r: r == "duplicate_title")).cast("long").alias("n_dropped"), F.md5("c.text").alias("digest"))
+    rows = corpus(spark, d).select("doc_id", clean.drop_titles(F.col("text"), F.col("title")).alias("c"))
+    return rows.select("doc_id", F.col("c.n").cast("long").alias("n_dropped"), F.md5("c.text").alias("digest"))
 
 
 def ordered_clean_rules(spark: SparkSession, d: str) -> DataFrame:
@@ -240,10 +245,13 @@ def heading_units(spark: SparkSession, d: str) -> DataFrame:
 
 
 def faq_units(spark: SparkSession, d: str) -> DataFrame:
-    """Conversations as questions and answers: each user turn and what follows it."""
-    along = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    rows = table(spark, d, "conversations").withColumn("unit_no", F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(along)).where("unit_no > 0")
-    return rows.groupBy("conv_id", "unit_no").agg(F.count("*").alias("n_turns"), F.sum(F.length("text")).alias("n_chars"))
+    """Conversations as texts of questions (user turns) and answers, a line each, cut into their questions."""
+    plain = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9]+", " "))
+    line = F.when(F.col("role") == "user", F.concat(F.lit("问："), plain)).otherwise(plain)
+    rows = table(spark, d, "conversations").select("conv_id", F.struct("turn", line.alias("line")).alias("t"))
+    texts = rows.groupBy(F.col("conv_id").alias("doc_id")).agg(F.sort_array(F.collect_list("t")).alias("t")).select("doc_id", F.array_join("t.line", "\n").alias("text"))
+    units = chunk.faq_units(texts)
+    return units.select(F.col("doc_id").alias("conv_id"), F.col("unit_no").cast("long").alias("unit_no"), "question", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), F.length("text").cast("long").alias("n_chars"))
 
 
 def _gold(spark: SparkSession, d: str) -> DataFrame:
@@ -310,8 +318,11 @@ def governance_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def heading_depth_hist(spark: SparkSession, d: str) -> DataFrame:
-    rows = chunk.numbered_lines(table(spark, d, "documents")).select(F.coalesce(chunk.heading_level(F.col("line")), F.lit(0)).cast("long").alias("level"))
-    return rows.groupBy("level").agg(F.count("*").alias("n"))
+    """Depths of heading paths, of documents whose sentence ends and words in e stand for headings."""
+    plain = F.replace(F.regexp_replace("text", "[^A-Za-z ]+", ". "), F.lit(". "), F.lit("\n## a"))
+    docs = table(spark, d, "documents").select("doc_id", F.replace(plain, F.lit("e "), F.lit("\n### b")).alias("text"))
+    hist = report.depth_histogram(chunk.heading_units(docs), "path_list")
+    return hist.select(F.col("depth").cast("long").alias("depth"), "n")
 
 
 def _materials(spark: SparkSession, d: str) -> DataFrame:
@@ -365,10 +376,36 @@ def evidence_self_check(spark: SparkSession, d: str) -> DataFrame:
     return _checked(spark, d).select("case_id", F.array_join("issues", ",").alias("issues"), "status")
 
 
+def second_queries(spark: SparkSession, d: str) -> DataFrame:
+    """The queries of the second pass."""
+    plan = review.second_plan(_case_facts(spark, d), _checked(spark, d), {"数据出境": ("assessment", "transfer"), "安全评估": ("conditions", "assessment"), "个人信息": ("protection",), "en": ("english rules",), "负面清单": ("lists",), "跨境": ("abroad",)})
+    return plan.select("case_id", "query_id", "query_type", "text", F.col("top_k").cast("long").alias("top_k"))
+
+
 def second_pass(spark: SparkSession, d: str) -> DataFrame:
     return review.after_second(_checked(spark, d)).select("case_id", "status")
 
 
+def boost_summary(spark: SparkSession, d: str) -> DataFrame:
+    types = asked(spark, d).select(F.col("query_id").alias("case_id"), F.when(F.col("query_id") % 5 == 0, "missing_information").otherwise("legal_issue").alias("query_type"))
+    out = rank.boost_summary(_facts_by_case(spark, d), types)
+    return out.select("case_id", F.explode("boosts").alias("rule", "boost"))
+
+
+def merged_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Facts of the user turns with gaps filled from those of the assistant turns."""
+    turns = table(spark, d, "conversations").where("role = 'assistant'").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))).alias("t"))
+    other = review.extract_facts(turns.select(F.col("conv_id").alias("case_id"), F.array_join("t.text", "\n").alias("text")), ASCII)
+    f = review.merge_facts(_facts(spark, d), other)
+    return f.select("case_id", F.array_join("data_types", ",").alias("data_types"), "overseas_recipient", "processing_purpose", "industry", "region", F.array_join("missing_information", ",").alias("missing_information"))
+
+
+def review_routing(spark: SparkSession, d: str) -> DataFrame:
+    """Which cases call for an analyst or a judgment beyond the rules."""
+    f = _facts(spark, d).withColumn("question", F.lit("what applies"))
+    return f.select("case_id", review.needs_analyst(("schst", "erheou")).alias("analyst"), review.needs_judgment().alias("judgment"))
+
+
 def risk_decision(spark: SparkSession, d: str) -> DataFrame:
     own = _case_facts(spark, d).join(review.after_second(_checked(spark, d)), "case_id")
     return own.select("case_id", review.risk_level(("info",)).alias("risk_level"))
@@ -387,14 +424,17 @@ def _typed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def issue_plan(spark: SparkSession, d: str) -> DataFrame:
-    return review.issue_plan(_typed(spark, d)).select("case_id", "issue_id", F.col("issue_pos").cast("long").alias("issue_pos"), F.array_join("query_ids", ",").alias("query_ids"))
+    out = review.issue_plan(_typed(spark, d))
+    return out.select(
+        "case_id", "issue_id", F.col("issue_pos").cast("long").alias("issue_pos"), "question", F.array_join("query_ids", ",").alias("query_ids"), F.array_join("query_types", ",").alias("query_types"), "priority"
+    )
 
 
 def _issue_hits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Issues of a case are the halves of its source numbers; a plan and pools over fused hits."""
     hits = rank.rrf(_lists(spark, d), 40).withColumn("query_id", F.when(F.col("chunk_id") % 2 == 0, "q_1").otherwise("q_2"))
-    plan = asked(spark, d).select(F.col("query_id").alias("case_id"), F.explode(F.array(F.struct(F.lit("path").alias("i"), F.lit(1).alias("p"), F.array(F.lit("q_1")).alias("q")), F.struct(F.lit("gaps").alias("i"), F.lit(2).alias("p"), F.array(F.lit("q_2"), F.lit("q_3")).alias("q")))).alias("x"))
-    return plan.select("case_id", F.col("x.i").alias("issue_id"), F.col("x.p").alias("issue_pos"), F.col("x.q").alias("query_ids")), hits
+    plan = asked(spark, d).select(F.col("query_id").alias("case_id"), F.explode(F.array(F.struct(F.lit("path").alias("i"), F.lit(1).alias("p"), F.array(F.lit("q_1")).alias("q"), F.lit("high").alias("h")), F.struct(F.lit("gaps").alias("i"), F.lit(2).alias("p"), F.array(F.lit("q_2"), F.lit("q_3")).alias("q"), F.lit("medium").alias("h")))).alias("x"))
+    return plan.select("case_id", F.col("x.i").alias("issue_id"), F.col("x.p").alias("issue_pos"), F.col("x.q").alias("query_ids"), F.col("x.h").alias("priority")), hits
 
 
 def dossiers(spark: SparkSession, d: str) -> DataFrame:
@@ -418,8 +458,8 @@ def first_seen_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").select("event_id", "user_id", "value")
-    old, new = e.where("event_id % 3 <> 0"), e.where("event_id % 2 = 0").withColumn("value", F.col("value") + 1)
+    e = table(spark, d, "events").select("event_id", "user_id", "value", "event_type")
+    old, new = e.where("event_type <> 'purchase'").drop("event_type"), e.where("event_type in ('purchase', 'view')").drop("event_type").withColumn("value", F.col("value") + 1)
     return tables.upsert(old, new, "event_id").select("event_id", "user_id", F.round("value", 6).alias("value"))
 
 
@@ -455,7 +495,7 @@ _QUERIES = [
     rrf_fuse, rrf_fuse_many, metadata_boosts, source_aware_fuse, rerank_blend, fixed_window_chunks, chunk_links, neighbor_expansion, source_packets, packet_order, metadata_filter, clause_citable_filter,
     citation_roles, citation_groups, clean_control_and_space, clean_rule_hits, rule_hit_totals, dedupe_title_lines, ordered_clean_rules, html_text, line_pack_chunks, structured_chunks, heading_units,
     faq_units, case_metrics, mode_metrics, bad_case_taxonomy, span_overlap_eval, retrieval_cases, suite_cap, governance_counts, governance_report, heading_depth_hist, fact_extraction, query_plan,
-    query_plan_merge, evidence_self_check, second_pass, risk_decision, claim_grounding, issue_plan, dossiers, issue_aware_select, latest_artifact, first_seen_dedup, upsert_merge, mock_embeddings,
+    query_plan_merge, evidence_self_check, second_queries, second_pass, boost_summary, merged_facts, review_routing, risk_decision, claim_grounding, issue_plan, dossiers, issue_aware_select, latest_artifact, first_seen_dedup, upsert_merge, mock_embeddings,
     latency_by_stage, windowed_events, sliding_events, session_events, label_agreement,
 ]
 

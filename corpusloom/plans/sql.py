@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from corpusloom.functions import rules
+
 _NORM = r"lower(trim(regexp_replace({x}, '[^\x{{4e00}}-\x{{9fff}}\x{{3400}}-\x{{4dbf}}A-Za-z0-9]+', ' ', 'g')))"
 _SET = "list_distinct(regexp_extract_all(" + _NORM + ", '[a-z0-9]+'))"
 
@@ -14,7 +16,7 @@ def tokens(x: str) -> str:
     return _SET.format(x=x)
 
 
-_TITLE = r"substr(trim(split_part(ltrim(text, E' \n\r\t'), E'\n', 1)), 1, 120)"
+_TITLE = r"trim(split_part(ltrim(text, E' \n\r\t'), E'\n', 1))"
 _CORPUS = f"""
 corpus AS (
   SELECT doc_id AS chunk_id, doc_id, source AS source_id, {_TITLE} AS title, text, source AS label, lang,
@@ -69,9 +71,9 @@ def _rrf(source: str, k: int, name: str = "fused") -> str:
 _BASE = f"WITH {_CORPUS}, {_LISTS}"
 _SOURCES = f"""{_rrf('lists', 50)},
 typed AS (SELECT *, CASE WHEN chunk_id % 4 = 0 THEN 'missing_information' ELSE 'material_fact' END AS query_type FROM fused),
-placed AS (SELECT t.*, {tokens('c.text')} AS tokens, c.doc_id, row_number() OVER (PARTITION BY case_id, t.source_id ORDER BY score DESC, rank, chunk_id) AS p FROM typed t JOIN corpus c USING (chunk_id)),
+placed AS (SELECT t.*, {tokens('c.text')} AS tokens, c.doc_id, c.article_no, row_number() OVER (PARTITION BY case_id, t.source_id ORDER BY score DESC, rank, chunk_id) AS p FROM typed t JOIN corpus c USING (chunk_id)),
 rep AS (SELECT * FROM placed WHERE p = 1),
-sup AS (SELECT s.case_id, s.source_id, s.score, s.p, s.doc_id = r.doc_id AS related,
+sup AS (SELECT s.case_id, s.source_id, s.score, s.p, coalesce(s.article_no = r.article_no AND s.article_no <> '', false) OR abs(s.doc_id - r.doc_id) <= 1 AS related,
                CASE WHEN len(s.tokens) = 0 OR len(r.tokens) = 0 THEN 0 ELSE len(list_intersect(s.tokens, r.tokens)) / CAST(len(s.tokens) + len(r.tokens) - len(list_intersect(s.tokens, r.tokens)) AS DOUBLE) END AS j
         FROM placed s JOIN rep r ON s.case_id = r.case_id AND s.source_id = r.source_id WHERE s.p > 1),
 two AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id, source_id ORDER BY p) AS n FROM sup WHERE j < 0.82) WHERE n <= 2),
@@ -105,18 +107,13 @@ _MEANS = ", ".join(
 _WINDOWS = "win AS (SELECT doc_id, (s // 320) AS chunk_index, s AS start, least(s + 400, length(text)) AS \"end\", substr(text, s + 1, 400) AS body FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text) - 81, 0) + 1, 320)) AS s FROM documents WHERE length(text) > 0))"
 _LINKED = "linked AS (SELECT doc_id, chunk_index, doc_id || ':' || lpad(CAST(chunk_index AS VARCHAR), 4, '0') AS chunk_id FROM win), links AS (SELECT *, lag(chunk_id) OVER w AS prev_chunk_id, lead(chunk_id) OVER w AS next_chunk_id FROM linked WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index))"
 _CLEAN = r"regexp_replace(text, '\r\n?', E'\n', 'g')"
-_RULES = {
-    "image_placeholder_lines": r"(?i)^<!--\s*image\s*-->$",
-    "table_divider_lines": r"^\|[\s:|-]+\|?$",
-    "pdf_page_count_lines": r"(?i)^Number of Pages:\s*\d+\s*$",
-    "dot_leader_toc_lines": r"(?i)^\s*.+?[.·…．]{4,}\s*[IVXLCDM\d]+\s*$",
-    "web_boilerplate_lines": r"^Title:\s+|^URL Source:\s+|^Markdown Content:\s*$|^\*?\s*!\[Image\b|^\[!\[Image\b|^Produced By CMS",
-}
-_RULE_CASE = "CASE " + " ".join(f"WHEN regexp_matches(line, '{p}') THEN '{n}'" for n, p in _RULES.items()) + " END"
+_RULE_CASE = "CASE " + " ".join(
+    f"WHEN regexp_matches(line, '{p}')" + (f" OR regexp_matches(trim(line, '[]()'), '{rules.SOURCE_URL}')" if n == "standalone_source_url_lines" else "") + f" THEN '{n}'" for n, p in rules.MECHANICAL.items()
+) + " END"
 _RULE_HITS = rf"""dirty AS (SELECT doc_id, replace(replace(text, '. ', E'.  \n\n\n'), ', ', E'\n|---|\n') AS text FROM documents), hits AS (
   SELECT doc_id, 'control_chars' AS rule, len(regexp_extract_all({_CLEAN}, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]')) AS n FROM dirty
-  UNION ALL SELECT doc_id, 'trailing_spaces', len(regexp_extract_all({_CLEAN}, '[ \t]+\n')) FROM dirty
-  UNION ALL SELECT doc_id, 'blank_runs', len(regexp_extract_all({_CLEAN}, '\n{{3,}}')) FROM dirty
+  UNION ALL SELECT doc_id, 'trailing_space', len(regexp_extract_all({_CLEAN}, '[ \t]+\n')) FROM dirty
+  UNION ALL SELECT doc_id, 'blank_lines', len(regexp_extract_all({_CLEAN}, '\n{{3,}}')) FROM dirty
   UNION ALL SELECT doc_id, {_RULE_CASE}, count(*) FROM (SELECT doc_id, trim(unnest(string_split({_CLEAN}, E'\n')), E' \t\r\f') AS line FROM dirty) GROUP BY ALL)"""
 _MATERIAL = "m AS (SELECT conv_id AS case_id, string_agg(coalesce(text, ''), E'\\n' ORDER BY turn, coalesce(text, '')) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id)"
 _FACTS = rf"""{_MATERIAL}, f0 AS (
@@ -167,16 +164,35 @@ raw AS (
 
 ORACLES = {
     "dedupe_title_lines": f"""WITH {_CORPUS}, l AS (SELECT doc_id, title, unnest(string_split(text, E'\\n')) AS line, generate_subscripts(string_split(text, E'\\n'), 1) AS i FROM corpus), st AS (SELECT *, trim(line, E' \\t\\r\\f') AS stripped FROM l),
-n AS (SELECT *, stripped = title AND title <> '' AND row_number() OVER (PARTITION BY doc_id, stripped = title ORDER BY i) > 1 AS again, {_RULE_CASE.replace('(line,', '(stripped,')} AS rule FROM st)
-SELECT doc_id, count(*) FILTER (again) AS n_dropped, md5(coalesce(string_agg(line, E'\\n' ORDER BY i) FILTER (NOT again AND rule IS NULL), '')) AS digest FROM n GROUP BY doc_id""",
-    "heading_depth_hist": f"WITH {_LINES} SELECT CAST(coalesce(level, 0) AS BIGINT) AS level, count(*) AS n FROM lv GROUP BY ALL",
+n AS (SELECT *, stripped = title AND title <> '' AND row_number() OVER (PARTITION BY doc_id, stripped = title ORDER BY i) > 1 AS again FROM st)
+SELECT doc_id, count(*) FILTER (again) AS n_dropped, md5(coalesce(string_agg(line, E'\\n' ORDER BY i) FILTER (NOT again), '')) AS digest FROM n GROUP BY doc_id""",
+    "heading_depth_hist": r"""WITH l AS (SELECT doc_id, unnest(string_split(t, E'\n')) AS line, generate_subscripts(string_split(t, E'\n'), 1) AS i
+  FROM (SELECT doc_id, replace(replace(regexp_replace(text, '[^A-Za-z ]+', '. ', 'g'), '. ', E'\n## a'), 'e ', E'\n### b') AS t FROM documents)),
+n AS (SELECT doc_id, i, CASE WHEN starts_with(line, '### ') THEN 3 WHEN starts_with(line, '## ') THEN 2 END AS level FROM l WHERE trim(line) <> ''),
+h AS (SELECT *, CASE level WHEN 2 THEN 1 WHEN 3 THEN 1 + CAST(bool_or(level = 2) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS INTEGER) ELSE 0 END AS depth,
+             row_number() OVER (PARTITION BY doc_id ORDER BY i) AS first FROM n)
+SELECT CAST(depth AS BIGINT) AS depth, count(*) AS n FROM h WHERE level IS NOT NULL OR first = 1 GROUP BY depth""",
     "heading_units": f"WITH {_LINES}, u AS (SELECT *, sum(CASE WHEN level IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM lv) SELECT doc_id, CAST(k AS BIGINT) AS unit_no, CAST(max(level) AS BIGINT) AS level, count(*) AS n_lines FROM u GROUP BY doc_id, k",
     "query_plan": f"WITH {_PLAN} SELECT case_id, 'q_' || qpos AS query_id, query_type, text FROM planned",
     "query_plan_merge": f"""WITH {_PLAN}, every AS (SELECT case_id, 0 AS plan_pos, qpos, query_type, text FROM planned UNION ALL SELECT case_id, 1, qpos, query_type, ' ' || upper(text) FROM planned UNION ALL SELECT case_id, 1, 99, query_type, 'second opinion' FROM planned WHERE qpos = 1),
 one AS (SELECT *, row_number() OVER (PARTITION BY case_id, query_type, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) ORDER BY plan_pos, qpos) AS n FROM every)
 SELECT case_id, 'q_' || row_number() OVER (PARTITION BY case_id ORDER BY plan_pos, qpos) AS query_id, query_type, text FROM one WHERE n = 1""",
-    "issue_plan": f"""WITH {_PLAN}, g AS (SELECT *, CASE query_type WHEN 'legal_issue' THEN 'path' WHEN 'material_fact' THEN 'facts' WHEN 'missing_information' THEN 'gaps' ELSE 'conditions' END AS issue_id FROM planned)
-SELECT case_id, issue_id, row_number() OVER (PARTITION BY case_id ORDER BY min(qpos)) AS issue_pos, string_agg('q_' || qpos, ',' ORDER BY qpos) AS query_ids FROM g GROUP BY case_id, issue_id""",
+    "issue_plan": f"""WITH {_PLAN}, g AS (SELECT *, CASE WHEN query_type IN ('legal_issue', 'material_fact') THEN 0 WHEN query_type = 'region_condition' THEN 1 WHEN query_type = 'industry_condition' THEN 2 ELSE 3 END AS grp FROM planned),
+t AS (SELECT case_id, grp, query_type, min(qpos) AS first FROM g GROUP BY ALL), ty AS (SELECT case_id, grp, string_agg(query_type, ',' ORDER BY first) AS query_types FROM t GROUP BY ALL),
+a AS (SELECT case_id, grp, string_agg('q_' || qpos, ',' ORDER BY qpos) AS query_ids, string_agg(text, '；' ORDER BY qpos) AS texts FROM g GROUP BY ALL)
+SELECT case_id, 'issue_' || p AS issue_id, p AS issue_pos, ['核心法律问题', '地区适用条件', '行业适用条件', '关键缺失信息'][grp + 1] || '：' || texts AS question, query_ids, query_types, CASE WHEN grp = 0 THEN 'high' ELSE 'medium' END AS priority
+FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY grp) AS p FROM a JOIN ty USING (case_id, grp))""",
+    "issue_aware_select": f"""WITH RECURSIVE {_BASE.removeprefix('WITH ')}, {_rrf('lists', 40)},
+o AS (SELECT case_id, list({{'c': chunk_id, 's': source_id}} ORDER BY rank) AS g, list({{'c': chunk_id, 's': source_id}} ORDER BY score DESC, rank, chunk_id) AS b,
+             list({{'c': chunk_id, 's': source_id}} ORDER BY score DESC, rank, chunk_id) FILTER (chunk_id % 2 = 0) AS p, list({{'c': chunk_id, 's': source_id}} ORDER BY score DESC, rank, chunk_id) FILTER (chunk_id % 2 <> 0) AS q FROM fused GROUP BY case_id),
+sel(case_id, step, cs, ss) AS (
+  SELECT case_id, 0, []::BIGINT[], []::VARCHAR[] FROM o
+  UNION ALL
+  SELECT case_id, step + 1, CASE WHEN x IS NULL THEN cs ELSE list_append(cs, x.c) END, CASE WHEN x IS NULL THEN ss ELSE list_append(ss, x.s) END
+  FROM (SELECT sel.*, CASE WHEN len(cs) >= 10 THEN NULL ELSE coalesce(list_filter(l, lambda y: NOT list_contains(cs, y.c) AND NOT list_contains(ss, y.s))[1], list_filter(l, lambda y: NOT list_contains(cs, y.c))[1]) END AS x
+        FROM (SELECT sel.*, CASE WHEN step < 3 THEN g[step + 1 : step + 1] WHEN step = 3 THEN coalesce(p, []) WHEN step < 14 THEN b WHEN step = 14 THEN coalesce(p, []) ELSE coalesce(q, []) END AS l FROM sel JOIN o USING (case_id) WHERE step < 16) sel)
+)
+SELECT case_id, unnest(cs) AS chunk_id, CAST(generate_subscripts(cs, 1) AS INTEGER) AS rank FROM sel WHERE step = 16""",
     "normalize_text_stats": f"SELECT doc_id, length(n) AS n_chars, len(regexp_extract_all(n, '[a-z0-9]+')) AS n_tokens, md5(n) AS digest FROM (SELECT doc_id, {norm('text')} AS n FROM documents)",
     "token_sets": f"SELECT token, count(*) AS n_docs, min(doc_id) AS first_doc FROM (SELECT doc_id, unnest({tokens('text')}) AS token FROM documents) GROUP BY token",
     "keyword_topk": f"WITH {_CORPUS}, {_BODY}, {_TITLES}, {_PHRASE}, {_weighted([('body', 1.0), ('title_p', 2.5)], True)} {_TOP.format(s='scored', k=10)}",
@@ -188,9 +204,9 @@ tf AS (SELECT chunk_id, len, token, count(*) AS tf FROM (SELECT chunk_id, len(t)
 h AS (SELECT query_id, chunk_id, round(sum(ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / (all_len / n_docs)))), 6) AS score FROM qt JOIN tf USING (token) JOIN df USING (token), st GROUP BY ALL)
 SELECT query_id, chunk_id, round(score, 4) AS score, rank FROM ({_TOP.format(s='h', k=10)})""",
     "vector_knn_cosine": """SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id,
- round(list_cosine_similarity(list_transform(a.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(b.embedding, lambda x: CAST(x AS DOUBLE))), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)) WHERE rank < 10""",
+ round(list_cosine_similarity(list_transform(a.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(b.embedding, lambda x: CAST(x AS DOUBLE))), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)) WHERE rank < 10""",
     "vector_label_recall": """WITH h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id, a.label AS own, b.label,
- round(list_cosine_similarity(list_transform(a.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(b.embedding, lambda x: CAST(x AS DOUBLE))), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)) WHERE rank < 10)
+ round(list_cosine_similarity(list_transform(a.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(b.embedding, lambda x: CAST(x AS DOUBLE))), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)) WHERE rank < 10)
 SELECT query_id, count(*) FILTER (label = own) AS n_same, min(CASE WHEN label = own THEN rank END) AS first_same FROM h GROUP BY query_id""",
     "multi_query_merge": f"{_BASE}, b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id, chunk_id ORDER BY score DESC, list_id) AS n FROM lists) WHERE n = 1) SELECT case_id, chunk_id, score, CAST(list_id AS BIGINT) AS query_pos, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, chunk_id) - 1 AS r FROM b) WHERE r < 20",
     "rrf_fuse": f"{_BASE}, {_rrf('lists', 20)} SELECT case_id, chunk_id, score, n_lists, rank FROM fused",
@@ -199,11 +215,11 @@ SELECT query_id, count(*) FILTER (label = own) AS n_same, min(CASE WHEN label =
  (CASE WHEN citation_role = 'primary_legal_basis' THEN CASE WHEN cross_border AND (contains(title || ' ' || substr(text, 1, 500), 'the') OR contains(title || ' ' || substr(text, 1, 500), 'der')) THEN 1.2::DOUBLE * 1.25::DOUBLE ELSE 1.2::DOUBLE END ELSE 1.0::DOUBLE END)
  * (CASE WHEN citation_role = 'conditional_local_basis' AND region IS NOT NULL THEN CASE WHEN applicable_region <> 'CN' AND (applicable_region = code OR starts_with(applicable_region, code || '-') OR starts_with(code, applicable_region || '-')) THEN 1.5::DOUBLE ELSE 0.45::DOUBLE END ELSE 1.0::DOUBLE END)
  * (CASE WHEN citation_role = 'conditional_industry_basis' AND industry IS NOT NULL THEN CASE WHEN contains(array_to_string(topic_tags, ' '), 'en') THEN 1.4::DOUBLE ELSE 0.75::DOUBLE END ELSE 1.0::DOUBLE END)
- * (CASE WHEN citation_role = 'interpretation_auxiliary' THEN 0.85::DOUBLE ELSE 1.0::DOUBLE END) * (CASE WHEN chunk_id % 5 = 0 THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END) AS boost
+ * (CASE WHEN citation_role = 'implementation_reference' AND chunk_id % 5 = 0 THEN 1.15::DOUBLE ELSE 1.0::DOUBLE END) * (CASE WHEN citation_role = 'interpretation_auxiliary' THEN 0.85::DOUBLE ELSE 1.0::DOUBLE END) * (CASE WHEN chunk_id % 5 = 0 THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END) AS boost
  FROM lists JOIN corpus USING (chunk_id) JOIN cf USING (case_id) WHERE list_id = 0) SELECT case_id, chunk_id, round(boost, 6) AS boost, round(score * boost + 1e-9::DOUBLE, 6) AS score FROM b""",
     "source_aware_fuse": f"{_BASE}, {_SOURCES} SELECT case_id, source_id, chunk_id, score, n_supports, rank FROM final",
     "rerank_blend": f"""{_BASE}, {_rrf('lists', 50)}, tt AS (SELECT chunk_id, {tokens('title')} AS t FROM corpus),
-s AS (SELECT f.*, CASE WHEN f.chunk_id % 3 <> 0 THEN round(CASE WHEN len(tt.t) = 0 OR len(q.t) = 0 THEN 0 ELSE len(list_intersect(q.t, tt.t)) / CAST(len(q.t) + len(tt.t) - len(list_intersect(q.t, tt.t)) AS DOUBLE) END, 6) END AS rr FROM fused f JOIN tt USING (chunk_id) JOIN q ON q.query_id = f.case_id),
+s AS (SELECT f.*, round(CASE WHEN len(tt.t) = 0 OR len(q.t) = 0 THEN 0 ELSE len(list_intersect(q.t, tt.t)) / CAST(len(q.t) + len(tt.t) - len(list_intersect(q.t, tt.t)) AS DOUBLE) END, 6) AS rr FROM fused f JOIN tt USING (chunk_id) JOIN q ON q.query_id = f.case_id),
 w AS (SELECT *, min(score) OVER c AS lo, max(score) OVER c AS hi, min(rr) OVER c AS rlo, max(rr) OVER c AS rhi FROM s WINDOW c AS (PARTITION BY case_id)),
 b AS (SELECT case_id, chunk_id, rank AS old, round(0.6::DOUBLE * CASE WHEN hi = lo THEN 1.0 ELSE (score - lo) / (hi - lo) END + 0.4::DOUBLE * CASE WHEN rr IS NULL THEN 0.0 WHEN rhi = rlo THEN 1.0 ELSE (rr - rlo) / (rhi - rlo) END, 6) AS score FROM w)
 SELECT case_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, old) - 1 AS rank FROM b) WHERE rank < 20""",
@@ -220,7 +236,10 @@ flat AS (SELECT case_id, chunk_id, rank AS packet, 0 AS n FROM final UNION ALL S
 SELECT case_id, chunk_id, row_number() OVER (PARTITION BY case_id ORDER BY packet, n) - 1 AS pos FROM (SELECT *, row_number() OVER (PARTITION BY case_id, chunk_id ORDER BY packet, n) AS once FROM flat) WHERE once = 1""",
     "metadata_filter": f"WITH {_CORPUS} SELECT chunk_id, source_id FROM meta WHERE law_status = 'effective' AND list_has_any(topic_tags, ['de', 't2']) AND can_cite_clause = false",
     "clause_citable_filter": f"WITH {_CORPUS} SELECT chunk_id, source_id, article_no FROM meta WHERE law_status = 'effective' AND citation_role = 'primary_legal_basis' AND can_cite_clause",
-    "citation_roles": f"WITH {_CORPUS} SELECT citation_role, CASE citation_role WHEN 'primary_legal_basis' THEN 'legal_basis' WHEN 'implementation_reference' THEN 'implementation_reference' WHEN 'interpretation_auxiliary' THEN 'policy_explanation' ELSE 'conditional_basis' END AS usage, can_cite_clause, count(*) AS n FROM meta GROUP BY ALL",
+    "citation_roles": """WITH r AS (SELECT source, doc_id, CASE WHEN source IN ('src0', 'src3') THEN 'primary_legal_basis' WHEN source IN ('src1', 'src12') THEN 'conditional_local_basis' WHEN source IN ('src5') THEN 'conditional_industry_basis'
+  WHEN source IN ('src7', 'src8') THEN 'implementation_reference' ELSE 'interpretation_auxiliary' END AS citation_role FROM documents)
+SELECT citation_role, CASE citation_role WHEN 'primary_legal_basis' THEN 'legal_basis' WHEN 'implementation_reference' THEN 'implementation_reference' WHEN 'interpretation_auxiliary' THEN 'policy_explanation' ELSE 'conditional_basis' END AS usage,
+ citation_role = 'primary_legal_basis' AND doc_id % 3 = 0 AS can_cite_clause, count(*) AS n FROM r GROUP BY ALL""",
     "citation_groups": f"""{_BASE}, {_rrf('lists', 20)}, u AS (SELECT case_id, fused.chunk_id, rank, applicable_region, can_cite_clause, CASE citation_role WHEN 'primary_legal_basis' THEN 'legal_basis' WHEN 'implementation_reference' THEN 'implementation_reference' WHEN 'interpretation_auxiliary' THEN 'policy_explanation' ELSE 'conditional_basis' END AS wanted FROM fused JOIN meta USING (chunk_id)),
 d AS (SELECT *, CASE WHEN wanted IN ('legal_basis', 'conditional_basis') AND NOT can_cite_clause THEN 'implementation_reference' ELSE wanted END AS usage FROM u),
 n AS (SELECT *, CASE WHEN usage = 'conditional_basis' AND applicable_region <> 'CN' THEN '仅适用于地区：' || applicable_region WHEN usage = 'implementation_reference' THEN '参考标准/实施指南，不作为条款级法律依据' WHEN usage = 'policy_explanation' THEN '政策口径补充，不作为条款级法律依据' END AS note FROM d)
@@ -230,8 +249,11 @@ SELECT case_id, usage, string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY rank)
     "rule_hit_totals": f"WITH {_RULE_HITS} SELECT rule, CAST(sum(n) AS BIGINT) AS n FROM hits WHERE n > 0 AND rule IS NOT NULL GROUP BY rule",
     "html_text": r"""SELECT page_id, length(t) AS n_chars, md5(t) AS digest FROM (SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(
  regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g'), '(?i)<br\s*/?>', E'\n', 'g'), '(?i)</(?:p|div|tr|li|h[1-6]|ul|ol|table)\s*>', E'\n', 'g'), '(?i)<(?:td|th)[^>]*>', '', 'g'), '(?i)</(?:td|th)\s*>', ' | ', 'g'), '<[^>]+>', '', 'g'),
- '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&#39;', ''''), '&amp;', '&'), '[ \t]+', ' ', 'g'), '\n{3,}', E'\n\n', 'g'), E' \n\t\r') AS t FROM pages)""",
-    "faq_units": "WITH u AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS unit_no FROM conversations) SELECT conv_id, CAST(unit_no AS BIGINT) AS unit_no, count(*) AS n_turns, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM u WHERE unit_no > 0 GROUP BY ALL",
+ '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&#39;', ''''), '&amp;', '&'), '[ \t]+', ' ', 'g'), '\n{3,}', E'\n\n', 'g'), E' \n\t\r' || chr(160)) AS t FROM pages)""",
+    "faq_units": """WITH t AS (SELECT conv_id, turn, role, trim(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g')) AS t FROM conversations),
+u AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN '问：' || t ELSE t END AS line, role = 'user' AND t <> '' AS asks FROM t WHERE t <> '' OR role = 'user'),
+g AS (SELECT *, sum(CAST(asks AS INTEGER)) OVER (PARTITION BY conv_id ORDER BY turn, line ROWS UNBOUNDED PRECEDING) AS unit_no FROM u)
+SELECT conv_id, CAST(unit_no AS BIGINT) AS unit_no, substr(arg_min(line, (turn, line)), 1, 120) AS question, CAST(count(*) AS BIGINT) AS n_lines, CAST(sum(length(line)) + count(*) - 1 AS BIGINT) AS n_chars FROM g WHERE unit_no > 0 GROUP BY conv_id, unit_no""",
     "case_metrics": f"{_METRICS} SELECT case_id, recall_at_3, recall_at_5, mrr_at_10, candidate_recall_at_50, distinct_source_recall_at_5, must_have_recall_at_5, optional_coverage_at_5, duplicate_sources_at_10, abstention_correct, bad_categories FROM graded",
     "mode_metrics": f"{_METRICS} SELECT mode, count(*) AS n_cases, count(recall_at_5) AS n_graded, {_MEANS}, round(avg(CAST(abstention_correct AS INTEGER)), 4) AS rate_abstention_correct, round(avg(CASE WHEN bad_categories <> '' THEN 1 ELSE 0 END), 4) AS rate_is_bad FROM graded GROUP BY mode",
     "bad_case_taxonomy": f"{_METRICS} SELECT mode, category, count(*) AS n FROM (SELECT mode, unnest(string_split(bad_categories, ',')) AS category FROM graded WHERE bad_categories <> '') GROUP BY ALL",
@@ -256,7 +278,7 @@ SELECT case_id, unnest(range(len(c))) AS claim_pos, support FROM s JOIN sup USIN
     "dossiers": f"{_ISSUES} SELECT p.case_id, p.issue_id, coalesce(string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY rank), '') AS chunk_ids, count(DISTINCT source_id) AS n_sources, count(chunk_id) = 0 AS gap FROM plan p LEFT JOIN hits h ON p.case_id = h.case_id AND p.issue_id = h.issue_id GROUP BY ALL",
     "latest_artifact": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1",
     "first_seen_dedup": "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events) WHERE n = 1",
-    "upsert_merge": "SELECT event_id, user_id, round(value, 6) AS value FROM events WHERE event_id % 3 <> 0 AND event_id % 2 <> 0 UNION ALL SELECT event_id, user_id, round(value + 1, 6) FROM events WHERE event_id % 2 = 0",
+    "upsert_merge": "SELECT event_id, user_id, round(value, 6) AS value FROM events WHERE event_type NOT IN ('purchase', 'view') UNION ALL SELECT event_id, user_id, round(value + 1, 6) FROM events WHERE event_type IN ('purchase', 'view')",
     "mock_embeddings": "WITH h AS (SELECT item_id AS query_id, sha256(text) AS s FROM benchmark), b AS (SELECT query_id, i, CAST(('0x' || substr(s, CAST(i * 2 + 1 AS INTEGER), 2)) AS INTEGER)::DOUBLE AS x FROM h, range(8) r(i)), n AS (SELECT query_id, sqrt(sum(x * x)) AS n FROM b GROUP BY query_id) SELECT query_id, i, round(x / n, 6) AS x FROM b JOIN n USING (query_id)",
     "latency_by_stage": "SELECT event_type, count(*) AS n, round(avg(value), 4) AS mean_value, round(max(value), 4) AS max_value, count(DISTINCT user_id) AS n_users FROM events GROUP BY event_type",
     "windowed_events": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",

@@ -9,26 +9,45 @@ def test_simple_clean(spark):
 
 
 def test_lines_and_titles(spark):
-    text = "T\nx\n T \n<!-- image -->\n|---|\nURL Source: q\n2024年 5 月"
-    r = spark.createDataFrame([(text, "T")], "t string, title string").select(C.drop_lines(F.col("t"), F.col("title")).alias("c")).first().c
-    assert r.text == "T\nx"
-    assert r.rules == ["duplicate_title", "image_placeholder_lines", "table_divider_lines", "web_boilerplate_lines", "standalone_year_month_lines"]
+    text = "T\nx\n T \n<!-- image -->\n|---|\nURL Source: q\n2024年 5 月\n[www.cac.gov.cn/a]\n[a cac.gov.cn b](c)\nsee cac.gov.cn"
+    df = spark.createDataFrame([(text, "T")], "t string, title string")
+    titles = df.select(C.drop_titles(F.col("t"), F.col("title")).alias("c")).first().c
+    assert titles.n == 1 and titles.text == text.replace(" T \n", "")
+    r = df.select(C.drop_lines(F.col("t")).alias("c")).first().c
+    assert r.text == "T\nx\n T \nsee cac.gov.cn"
+    assert r.rules == ["image_placeholder_lines", "table_divider_lines", "web_boilerplate_lines", "standalone_year_month_lines", "standalone_source_url_lines", "standalone_source_url_lines"]
 
 
-def test_contents_block():
+def test_contents_of_chapters():
     assert C.remove_contents(["t", "目录", "第一章 甲", "第二章 乙", "第一章 甲", "正文"]) == (["t", "第一章 甲", "正文"], 3)
-    assert C.remove_contents(["contents", "a ...... 3", "12", "1 范围", "body"])[0] == ["1 范围", "body"]
+    body = ["目录", "第一章 总则", "body", "第二章 乙", "body", "see", "第一章 总则", "end"]
+    assert C.remove_contents(body) == (body, 0)
     assert C.remove_contents(["no", "block"]) == (["no", "block"], 0)
 
 
+def test_contents_of_entries():
+    assert C.remove_contents(["contents", "a ...... 3", "12", "1 范围", "body"]) == (["1 范围", "body"], 3)
+    assert C.remove_contents(["# 目 次", "", "a ...... 3", "|---|", "前言", "x"])[0] == ["前言", "x"]
+    twice = ["目次", "a ....... 1", "前言", "b", "目次", "c ....... 2", "text"]
+    assert C.remove_contents(twice) == (["前言", "b", "text"], 4)
+    open_end = ["目次"] + ["a ...... 3"] * 80
+    assert C.remove_contents(open_end) == (open_end, 0)
+    assert C.remove_contents(["目次", "text", "a ...... 3"])[1] == 0
+
+
 def test_numbers_and_letters():
-    assert C.merge_numbers(["3.2", "", "## Title", "x"]) == (["3.2 Title", "x"], 1)
-    assert C.merge_numbers(["3.2", "", "## Title", "x"], parity=True) == (["3.2 Title", "## Title", "x"], 1)
+    assert C.merge_numbers(["3.2", "## Title", "x"]) == (["3.2 Title", "x"], 1)
+    assert C.merge_numbers(["3.2", "", "## Title", "x"]) == (["3.2 Title", "## Title", "x"], 1)
+    assert C.merge_numbers(["3.2", "4", "x"]) == (["3.2", "4 x"], 1)
     assert C.join_spaced_letters("D a t a s e t; of a b c") == ("Dataset; of a b c", 1)
 
 
 def test_documents(spark):
-    df = spark.createDataFrame([(1, "t\n目录\n第一章\n第一章\nD a t a s e\n3\nx\n\n\n\ny"), (2, None)], "doc_id int, text string")
-    rows = {r.doc_id: r for r in C.clean_documents(df, F.lit("")).collect()}
-    assert rows[1].text == "t\n第一章\nDatase\n3 x\n\ny\n" and rows[1].cleaning_rule_hits == {"contents_table_lines": 2, "spaced_latin": 1, "isolated_numbers": 1}
-    assert rows[2].text == "\n"
+    text = "\x00t  \n目录\n第一章\n第一章\nt\nD a t a s e\n3\nx\n\n\n\ny\n<!-- image -->"
+    df = spark.createDataFrame([(1, text), (2, None)], "doc_id int, text string")
+    rows = {r.doc_id: r for r in C.clean_documents(df, F.when(F.col("doc_id") == 1, "t")).collect()}
+    assert rows[1].text == "t\n第一章\nDatase\n3 x\n\ny\n"
+    assert rows[1].cleaning_rule_hits == {
+        "control_chars": 1, "trailing_space": 1, "duplicate_title": 1, "contents_table_lines": 2, "image_placeholder_lines": 1, "spaced_latin": 1, "merged_isolated_numbers": 1, "blank_lines": 1,
+    }
+    assert rows[2].text == "\n" and rows[2].cleaning_rule_hits == {}

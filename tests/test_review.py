@@ -39,7 +39,23 @@ def test_gate_and_risk(spark):
     after = R.after_second(R.self_check(f, hits))
     risk = {r.case_id: r.x for r in f.join(after, "case_id").select("case_id", R.risk_level().alias("x")).collect()}
     assert risk == {1: "medium", 2: "insufficient_evidence"}
-    assert R.second_plan(f, R.self_check(f, hits)).first().top_k == 20
+    plan = sorted(R.second_plan(f, R.self_check(f, hits)).collect(), key=lambda r: int(r.query_id[2:]))
+    assert [(r.query_type, r.text, r.top_k) for r in plan][:2] == [("legal_issue", "数据出境安全评估", 20), ("legal_issue", "数据跨境传输", 20)]
+    assert plan[-1].text == "身份证号" and plan[-1].query_type == "material_fact" and len(plan) == 11
+    other = spark.createDataFrame([(1, ["no_primary_legal_basis", "critical_facts_missing"], "needs_second_retrieval"), (2, ["no_primary_legal_basis", "region_mismatch"], "needs_second_retrieval")], "case_id int, issues array<string>, status string")
+    told = {r.case_id: (r.issues, r.status) for r in R.validated_check(other, R.self_check(f, hits)).collect()}
+    assert told == {1: (["critical_facts_missing"], "sufficient"), 2: (["no_primary_legal_basis"], "needs_second_retrieval")}
+
+
+def test_issue_plan_and_selection(spark):
+    q = spark.createDataFrame([(1, 1, "q_1", "legal_issue", "a"), (1, 2, "q_2", "missing_information", "b"), (1, 3, "q_3", "material_fact", "c"), (1, 4, "q_4", "region_condition", "d")], "case_id long, query_pos int, query_id string, query_type string, text string")
+    plan = R.issue_plan(q)
+    got = [(r.issue_id, r.question, r.query_ids, r.priority) for r in plan.orderBy("issue_pos").collect()]
+    assert got == [("issue_1", "核心法律问题：a；c", ["q_1", "q_3"], "high"), ("issue_2", "地区适用条件：d", ["q_4"], "medium"), ("issue_3", "关键缺失信息：b", ["q_2"], "medium")]
+    hits = spark.createDataFrame([(1, r, 1.0 - r / 10, r, f"s{r % 3}") for r in range(6)], "case_id long, rank int, score double, chunk_id long, source_id string")
+    pools = spark.createDataFrame([(1, "issue_1", 0, 0.5, 20, "s0"), (1, "issue_1", 1, 0.9, 21, "s9"), (1, "issue_2", 0, 0.9, 30, "s8"), (1, "issue_3", 0, 0.9, 40, "s7")], "case_id long, issue_id string, rank int, score double, chunk_id long, source_id string")
+    pick = lambda k: [r.chunk_id for r in R.select_by_issue(plan, pools, hits, k).orderBy("rank").collect()]
+    assert pick(5) == [0, 1, 2, 21, 3] and pick(10) == [0, 1, 2, 21, 3, 4, 5, 20, 30, 40] and pick(2) == [0, 1]
 
 
 def test_claims(spark):

@@ -18,9 +18,23 @@ def test_accents_are_dropped(spark):
     assert one(spark, "Iechä Ab", T.normalize_text) == "iech ab"
 
 
-def test_compose(spark):
-    assert one(spark, "é", T.compose) == "é"
-    assert one(spark, "plain", T.compose) == "plain"
+def test_tokens_see_composed_text(spark):
+    import re
+    import unicodedata
+
+    texts = ["cafe\u0301 ol\u00e9", "q\u0301 x\u0323 n\u0303o", "A\u030a\u0301b", "\uf900\ufa10 k\u212a", "plain", "\u4e2d\u6587 e\u0327\u0301z", "o\u0308o"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(T.normalize_text(F.col("t"))).collect()]
+    want = [re.sub(r"[^\u4e00-\u9fff\u3400-\u4dbfA-Za-z0-9]+", " ", unicodedata.normalize("NFC", t)).strip().lower() for t in texts]
+    assert got == want
+
+
+def test_entities(spark):
+    from html import unescape
+
+    texts = ["&eacute;&#233;&#xE9;", "&amp;lt; &amp;&amp;", "a & b &unknown; &#x1F600; &nbsp;x", "&#0; &#55296; &#1114112;", "&NotEqualTilde;&hellip;", "none", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(T.unescape_html(F.col("t"))).collect()] == [unescape(t) for t in texts]
 
 
 def test_html_to_text(spark):
