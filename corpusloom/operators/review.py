@@ -83,7 +83,8 @@ def merge_facts(first: DataFrame, fallback: DataFrame) -> DataFrame:
     """Facts with gaps filled from the fallback, lists united, and what is known taken off the missing ones."""
     scalar = ["sensitive_personal_info", "cross_border_transfer", "overseas_recipient", "processing_purpose", "legal_basis_or_consent", "industry", "region"]
     other = fallback.select("case_id", *[F.col(c).alias(f"_{c}") for c in [*scalar, "data_types", "missing_information"]])
-    both = first.join(other, "case_id", "left")
+    none = F.array().cast("array<string>")
+    both = first.join(other, "case_id", "left").withColumns({c: F.coalesce(c, none) for c in ("_data_types", "_missing_information")})
     text = lambda c: F.when(F.col(c).cast("string").isin(*rules.NULLISH), None).otherwise(F.col(c))
     both = both.withColumns({c: F.coalesce(text(c), F.col(f"_{c}")) for c in scalar} | {"data_types": F.array_union("data_types", "_data_types")})
     known = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in ("overseas_recipient", "processing_purpose", "legal_basis_or_consent")], F.when(F.size("data_types") > 0, F.lit("data_types"))))

@@ -362,7 +362,7 @@ def query_plan_merge(spark: SparkSession, d: str) -> DataFrame:
 def _case_facts(spark: SparkSession, d: str) -> DataFrame:
     missing = F.when(F.col("case_id") % 4 == 0, F.array(F.lit("overseas_recipient"))).otherwise(F.array().cast("array<string>"))
     f = _facts_by_case(spark, d).withColumn("missing_information", missing)
-    return f.withColumnRenamed("cross_border", "cross_border_transfer").withColumn("data_types", F.array(F.lit("article"))).withColumn("sensitive_personal_info", F.col("case_id") % 5 == 0).withColumn("processing_purpose", F.lit(None).cast("string"))
+    return f.withColumnRenamed("cross_border", "cross_border_transfer").withColumn("data_types", F.array(F.lit("article"))).withColumn("sensitive_personal_info", F.col("case_id") % 5 == 0).withColumns({"processing_purpose": F.lit(None).cast("string"), "overseas_recipient": F.lit(None).cast("string")})
 
 
 def _checked(spark: SparkSession, d: str) -> DataFrame:

