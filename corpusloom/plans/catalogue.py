@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import rules
 from corpusloom.functions.text import html_to_text, jaccard, mock_embedding, normalize_text, token_set, tokens
-from corpusloom.operators import chunk, clean, evaluate, policy, rank, report, retrieve, review, tables
+from corpusloom.operators import chunk, clean, evaluate, policy, rank, report, result, retrieve, review, tables, workflow
 from corpusloom.plans.sql import ORACLES
 from corpusloom.sources.bindings import corpus, queries as asked, table
 from corpusloom.storage import materialize
@@ -411,6 +411,51 @@ def risk_decision(spark: SparkSession, d: str) -> DataFrame:
     return own.select("case_id", review.risk_level(("info",)).alias("risk_level"))
 
 
+def review_results(spark: SparkSession, d: str) -> DataFrame:
+    """Result rows of all cases: risk, conclusion, reasons, actions and boundaries."""
+    facts = _case_facts(spark, d).withColumn("legal_basis_or_consent", F.when(F.col("case_id") % 3 == 0, F.lit("agreed")))
+    checks = review.after_second(_checked(spark, d)).withColumn("second_pass", F.col("case_id") % 7 == 0)
+    cases = facts.join(checks, "case_id").withColumn("risk_level", review.risk_level(("info",)))
+    hits = rank.rrf(_lists(spark, d), 5).select("case_id", "chunk_id", "rank")
+    claims = review.rule_claims(cases.select("case_id", result.conclusion().alias("text")), hits)
+    cited = hits.join(_meta(spark, d).select("chunk_id", policy.usage(F.col("citation_role")).alias("usage")), "chunk_id")
+    out = result.review_results(cases, cited, claims)
+    return out.select(
+        "case_id", "risk_level", F.md5("conclusion").alias("conclusion"), F.array_join("trigger_reasons", ",").alias("trigger_reasons"), F.array_join("recommended_actions", ",").alias("recommended_actions"),
+        F.array_join("risk_boundaries", ",").alias("risk_boundaries"), F.size("citations").cast("long").alias("n_citations"),
+    )
+
+
+def _review(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Planned queries, facts and chunks of the benchmark items as review cases."""
+    facts = _case_facts(spark, d).join(asked(spark, d).select(F.col("query_id").alias("case_id"), F.col("text").alias("question"), F.col("text").alias("text")), "case_id")
+    plan = review.plan_queries(facts, TEMPLATES, WORDS, ("en", "de"), ("th", "ch", "la")).withColumn("query_pos", F.substring("query_id", 3, 9).cast("int"))
+    none = F.lit(None).cast("long")
+    chunks = _meta(spark, d).withColumns({
+        "primary_like": F.col("citation_role") == "primary_legal_basis", "mentions": F.concat_ws(" ", "title", F.substring("text", 1, 500)), "subject_words": F.concat_ws(" ", "topic_tags"),
+        "tokens": token_set(F.col("text")), "chunk_index": F.col("doc_id"), "prev_chunk_id": none, "next_chunk_id": none,
+    })
+    return plan, facts.drop("text", "question"), chunks
+
+
+def keyword_review(spark: SparkSession, d: str) -> DataFrame:
+    plan, _, _ = _review(spark, d)
+    hits = workflow.keyword_retrieval(plan, lambda q, k: retrieve.keyword_search(corpus(spark, d), q, k, FIELDS), 10)
+    return hits.select("case_id", "chunk_id", "score", "query_type", F.col("rank").cast("long").alias("rank"))
+
+
+def hybrid_review(spark: SparkSession, d: str) -> DataFrame:
+    """Evidence of every case after keyword and semantic search, fusion, issues and at most one second pass."""
+    plan, facts, chunks = _review(spark, d)
+    rows = corpus(spark, d).withColumn("tag", F.concat_ws(" ", "topic_tags"))
+    searches = [lambda q, k: retrieve.keyword_search(rows, q, k, FIELDS), lambda q, k: retrieve.semantic_search(rows, q, k)]
+    hits, checks = workflow.hybrid_retrieval(
+        plan, facts, chunks, searches, evidence_terms=("the ", "der "), industries={"en": ("en",)}, expansions={"数据出境": ("que la", "der und"), "en": ("the of",)},
+        options={"cross_border_terms": ("the", "der"), "industries": {"en": ("en",)}},
+    )
+    return hits.join(checks.select("case_id", "status"), "case_id").select("case_id", "chunk_id", "source_id", F.col("rank").cast("long").alias("rank"), "second_pass", "status")
+
+
 def claim_grounding(spark: SparkSession, d: str) -> DataFrame:
     hits = rank.rrf(_lists(spark, d), 10)
     texts = asked(spark, d).select(F.col("query_id").alias("case_id"), F.regexp_replace("text", r"\.", "!").alias("text"))
@@ -495,7 +540,7 @@ _QUERIES = [
     rrf_fuse, rrf_fuse_many, metadata_boosts, source_aware_fuse, rerank_blend, fixed_window_chunks, chunk_links, neighbor_expansion, source_packets, packet_order, metadata_filter, clause_citable_filter,
     citation_roles, citation_groups, clean_control_and_space, clean_rule_hits, rule_hit_totals, dedupe_title_lines, ordered_clean_rules, html_text, line_pack_chunks, structured_chunks, heading_units,
     faq_units, case_metrics, mode_metrics, bad_case_taxonomy, span_overlap_eval, retrieval_cases, suite_cap, governance_counts, governance_report, heading_depth_hist, fact_extraction, query_plan,
-    query_plan_merge, evidence_self_check, second_queries, second_pass, boost_summary, merged_facts, review_routing, risk_decision, claim_grounding, issue_plan, dossiers, issue_aware_select, latest_artifact, first_seen_dedup, upsert_merge, mock_embeddings,
+    query_plan_merge, evidence_self_check, second_queries, second_pass, review_results, keyword_review, hybrid_review, boost_summary, merged_facts, review_routing, risk_decision, claim_grounding, issue_plan, dossiers, issue_aware_select, latest_artifact, first_seen_dedup, upsert_merge, mock_embeddings,
     latency_by_stage, windowed_events, sliding_events, session_events, label_agreement,
 ]
 

@@ -297,6 +297,20 @@ SELECT case_id, array_to_string(dts, ',') AS data_types, overseas_recipient, pro
   OR contains(text, 'schst') OR contains(text, 'erheou') AS analyst,
   regexp_matches(lower(text), 'eu ai act|ccpa|cpra|gdpr') OR (len(dt) = 0 AND cross_border_transfer IS NULL AND processing_purpose IS NULL AND industry IS NULL AND region IS NULL) AS judgment FROM f1""",
     "second_pass": f"{_CHECK} SELECT case_id, verdict AS status FROM after",
+    "review_results": f"""{_CHECK}, r AS (SELECT case_id, CASE WHEN verdict = 'insufficient' THEN 'insufficient_evidence' WHEN cross_border AND sensitive THEN 'high' WHEN cross_border OR sensitive THEN 'medium' ELSE 'low' END AS risk_level FROM after),
+c AS (SELECT *, risk_level = 'insufficient_evidence' AS unclear, case_id % 3 = 0 AS agreed, case_id % 7 = 0 AS twice FROM cf JOIN r USING (case_id)),
+n AS (SELECT case_id, count(*) AS n FROM fused GROUP BY case_id)
+SELECT case_id, risk_level, md5(CASE WHEN unclear THEN '证据不足，无法做出明确判断。建议补充关键事实信息后重新审查。'
+    ELSE (CASE WHEN cross_border THEN '该场景涉及数据出境，' || CASE risk_level WHEN 'high' THEN '存在高风险合规问题，需立即采取整改措施。' WHEN 'medium' THEN '可能需要申报数据出境安全评估。' ELSE '但风险较低。' END
+      WHEN sensitive THEN '该场景涉及敏感个人信息处理，需遵守单独同意等特殊保护要求。' ELSE '该场景的合规风险较低。' END) || CASE WHEN critical THEN ' 注意：关键信息缺失（overseas_recipient），影响风险判断的准确性。' ELSE '' END END
+    || E'\\n\\n本结论基于当前材料和已召回证据，**不构成正式法律意见**。') AS conclusion,
+  concat_ws(',', CASE WHEN cross_border THEN 'cross_border_transfer' END, CASE WHEN sensitive THEN 'sensitive_personal_info' END, CASE WHEN risk_level = 'high' THEN 'high_risk_triggers' END, CASE WHEN critical THEN 'missing_information' END) AS trigger_reasons,
+  CASE WHEN unclear THEN concat_ws(',', '补充关键事实信息后重新审查', CASE WHEN critical THEN '明确境外接收方信息' END)
+    ELSE concat_ws(',', CASE WHEN cross_border AND risk_level IN ('high', 'medium') THEN '评估是否需要申报数据出境安全评估' END, CASE WHEN cross_border AND NOT agreed THEN '获取用户单独同意并留存告知记录' END,
+      CASE WHEN sensitive THEN '对敏感个人信息实施单独同意和加密等保护措施' END, CASE WHEN twice THEN '已触发二次检索补充证据，请关注证据完整性' END) END AS recommended_actions,
+  concat_ws(',', CASE WHEN cross_border THEN '本结论基于当前提供的数据出境场景，如出境方式或接收方变更需重新评估' END, CASE WHEN critical THEN '以下信息缺失可能影响判断准确性：overseas_recipient' END,
+    CASE WHEN unclear THEN '当前证据不足以做出确定性判断，结论仅供参考' ELSE '本结论基于当前检索到的法律法规和标准，不构成正式法律意见' END) AS risk_boundaries, n AS n_citations
+FROM c LEFT JOIN n USING (case_id)""",
     "risk_decision": f"{_CHECK} SELECT case_id, CASE WHEN verdict = 'insufficient' THEN 'insufficient_evidence' WHEN cross_border AND sensitive THEN 'high' WHEN cross_border OR sensitive THEN 'medium' ELSE 'low' END AS risk_level FROM after",
     "claim_grounding": f"""{_BASE}, {_rrf('lists', 10)}, s AS (SELECT query_id AS case_id, list_filter(list_transform(regexp_extract_all(regexp_replace(text, '\\.', '!', 'g'), '[^。！？!?]*[。！？!?]|[^。！？!?]+$'), lambda x: trim(x)), lambda x: x <> '') AS c FROM asked),
 ids AS (SELECT case_id, chunk_id, rank FROM fused WHERE rank < 3), ok AS (SELECT i.* FROM ids i JOIN meta USING (chunk_id) WHERE citation_role <> 'interpretation_auxiliary'),
