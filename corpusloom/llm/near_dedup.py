@@ -186,6 +186,14 @@ def _linked(threshold: int):
     return F.col("shared") * 100 >= F.col("joint") * threshold
 
 
+def low_bytes(signatures: pd.Series, pad: int) -> np.ndarray:
+    """The low byte of every value, in rows of a multiple of 64: whoever agrees in the values agrees in these."""
+    values = np.frombuffer(b"".join(signatures), dtype=np.uint32).reshape(len(signatures), HASHES)
+    out = np.full((len(values), -(-HASHES // 64) * 64), pad, dtype=np.uint8)
+    out[:, :HASHES] = values & np.uint32(255)
+    return out
+
+
 def neighbours(members: DataFrame, links: DataFrame, signatures: DataFrame) -> DataFrame:
     """a, b: documents of one region that agree in ALIKE of their signatures, at most one for each component and block."""
     own = connected_components(links).select(F.col("node").alias("id"), "component")
@@ -211,15 +219,18 @@ def neighbours(members: DataFrame, links: DataFrame, signatures: DataFrame) -> D
     def compare(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:  # noqa: E741
         found: list[tuple[int, int]] = []
         if len(l) and len(r):
-            values = np.frombuffer(b"".join(r["r_signature"]), dtype=np.uint32).reshape(len(r), HASHES)
+            told = low_bytes(r["r_signature"], 0)
+            asked = low_bytes(l["signature"], 1)
             ids, comps = r["r_id"].to_numpy(), r["r_component"].to_numpy()
             _, code = np.unique(np.concatenate([l["component"].to_numpy(), comps]), return_inverse=True)
             group = np.arange(code.max() + 1)  # components that neighbours have joined in this block
+            whole = r["r_signature"].tolist()
             for i, (me, mine) in enumerate(zip(l["id"], l["signature"], strict=True)):
-                agree = np.count_nonzero(values == np.frombuffer(mine, dtype=np.uint32), axis=1)
+                agree = np.bitwise_count(np.packbits(told == asked[i], axis=1).view(np.uint64)).sum(axis=1)
+                own = np.frombuffer(mine, dtype=np.uint32)
                 for j in np.flatnonzero(agree >= ALIKE * HASHES):
                     p, q = group[code[i]], group[code[len(l) + j]]
-                    if p != q:
+                    if p != q and np.count_nonzero(own == np.frombuffer(whole[j], dtype=np.uint32)) >= ALIKE * HASHES:
                         found.append((int(me), int(ids[j])))
                         group[group == q] = p
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
