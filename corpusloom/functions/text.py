@@ -45,7 +45,7 @@ def composed_tokens(text: Column) -> Column:
     Texts without any of them, nearly all, are looked through once and stay as they are.
     """
     pattern, single, plain = _composed()
-    return F.when(text.rlike(f"[\\p{{M}}{single[0]}\\uF900-\\uFADA]"), F.regexp_replace(F.translate(text, single, plain), pattern, " ")).otherwise(text)
+    return F.when(text.rlike(f"[\\u0300-\\u036F{single[0]}\\uF900-\\uFADA]"), F.regexp_replace(F.translate(text, single, plain), pattern, " ")).otherwise(text)
 
 
 def normalize_text(text: Column) -> Column:
@@ -55,13 +55,20 @@ def normalize_text(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """ASCII runs, then the bigrams of all CJK characters in a row and the last of them."""
-    n = normalize_text(text)
-    cjk = F.regexp_replace(n, f"[^{CJK}]+", "")
-    size = F.length(cjk)
-    bigrams = F.when(size >= 2, F.transform(F.sequence(F.lit(1), size - 1), lambda i: F.substring(cjk, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-    last = F.when(size >= 1, F.array(F.substring(cjk, size, F.lit(1)))).otherwise(F.array().cast("array<string>"))
-    return F.concat(F.regexp_extract_all(n, F.lit("[a-z0-9]+"), F.lit(0)), bigrams, last)
+    """ASCII runs, then the bigrams of all CJK characters in a row and the last of them. One pass over a text without CJK."""
+    none = F.array().cast("array<string>")
+
+    def pairs(cjk: Column) -> Column:
+        size = F.length(cjk)
+        bigrams = F.when(size >= 2, F.transform(F.sequence(F.lit(1), size - 1), lambda i: F.substring(cjk, i, F.lit(2)))).otherwise(none)
+        return F.concat(bigrams, F.array(F.substring(cjk, size, F.lit(1))))
+
+    def found(plain: Column) -> Column:
+        runs = F.transform(F.regexp_extract_all(plain, F.lit("[A-Za-z0-9]+"), F.lit(0)), lambda t: F.lower(t))
+        cjk = F.when(plain.rlike(f"[{CJK}]"), let(F.regexp_replace(plain, f"[^{CJK}]+", ""), pairs)).otherwise(none)
+        return F.concat(runs, cjk)
+
+    return let(composed_tokens(text), found)
 
 
 def token_set(text: Column) -> Column:

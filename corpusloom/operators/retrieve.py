@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import rules
 from corpusloom.functions.text import normalize_text, token_set, tokens
+from corpusloom.storage import materialize
 
 
 def postings(corpus: DataFrame, fields: dict[str, str]) -> DataFrame:
@@ -42,7 +43,8 @@ def overlap_hits(corpus: DataFrame, queries: DataFrame, fields: dict[str, str],
     all its inner tokens, so only such pairs are looked at (and, for queries of up to two tokens, the
     texts with a word that holds one of them). ``base`` names a field without which there is no hit.
     """
-    met = query_tokens(queries).join(postings(corpus, fields), "token")
+    listed = materialize(postings(corpus, fields | ({"body": phrase} if phrase else {})), "postings")
+    met = query_tokens(queries).join(listed.where(F.col("field").isin(*fields)), "token")
     counts = [F.count_if(F.col("field") == f).alias(f"n_{f}") for f in fields]
     hits = met.groupBy("query_id", "chunk_id").agg(F.first("n_tokens").alias("n_tokens"), *counts)
     score = None
@@ -58,12 +60,13 @@ def overlap_hits(corpus: DataFrame, queries: DataFrame, fields: dict[str, str],
     near = hits.where(F.col("n_body") >= F.col("n_tokens") - 2).select("query_id", "chunk_id").join(q.where("size(t) > 2").select("query_id", "q"), "query_id")
     # a text that holds a query of one or two tokens has a token that holds the first of them
     short = q.where("size(t) between 1 and 2").select("query_id", "q", F.col("t")[0].alias("part"))
-    words = postings(corpus, {"body": phrase}).select("token", "chunk_id")
+    words = listed.where("field = 'body'").select("token", "chunk_id")
     holding = words.select("token").distinct().join(short, F.contains("token", "part")).join(words, "token").select("query_id", "chunk_id", "q")
     # a text meets all queries that may be in it at once, and is not copied for each
     asked = near.unionByName(holding.select(*near.columns)).groupBy("chunk_id").agg(F.collect_set(F.struct("query_id", "q")).alias("asked"))
-    body = corpus.select("chunk_id", normalize_text(F.col(phrase)).alias("body"))
-    met = asked.join(body, "chunk_id").select("chunk_id", F.explode(F.filter("asked", lambda x: F.contains(F.col("body"), x["q"]))).alias("x"))
+    # only texts that may hold a query are normalized
+    whole = asked.join(corpus.select("chunk_id", F.col(phrase).alias("body")), "chunk_id").withColumn("body", normalize_text(F.col("body")))
+    met = whole.select("chunk_id", F.explode(F.filter("asked", lambda x: F.contains(F.col("body"), x["q"]))).alias("x"))
     found = met.select(F.col("x.query_id").alias("query_id"), "chunk_id")
     found = found.withColumn("phrase", F.lit(rules.PHRASE_WEIGHT))
     return hits.select("query_id", "chunk_id", "score").join(found, ["query_id", "chunk_id"], "full").select(
