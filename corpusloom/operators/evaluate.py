@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.storage import materialize
+
 
 def recall_at(hits: DataFrame, gold: DataFrame, k: int, name: str) -> DataFrame:
     """case_id, name: distinct gold sources among the first k hits over all gold sources."""
@@ -38,26 +40,38 @@ def duplicates_at(hits: DataFrame, k: int) -> DataFrame:
     return hits.where(F.col("rank") < k).groupBy("case_id").agg((F.count("*") - F.count_distinct("source_id")).alias("duplicate_sources_at_10"))
 
 
+def by_source(hits: DataFrame) -> DataFrame:
+    """case_id, source_id, r (best rank), u (best rank when repeated chunks don't count), p (place among the case's sources), n10 (hits among the first ten).
+
+    A case's hits are as many as its search's top-k.
+    """
+    once = hits.withColumn("_n", F.row_number().over(Window.partitionBy("case_id", "chunk_id").orderBy("rank")))
+    counted = F.sum(F.when(F.col("_n") == 1, 1).otherwise(0)).over(Window.partitionBy("case_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    placed = once.withColumn("u", F.when(F.col("_n") == 1, counted - 1))
+    grouped = placed.groupBy("case_id", "source_id").agg(F.min("rank").alias("r"), F.min("u").alias("u"), F.count_if(F.col("rank") < 10).alias("n10"))
+    return grouped.withColumn("p", F.row_number().over(Window.partitionBy("case_id").orderBy("r", "source_id")) - 1)
+
+
 def case_metrics(cases: DataFrame, hits: DataFrame, gold: DataFrame) -> DataFrame:
-    """One row per case, metrics rounded to 4 places."""
-    unique = first_seen(hits, "chunk_id")
-    parts = [
-        recall_at(hits, gold, 3, "recall_at_3"),
-        recall_at(hits, gold, 5, "recall_at_5"),
-        mrr_at(hits, gold, 10, "mrr_at_10"),
-        recall_at(unique, gold, 50, "candidate_recall_at_50"),
-        recall_at(first_seen(hits, "source_id"), gold, 5, "distinct_source_recall_at_5"),
-        recall_at(hits, gold.where("must"), 5, "must_have_recall_at_5"),
-        recall_at(hits, gold.where("not must"), 5, "optional_coverage_at_5"),
-        duplicates_at(hits, 10),
-    ]
-    out = cases
-    for p in parts:
-        out = out.join(p, "case_id", "left")
+    """One row per case, metrics rounded to 4 places: one join with the gold sources and one pass over it."""
+    sources = materialize(by_source(hits), "case-sources")
+    met = gold.join(sources, ["case_id", "source_id"], "left")
+    share = lambda found, of=F.lit(True): F.try_divide(F.count_if(found & of), F.count_if(of))
+    graded = met.groupBy("case_id").agg(
+        share(F.col("r") < 3).alias("recall_at_3"),
+        share(F.col("r") < 5).alias("recall_at_5"),
+        F.coalesce(1 / (F.min(F.when(F.col("r") < 10, F.col("r"))) + 1), F.lit(0.0)).alias("mrr_at_10"),
+        share(F.col("u") < 50).alias("candidate_recall_at_50"),
+        share(F.col("p") < 5).alias("distinct_source_recall_at_5"),
+        share(F.col("r") < 5, F.col("must")).alias("must_have_recall_at_5"),
+        share(F.col("r") < 5, ~F.col("must")).alias("optional_coverage_at_5"),
+    )
+    repeats = sources.groupBy("case_id").agg((F.sum("n10") - F.count_if(F.col("n10") > 0)).alias("duplicate_sources_at_10"))
+    out = cases.join(graded, "case_id", "left").join(repeats, "case_id", "left")
     correct = F.when(F.col("should_abstain"), F.col("risk_level") == "insufficient_evidence").otherwise(F.col("risk_level") != "insufficient_evidence")
     out = out.withColumn("abstention_correct", correct).withColumn("bad_categories", taxonomy())
-    for c in ("recall_at_3", "recall_at_5", "mrr_at_10", "candidate_recall_at_50", "distinct_source_recall_at_5", "must_have_recall_at_5", "optional_coverage_at_5"):
-        out = out.withColumn(c, F.round(c, 4))
+    rounded = ("recall_at_3", "recall_at_5", "mrr_at_10", "candidate_recall_at_50", "distinct_source_recall_at_5", "must_have_recall_at_5", "optional_coverage_at_5")
+    out = out.withColumns({c: F.round(c, 4) for c in rounded})
     return out.withColumn("duplicate_sources_at_10", F.coalesce("duplicate_sources_at_10", F.lit(0))).withColumn("is_bad", F.size("bad_categories") > 0)
 
 
@@ -73,17 +87,44 @@ def taxonomy() -> Column:
     )
 
 
-def mode_metrics(metrics: DataFrame) -> DataFrame:
-    """Means over the cases that have the metric, rates and counts, per mode."""
+def mode_metrics(metrics: DataFrame, modes: DataFrame | None = None) -> DataFrame:
+    """Means over the cases that have the metric, rates and counts, per mode; a mode of ``modes`` without a case has zeros.
+
+    Columns total_latency_ms and retrieval_latency_ms, where there are such, give means over the cases that have one.
+    """
     mean = lambda c: F.round(F.avg(c), 4).alias(f"mean_{c}")
     rate = lambda c: F.round(F.avg(F.col(c).cast("int")), 4).alias(f"rate_{c}")
-    return metrics.groupBy("mode").agg(
+    told = metrics.groupBy("mode").agg(
         F.count("*").alias("n_cases"),
         F.count("recall_at_5").alias("n_graded"),
         *[mean(c) for c in ("recall_at_3", "recall_at_5", "mrr_at_10", "candidate_recall_at_50", "distinct_source_recall_at_5", "must_have_recall_at_5", "optional_coverage_at_5", "duplicate_sources_at_10")],
         rate("abstention_correct"),
         rate("is_bad"),
+        *[mean(c) for c in ("total_latency_ms", "retrieval_latency_ms") if c in metrics.columns],
     )
+    if modes is None:
+        return told
+    return modes.select("mode").distinct().join(told, "mode", "left").fillna(0, [c for c in told.columns if c != "mode" and "latency" not in c])
+
+
+def mode_key(retrieval: Column, review: Column, rerank: Column) -> Column:
+    """The name of an evaluation mode; rerank is told only where it is on."""
+    return F.concat(F.lit("retrieval="), retrieval, F.lit(",review="), review, F.when(rerank == "off", F.lit("")).otherwise(F.concat(F.lit(",rerank="), rerank)))
+
+
+def with_failures(metrics: DataFrame, cases: DataFrame, failures: DataFrame) -> DataFrame:
+    """Metric rows of all cases: those that failed (case_id, failed_node, failure_reason) are rows without metrics, marked as hard failures."""
+    failed = cases.join(failures.select("case_id", "failed_node", "failure_reason"), "case_id").withColumn("workflow_outcome", F.lit("hard_failure"))
+    good = metrics.join(failures.select("case_id"), "case_id", "left_anti").withColumn("workflow_outcome", F.lit("clean_success"))
+    return good.unionByName(failed, allowMissingColumns=True)
+
+
+def suite(cases: DataFrame, wanted: list[str]) -> DataFrame:
+    """The wanted cases with their place in the list; an unknown id is an error."""
+    found = cases.sparkSession.createDataFrame(list(enumerate(wanted)), "place int, case_id string").join(cases, "case_id")
+    if found.count() != len(wanted):
+        raise KeyError("the suite names unknown cases")
+    return found
 
 
 def taxonomy_counts(metrics: DataFrame) -> DataFrame:

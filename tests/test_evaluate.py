@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from corpusloom.operators import evaluate as E
 
 HITS = [(1, "s1", "a", 0), (1, "s1", "b", 1), (1, "s2", "c", 2), (2, "s9", "d", 0)]
@@ -37,3 +39,24 @@ def test_span_overlap(spark):
 def test_labels_must_make_up_the_gold(spark):
     df = spark.createDataFrame([(1, ["a", "b"], ["a"], ["b"]), (2, ["a", "b"], ["a"], ["a", "b"]), (3, ["a"], [], [])], "case_id int, expected array<string>, must array<string>, optional array<string>")
     assert sorted(r.case_id for r in E.check_labels(df).collect()) == [2, 3]
+
+
+def test_modes_failures_and_suites(spark):
+    cases = spark.createDataFrame([("a", "m"), ("b", "m"), ("c", "n")], "case_id string, mode string")
+    names = ["recall_at_3", "recall_at_5", "mrr_at_10", "candidate_recall_at_50", "distinct_source_recall_at_5", "must_have_recall_at_5", "optional_coverage_at_5"]
+    schema = "case_id string, mode string, " + ", ".join(f"{n} double" for n in names) + ", duplicate_sources_at_10 long, abstention_correct boolean, is_bad boolean, total_latency_ms double"
+    metrics = spark.createDataFrame([("a", "m", *[1.0] * 7, 0, True, False, 10.0), ("b", "m", *[None] * 7, 2, False, True, None)], schema)
+    rows = {r["mode"]: r for r in E.mode_metrics(metrics, spark.createDataFrame([("m",), ("x",)], "mode string")).collect()}
+    assert rows["m"].mean_recall_at_5 == 1.0 and rows["m"].mean_total_latency_ms == 10.0 and rows["m"].rate_is_bad == 0.5
+    assert rows["x"].n_cases == 0 and rows["x"].mean_recall_at_3 == 0.0 and rows["x"].mean_total_latency_ms is None
+    failed = spark.createDataFrame([("c", "search", "timeout")], "case_id string, failed_node string, failure_reason string")
+    out = {r.case_id: r for r in E.with_failures(metrics, cases, failed).collect()}
+    assert out["c"].workflow_outcome == "hard_failure" and out["c"].recall_at_3 is None and out["a"].workflow_outcome == "clean_success"
+    assert [r.case_id for r in E.suite(cases, ["c", "a"]).orderBy("place").collect()] == ["c", "a"]
+    keys = spark.createDataFrame([("hybrid", "rules", "off"), ("hybrid", "rules", "on")], "a string, b string, c string")
+    assert [r[0] for r in keys.select(E.mode_key(F.col("a"), F.col("b"), F.col("c"))).collect()] == ["retrieval=hybrid,review=rules", "retrieval=hybrid,review=rules,rerank=on"]
+    try:
+        E.suite(cases, ["zz"])
+        raise AssertionError
+    except KeyError:
+        pass
