@@ -174,6 +174,31 @@ def rerank(hits: DataFrame, scores: DataFrame, k: int, window: int = 50, weight:
     return out.select("case_id", "chunk_id", F.col("final").alias("score"), "rank")
 
 
+#: The parts of a text for a reranker, and its lengths.
+RERANK_QUERY, RERANK_DOCUMENT, RERANK_MATERIAL, RERANK_PARTS = 1200, 1400, 500, 6
+
+
+def rerank_query() -> Column:
+    """The query text for a reranker, of a case's question, text (material), facts and queries (array of texts)."""
+    named = lambda label, c: F.when(F.coalesce(F.col(c).cast("string") != "", F.lit(False)), F.concat(F.lit(label), F.col(c).cast("string")))
+    abroad = F.when(F.col("cross_border_transfer").isNotNull(), F.concat(F.lit("跨境传输="), F.initcap(F.col("cross_border_transfer").cast("string"))))
+    kinds = F.when(F.size("data_types") > 0, F.concat(F.lit("数据类型="), F.array_join(F.slice("data_types", 1, RERANK_PARTS), ",")))
+    facts = F.concat_ws("；", abroad, named("地区=", "region"), named("行业=", "industry"), kinds)
+    asked = F.array_join(F.slice("queries", 1, RERANK_PARTS), "；")
+    material = F.trim("text")
+    parts = F.concat_ws(
+        "\n", F.concat(F.lit("用户问题："), F.trim("question")), F.concat(F.lit("业务事实："), F.when(facts == "", "无明确结构化事实").otherwise(facts)),
+        F.when(asked != "", F.concat(F.lit("检索意图："), asked)), F.when(material != "", F.concat(F.lit("材料摘要："), F.substring(material, 1, RERANK_MATERIAL))),
+    )
+    return F.substring(parts, 1, RERANK_QUERY)
+
+
+def rerank_document() -> Column:
+    """The document text for a reranker, of a hit's title, citation_role, query_type and text."""
+    parts = F.concat(F.lit("标题："), "title", F.lit("\n证据角色："), "citation_role", F.lit("\n查询类型："), F.coalesce("query_type", F.lit("unknown")), F.lit("\n正文："), "text")
+    return F.substring(parts, 1, RERANK_DOCUMENT)
+
+
 def expand_neighbors(top: DataFrame, chunks: DataFrame, most: int = 10) -> DataFrame:
     """Chunks before and after the top hits, in hit order, each once, none of the top, at most ``most``; score 0."""
     sides = top.join(chunks.select("chunk_id", "prev_chunk_id", "next_chunk_id"), "chunk_id").select(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import rules
-from corpusloom.functions.text import contains_any, first_label, labels_of
+from corpusloom.functions.text import contains_any, first_label, labels_of, token_set
 
 
 @dataclass(frozen=True)
@@ -91,9 +91,11 @@ def merge_facts(first: DataFrame, fallback: DataFrame) -> DataFrame:
     return both.withColumn("missing_information", F.array_except(F.array_union("missing_information", "_missing_information"), known)).select(*first.columns)
 
 
-def plan_queries(facts: DataFrame, templates: list[tuple[tuple[str, ...], str, bool, tuple[str, ...]]], words: dict[str, str], region_intent: tuple[str, ...], industry_intent: tuple[str, ...]) -> DataFrame:
+def plan_queries(facts: DataFrame, templates: list[tuple[tuple[str, ...], str, bool, tuple[str, ...]]], words: dict[str, str], region_intent: tuple[str, ...], industry_intent: tuple[str, ...], narrow: bool = False) -> DataFrame:
     """case_id, query_id (q_1 ..), query_type, text from question and facts.
 
+    narrow leaves only queries with a trigger of their own (region, industry, templates), to be added to a plan of another origin.
+
     facts also has question. templates: intent terms, query text, whether it needs a transfer,
     anchor terms. words: the phrases put into queries (cross_border, sensitive, region, focus_*, industry).
     """
@@ -122,6 +124,8 @@ def plan_queries(facts: DataFrame, templates: list[tuple[tuple[str, ...], str, b
             ok = ok & contains_any(context, anchors)
         found.append(F.when(ok, q("legal_issue", F.lit(text))))
     found.append(F.when(F.size("missing_information") > 0, q("missing_information", F.array_join("missing_information", " "))))
+    if narrow:
+        found = found[2:-1]
     listed = facts.select("case_id", F.posexplode(F.array_distinct(F.array_compact(F.array(*found)))).alias("pos", "q"))
     return listed.select("case_id", F.concat(F.lit("q_"), (F.col("pos") + 1).cast("string")).alias("query_id"), "q.query_type", "q.text")
 
@@ -355,6 +359,51 @@ def needs_critic() -> Column:
     return (F.col("risk_level") == "high") | F.col("second_pass") | (F.col("risk_level") == "insufficient_evidence")
 
 
+#: Words that tell nothing about what a revision asks for.
+REVISION_STOP = ("法律", "法规", "依据", "条文", "直接", "要求", "缺少", "补充", "规定", "制度", "问题", "相关", "当前", "证据")
+REVISION_STOP_LATIN = ("law", "legal", "rule", "rules")
+#: Reasons of evidence gaps, and how many actions a revision may have.
+GAP_OF_ACTION = "定向检索后仍未召回 Critic 要求的可引用法条；不得新增结论。原要求："
+GAP_OF_REQUEST = "定向检索未召回可引用条文，只能收窄结论并披露证据缺口："
+REVISION_ACTIONS = 5
+
+
+def _answers(hit: Column, asked: Column) -> Column:
+    """Whether a hit's text holds all Latin names and some other word of what is asked."""
+    names = lambda t: F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit("[A-Za-z][A-Za-z0-9-]*"), F.lit(0)), lambda x: F.lower(x)))
+    anchors = F.filter(names(asked), lambda x: ~x.isin(*REVISION_STOP_LATIN))
+    terms = F.filter(token_set(asked), lambda t: ~t.isin(*REVISION_STOP) & (F.length(t) > 1))
+    return (F.size(F.array_except(anchors, names(hit))) == 0) & F.coalesce(F.arrays_overlap(terms, token_set(hit)), F.lit(False))
+
+
+def gated_revisions(actions: DataFrame, requests: DataFrame, hits: DataFrame, targeted: DataFrame) -> DataFrame:
+    """case_id, action_pos, operation, issue_id, reason: revision actions that the evidence allows, at most REVISION_ACTIONS a case.
+
+    actions: case_id, action_pos, operation, issue_id, reason, replacement_text, supporting_chunk_ids. requests:
+    case_id, request_pos, issue_id, query, reason. hits, targeted: case_id, issue_id, chunk_id, title, text,
+    can_cite_clause. A claim may be added only on citable hits of its issue that answer it; else it becomes
+    an evidence gap. A request that no citable targeted hit answers is a gap of its issue, if it has none.
+    """
+    body = F.concat_ws(" ", "title", F.substring("text", 1, 800))
+    citable = hits.where("can_cite_clause").select("case_id", "issue_id", "chunk_id", body.alias("body"))
+    adds = actions.where("operation = 'add_supported_claim'").withColumn("asked", F.concat(F.col("reason"), F.lit(" "), F.coalesce("replacement_text", F.lit(""))))
+    each = adds.select("case_id", "action_pos", "issue_id", "asked", F.explode(F.array_distinct("supporting_chunk_ids")).alias("chunk_id"))
+    met = each.join(citable, ["case_id", "issue_id", "chunk_id"], "left")
+    ok = met.groupBy("case_id", "action_pos").agg(F.bool_and(F.coalesce(_answers(F.col("body"), F.col("asked")), F.lit(False))).alias("ok"))
+    told = actions.join(ok, ["case_id", "action_pos"], "left")
+    gap = (F.col("operation") == "add_supported_claim") & ~F.coalesce("ok", F.lit(False))
+    told = told.select(
+        "case_id", F.col("action_pos").cast("long").alias("place"), F.when(gap, "mark_evidence_gap").otherwise(F.col("operation")).alias("operation"), "issue_id",
+        F.when(gap, F.concat(F.lit(GAP_OF_ACTION), "reason")).otherwise(F.col("reason")).alias("reason"),
+    )
+    found = targeted.where("can_cite_clause").select("case_id", "issue_id", body.alias("body")).join(requests, ["case_id", "issue_id"])
+    answered = found.where(_answers(F.col("body"), F.concat_ws(" ", "query", "reason"))).select("case_id", "request_pos").distinct()
+    open_ = requests.join(answered, ["case_id", "request_pos"], "left_anti").join(told.where("operation = 'mark_evidence_gap'").select("case_id", "issue_id"), ["case_id", "issue_id"], "left_anti")
+    gaps = open_.select("case_id", (F.col("request_pos") + (1 << 30)).cast("long").alias("place"), F.lit("mark_evidence_gap").alias("operation"), "issue_id", F.concat(F.lit(GAP_OF_REQUEST), "reason").alias("reason"))
+    placed = told.unionByName(gaps).withColumn("action_pos", F.row_number().over(Window.partitionBy("case_id").orderBy("place")))
+    return placed.where(F.col("action_pos") <= REVISION_ACTIONS).select("case_id", "action_pos", "operation", "issue_id", "reason")
+
+
 def apply_patch(claims: DataFrame, removed: DataFrame, replaced: DataFrame, added: DataFrame) -> DataFrame:
     """A result's claims after a revision: removals, replacements by position, additions at the end."""
     left = claims.join(removed.select("case_id", "claim_pos"), ["case_id", "claim_pos"], "left_anti")

@@ -72,3 +72,35 @@ def test_policy(spark):
     assert [r[0] for r in df.select(policy.citation_role(F.col("s"))).collect()] == ["primary_legal_basis", "implementation_reference", "conditional_local_basis", "interpretation_auxiliary"]
     bad = policy.violations(spark.createDataFrame([(1, " "), (2, "x"), (3, None)], "id int, t string"), {"blank": F.trim("t") != ""}, "id")
     assert sorted(r.id for r in bad.collect()) == [1, 3]
+
+
+def test_gated_revisions(spark):
+    actions = spark.createDataFrame(
+        [(1, 0, "narrow_claim", "i1", "r0", None, []), (1, 1, "add_supported_claim", "i1", "出境评估", "x", ["a"]), (1, 2, "add_supported_claim", "i1", "出境评估", None, ["a", "b"]), (1, 3, "add_supported_claim", "i2", "GDPR 出境", None, ["c"])],
+        "case_id int, action_pos int, operation string, issue_id string, reason string, replacement_text string, supporting_chunk_ids array<string>",
+    )
+    schema = "case_id int, issue_id string, chunk_id string, title string, text string, can_cite_clause boolean"
+    hits = spark.createDataFrame([(1, "i1", "a", "出境", "数据出境安全评估 x", True), (1, "i1", "b", "出境", "评估", False), (1, "i2", "c", "出境", "数据出境", True)], schema)
+    requests = spark.createDataFrame([(1, 0, "i1", "出境", "评估"), (1, 1, "i2", "出境", "评估"), (1, 2, "i3", "出境", "评估"), (1, 3, "i4", "医疗", "数据")], "case_id int, request_pos int, issue_id string, query string, reason string")
+    targeted = spark.createDataFrame([(1, "i3", "d", "t", "数据出境", True), (1, "i4", "e", "t", "数据出境", False)], schema)
+    got = [(r.action_pos, r.operation, r.issue_id) for r in R.gated_revisions(actions, requests, hits, targeted).orderBy("action_pos").collect()]
+    assert got == [(1, "narrow_claim", "i1"), (2, "add_supported_claim", "i1"), (3, "mark_evidence_gap", "i1"), (4, "mark_evidence_gap", "i2"), (5, "mark_evidence_gap", "i4")]
+
+
+def test_narrow_plan(spark):
+    df = spark.createDataFrame([(1, "材料里的标准合同和自贸区行业", "q", True, ["个人信息"], None, None, "汽车", "上海", ["x"])], "case_id int, text string, question string, cross_border_transfer boolean, data_types array<string>, overseas_recipient string, sensitive_personal_info boolean, industry string, region string, missing_information array<string>")
+    words = {"cross_border": "a", "sensitive": "b", "region": "c", "focus_abroad": "d", "focus_home": "e", "industry": "f"}
+    plan = lambda narrow: [r.query_type for r in R.plan_queries(df, [(("标准合同",), "x", False, ())], words, ("自贸区",), ("行业",), narrow).orderBy("query_id").collect()]
+    assert plan(False) == ["legal_issue", "material_fact", "region_condition", "industry_condition", "legal_issue", "missing_information"]
+    assert plan(True) == ["region_condition", "industry_condition", "legal_issue"]
+
+
+def test_rerank_texts(spark):
+    from corpusloom.operators import rank
+
+    df = spark.createDataFrame([("q ", " m" * 600, True, "上海", None, ["a", "b"], ["x", "y"]), ("q", "", None, None, None, [], [])], "question string, text string, cross_border_transfer boolean, region string, industry string, data_types array<string>, queries array<string>")
+    one, two = [r[0] for r in df.select(rank.rerank_query()).collect()]
+    assert one.startswith("用户问题：q\n业务事实：跨境传输=True；地区=上海；数据类型=a,b\n检索意图：x；y\n材料摘要：m m") and len(one.split("材料摘要：")[1]) == 500
+    assert two == "用户问题：q\n业务事实：无明确结构化事实"
+    hit = spark.createDataFrame([("t", "r", None, "x" * 2000)], "title string, citation_role string, query_type string, text string").select(rank.rerank_document()).first()[0]
+    assert hit.startswith("标题：t\n证据角色：r\n查询类型：unknown\n正文：x") and len(hit) == 1400
