@@ -148,38 +148,23 @@ def forest_candidates(members: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """id, set (sorted 64-bit hashes): the sets of the documents named in ids. No text is shuffled."""
+    """id, set (array of 64-bit hashes): the sets of the documents named in ids. No text is shuffled."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         np.seterr(over="ignore")
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "set": [x.tobytes() for x in shingle_sets(batch["text"].tolist(), n)]})
+            yield pd.DataFrame({"id": batch["id"], "set": [x.view(np.int64) for x in shingle_sets(batch["text"].tolist(), n)]})
 
     named = may_match(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), "id", ids, "id")
-    return named.mapInPandas(run, "id long, set binary").join(ids, "id", "left_semi")
+    return named.mapInPandas(run, "id long, set array<long>").join(ids, "id", "left_semi")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, floor: float) -> DataFrame:
     """a, b, shared, joint: sizes of intersection and union, of pairs (a, b) with at least ``floor`` similarity."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            shared, joint = [], []
-            for x, y in zip(batch["set_a"], batch["set_b"], strict=True):
-                p, q = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                if len(p) > len(q):
-                    p, q = q, p
-                at = np.searchsorted(q, p)
-                s = int((q[np.minimum(at, len(q) - 1)] == p).sum()) if len(q) else 0
-                shared.append(s)
-                joint.append(len(p) + len(q) - s)
-            out = pd.DataFrame({"a": batch["a"], "b": batch["b"], "shared": shared, "joint": joint})
-            yield out[out["shared"] >= floor * out["joint"]]
-
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(
-        sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b"
-    )
-    return both.select("a", "b", "set_a", "set_b").mapInPandas(run, "a long, b long, shared long, joint long")
+    own = lambda end: sets.select(F.col("id").alias(end), F.col("set").alias(f"set_{end}"))
+    both = pairs.join(own("a"), "a").join(own("b"), "b").withColumn("shared", F.size(F.array_intersect("set_a", "set_b")))
+    sized = both.select("a", "b", F.col("shared").cast("long").alias("shared"), (F.size("set_a") + F.size("set_b") - F.col("shared")).cast("long").alias("joint"))
+    return sized.where(F.col("shared") >= floor * F.col("joint"))
 
 
 def _linked(threshold: int):
@@ -252,7 +237,7 @@ def settle(near: DataFrame, links: DataFrame, sets: DataFrame, threshold: int) -
     own = connected_components(links)
     nodes = inside.select(F.col("node").alias("id"), F.col("component").alias("region")).join(own.select(F.col("node").alias("id"), "component"), "id", "left")
     nodes = nodes.withColumn("component", F.coalesce("component", "id"))
-    sized = nodes.join(sets.select("id", F.expr("length(set) div 8").alias("size")), "id")
+    sized = nodes.join(sets.select("id", F.size("set").cast("long").alias("size")), "id")
     sized = materialize(sized, "settle-nodes")
     parts = sized.groupBy("region", "component").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     regions = parts.groupBy("region").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component", "size")).alias("main"), F.sum("size").alias("all_size"))
@@ -274,7 +259,7 @@ def settle(near: DataFrame, links: DataFrame, sets: DataFrame, threshold: int) -
     def compare(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:  # noqa: E741
         found: list[tuple[int, int]] = []
         if len(l) and len(r):
-            bodies = [np.frombuffer(s, dtype=np.uint64) for s in r["r_set"]]
+            bodies = [np.asarray(s) for s in r["r_set"]]
             sizes = np.array([len(s) for s in bodies])
             owner = np.repeat(np.arange(len(bodies)), sizes)
             tokens = np.concatenate(bodies)
@@ -282,7 +267,7 @@ def settle(near: DataFrame, links: DataFrame, sets: DataFrame, threshold: int) -
             tokens, owner = tokens[order], owner[order]
             ids, comps = r["r_id"].to_numpy(), r["r_component"].to_numpy()
             for me, comp, body in zip(l["id"], l["component"], l["set"], strict=True):
-                own = np.frombuffer(body, dtype=np.uint64)
+                own = np.asarray(body)
                 lo, hi = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
                 n = hi - lo
                 at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())

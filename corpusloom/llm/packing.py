@@ -46,7 +46,7 @@ class PieceIds(dict):
     part); a part with a special token goes to the tokenizer itself.
     """
 
-    def __init__(self, path: str, ranks_path: str | None = None, most: int = 250_000, longest: int = 48):
+    def __init__(self, path: str, ranks_path: str | None = None, most: int = 100_000, longest: int = 48):
         super().__init__()
         from tokenizers import Tokenizer
 

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes of a group of texts; a longer text is a group of its own and is cut at white space.
-GROUP = 1 << 20
+GROUP = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, dtype=bool)
