@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.operators import components, prefilter, tables
+from corpusloom.operators import tables
 from corpusloom.sources import files
 from corpusloom.storage import materialize, release
 from corpusloom.streaming import ingest
@@ -56,20 +56,6 @@ def test_keyed_tables(spark):
     assert sorted(map(tuple, built.collect())) == [("a", 1), ("b", 2), ("c", 9)]
 
 
-def test_components(spark):
-    chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (None, 3)], "a long, b long")
-    got = {r.node: r.component for r in components.connected_components(chain).collect()}
-    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
-    assert components.connected_components(chain.where("a < 0")).count() == 0
-
-
-def test_prefilter(spark):
-    rows, keys = spark.range(10_000), spark.range(0, 10_000, 100).withColumnRenamed("id", "k")
-    kept = {r.id for r in prefilter.may_match(rows, "id", keys, "k").collect()}
-    assert set(range(0, 10_000, 100)) <= kept and len(kept) < 200
-    assert len({r.id for r in prefilter.may_match(rows, "id", keys, "k", 64).collect()}) >= 100
-
-
 def test_stream_matches_batch(spark, tmp_path):
     df = spark.createDataFrame([(i, f"t{i % 3}") for i in range(20)], "doc_id int, text string")
     df.repartition(4).write.parquet(f"{tmp_path}/in")
