@@ -9,6 +9,11 @@ densification). ``bits`` low-order bits of every bin are kept, a hexadecimal dig
 ``likeness`` is the share of equal bins with the bias of chance agreement taken out:
 (share - c) / (1 - c) with c = 2^-bits, cut to 0..1. Two empty fingerprints are alike (1), an
 empty one and another are not (0).
+
+Defined cases: null text is empty; a very long text is one expression over the whole of it; repeated
+rows have fingerprints of their own, equal ones; a null doc_id comes last in the order of ids, rows of
+one id are in the order of their texts, and the last row's next is the first; the only row of a table
+is its own next; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -143,8 +148,7 @@ def edited_pairs(docs: DataFrame, parts: int | None = None) -> DataFrame:
 
     Edited: the last floor(n / 2) code points replaced by the first as many (or all) of the next
     document. Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited, near_next. The only document of a table is its own next. With null ids only,
-    the ranges have no start and the next row of the last one is missing: it counts as empty.
+    near_edited, near_next.
     """
     parts = parts or max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     own = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))

@@ -93,3 +93,12 @@ def test_few_rows(spark):
     assert one.near_next == 1.0 and one.doc_id == 5
     many = spark.createDataFrame([(1, "b", ""), (1, "a", ""), (1, "a", ""), (2, "c", ""), (None, "z", "")], S)
     assert P.edited_pairs(many, 3).count() == 5
+
+
+def test_the_last_row_is_followed_by_the_first(spark):
+    from corpusloom.llm.fingerprints import with_next
+
+    for rows in ([(None, "a"), (None, "b"), (None, "c")], [(None, "b"), (None, "c"), (3, "m"), (1, "a")], [(5, "a")]):
+        got = {r.v: r.next_v for r in with_next(spark.createDataFrame(rows, "doc_id long, text string"), F.col("text"), 4).collect()}
+        order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        assert got == {order[i][1]: order[(i + 1) % len(order)][1] for i in range(len(order))}
