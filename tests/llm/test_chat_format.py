@@ -56,3 +56,9 @@ def test_query(spark):
     t = "</s>[INST] ok [/INST]"
     assert r.n_turns == 2 and r.loss_chars == len(t) and r.loss_sha256 == hashlib.sha256(t.encode()).hexdigest()
     assert r.turns_sha256 == hashlib.sha256(f"user\n{t}\nassistant\n{t}\n".encode()).hexdigest()
+
+
+def test_a_very_long_text(spark):
+    long = "words and </s>[INST] marks \\ " * 40_000
+    got = run(spark, [(1, 0, "user", long), (1, 1, "assistant", long)])[1]
+    assert [t.text for t in got.back] == [long, long] and got.loss == long and got.valid

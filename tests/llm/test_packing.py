@@ -75,3 +75,18 @@ def test_empty_and_repeated(spark):
     assert P.pack(none, PATH, RANKS).count() == 0
     twice = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.length) for r in P.pack(twice, PATH, RANKS).collect()) == [(0, 2), (1, 3), (1, 3)]
+
+
+def test_capacity_that_the_unit_does_not_divide(spark):
+    rows = [(i, 0, n, 7, n) for i, n in enumerate([100, 99, 97, 50, 33, 17, 16, 1, 4, 84] * 3)] + [(None, 0, 1, 7, 1)] * 40
+    pieces = spark.createDataFrame(rows, P.PIECES)
+    used = defaultdict(list)
+    for r in P.pack_pieces(pieces, capacity=100, unit=16).collect():
+        used[r.sequence_id].append((r.offset, r.length))
+    assert sum(len(v) for v in used.values()) == len(rows)
+    for parts in used.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 100

@@ -53,3 +53,26 @@ def test_large_integers_and_lengths(spark):
 def test_repeated_rows(spark):
     rows = [(0, [1.0]), (0, [1.0]), (5, [1.0]), (5, [1.0])]
     assert got(spark, rows) == {0: [(5, 1024 * 1024), (5, 1024 * 1024)]}
+
+
+def test_extra_columns_and_long_vectors(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=3000)], i, "s", b"x") for i in range(95, 130)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, query_id long, score string, mat binary")
+    out = {}
+    for r in topk.top_k(df, df.where(F.col("vec_id") % 100 == 0), 5, block=8, query_block=2).orderBy("query_id", "rank").collect():
+        out.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert out == brute([(i, v) for i, v, *_ in rows], 5)
+
+
+def test_sums_beyond_doubles():
+    """Components so large that sums have no exact double; the bounds allow for what rounding takes."""
+    rng = np.random.default_rng(9)
+    c = rng.integers(-(2**28), 2**28, size=(64, 300))
+    q = c[:, :3] + rng.integers(-5, 5, size=(64, 3))
+    ids = np.arange(300)
+    got = topk.search_block(np.array([1000, 1001, 1002]), q, ids, c, 5)
+    for i in range(3):
+        scores = [int(sum(int(a) * int(b) for a, b in zip(q[:, i], c[:, j]))) for j in range(300)]
+        want = sorted(range(300), key=lambda j: (-scores[j], j))[:5]
+        assert [(x[2], x[3]) for x in got if x[0] == i] == [(j, scores[j]) for j in want]
