@@ -54,6 +54,8 @@ ALIKE = 0.6
 #: Shingles in a block of the exact comparison, signatures in a block of a region.
 LEFT_BLOCK, MEMBER_BLOCK = 100_000, 400_000
 SIGNATURE_BLOCK = 2048
+#: Shingles that leave a task in one batch.
+OUTPUT_SHINGLES = 500_000
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -153,7 +155,16 @@ def full_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         np.seterr(over="ignore")
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "set": [x.view(np.int64) for x in shingle_sets(batch["text"].tolist(), n)]})
+            ids, sets, size = [], [], 0
+            for doc_id, values in zip(batch["id"].tolist(), shingle_sets(batch["text"].tolist(), n), strict=True):
+                ids.append(doc_id)
+                sets.append(values.view(np.int64))
+                size += len(values)
+                if size > OUTPUT_SHINGLES:  # a batch of sets is many times as large as its texts
+                    yield pd.DataFrame({"id": ids, "set": sets})
+                    ids, sets, size = [], [], 0
+            if ids:
+                yield pd.DataFrame({"id": ids, "set": sets})
 
     named = may_match(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), "id", ids, "id")
     return named.mapInPandas(run, "id long, set array<long>").join(ids, "id", "left_semi")

@@ -16,11 +16,13 @@ an empty table gives no row. Padding is what the rounding to ``unit`` and the la
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -43,18 +45,21 @@ class PieceIds(dict):
     when the young one is full it becomes the old one, and parts met again move back.
 
     Parts not kept are encoded by the same vocabulary as ranks (equal ids, several times faster a
-    part); a part with a special token goes to the tokenizer itself.
+    part); a part with a special token goes to the tokenizer itself, which is not read before.
     """
 
     def __init__(self, path: str, ranks_path: str | None = None, most: int = 100_000, longest: int = 48):
         super().__init__()
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.path, self.specials = path, _added_tokens(path)
         self.ordinary = _ranked(ranks_path) if ranks_path else None
         self.most, self.longest, self.old = most, longest, {}
 
+    @cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def __missing__(self, part: str) -> bytes:
         ids = self.old.get(part)
         if ids is None:
@@ -80,6 +85,17 @@ class PieceIds(dict):
         return (self[head] if head else b"") + b"".join([self[" " + p] for p in rest])
 
 
+def _added_tokens(path: str) -> list[str]:
+    """The special tokens that a tokenizer file names, without reading the rest of it as JSON."""
+    with open(path, encoding="utf-8") as file:
+        text = file.read()
+    mark = '"added_tokens":'
+    at = text.find(mark)
+    if at < 0:
+        return []
+    return [t["content"] for t in json.JSONDecoder().raw_decode(text[at + len(mark) :].lstrip())[0]]
+
+
 def _ranked(path: str):
     import base64
 
