@@ -172,6 +172,10 @@ n AS (SELECT doc_id, i, CASE WHEN starts_with(line, '### ') THEN 3 WHEN starts_w
 h AS (SELECT *, CASE level WHEN 2 THEN 1 WHEN 3 THEN 1 + CAST(bool_or(level = 2) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS INTEGER) ELSE 0 END AS depth,
              row_number() OVER (PARTITION BY doc_id ORDER BY i) AS first FROM n)
 SELECT CAST(depth AS BIGINT) AS depth, count(*) AS n FROM h WHERE level IS NOT NULL OR first = 1 GROUP BY depth""",
+    "line_pack_chunks": f"""WITH {_LINES}, p AS (SELECT doc_id, list_transform(flatten(list_transform(ls, lambda x: CASE WHEN length(x) > 650 THEN list_transform(range(0, length(x), 480), lambda s: 'C' || substr(x, s + 1, 480)) ELSE ['O' || x] END)), lambda y: [y]) AS ps FROM ln),
+r AS (SELECT doc_id, list_reduce(ps, lambda a, x: CASE WHEN a[-1][1] = 'O' AND x[1][1] = 'O' AND length(a[-1]) + length(x[1]) - 1 <= 650 THEN list_concat(a[:-2], [a[-1] || chr(10) || substr(x[1], 2)]) ELSE list_concat(a, x) END) AS us FROM p WHERE len(ps) > 0),
+u AS (SELECT doc_id, unnest(us) AS u, generate_subscripts(us, 1) - 1 AS chunk_index FROM r)
+SELECT doc_id, chunk_index, length(u) - 1 AS n_chars, md5(substr(u, 2)) AS digest FROM u""",
     "heading_units": f"WITH {_LINES}, u AS (SELECT *, sum(CASE WHEN level IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM lv) SELECT doc_id, CAST(k AS BIGINT) AS unit_no, CAST(max(level) AS BIGINT) AS level, count(*) AS n_lines FROM u GROUP BY doc_id, k",
     "query_plan": f"WITH {_PLAN} SELECT case_id, 'q_' || qpos AS query_id, query_type, text FROM planned",
     "query_plan_merge": f"""WITH {_PLAN}, every AS (SELECT case_id, 0 AS plan_pos, qpos, query_type, text FROM planned UNION ALL SELECT case_id, 1, qpos, query_type, ' ' || upper(text) FROM planned UNION ALL SELECT case_id, 1, 99, query_type, 'second opinion' FROM planned WHERE qpos = 1),
