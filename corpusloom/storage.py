@@ -41,16 +41,22 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
-def materialize(df: DataFrame, label: str = "table") -> DataFrame:
+def folder(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, which ``release`` deletes like a table."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def materialize(df: DataFrame, label: str = "table", compression: str = "snappy") -> DataFrame:
     """Write a table to the shared folder and read it back.
 
     Cuts the lineage with columnar, compressed files that any executor can read again after a
     loss. Ids, counts and signatures go this way, texts only between stages of the pipeline and in
     samples of a stated size.
     """
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _MADE.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
+    path = folder(df.sparkSession, label)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
