@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat_format, fill_middle, fingerprints, mixing, near_dedup, packing, quality, secrets, substring_dedup, topk, toxicity
+from corpusloom.llm import chat_format, fill_middle, fingerprints, mixing, near_dedup, packing, quality, secrets, substring_dedup, topk, toxicity, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -191,6 +191,44 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(toxicity.score(docs, model), 5, 0)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, books = vector_codes.compress(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256)
+    return out.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+def _codes_sql() -> str:
+    """Three assignments and, between them, two moves of the entries."""
+    assign = """
+a{i} AS (
+  SELECT rid, part, min(CAST(list_inner_product(p.c, p.c) - 2 * list_inner_product(p.c, b.c) + list_inner_product(b.c, b.c) AS BIGINT) * 64 + entry) AS m
+  FROM p JOIN b{i} AS b USING (part) GROUP BY rid, part
+)"""
+    move = """, m{j} AS (
+  SELECT part, m % 64 AS entry, i, floor(sum(c[i]) / count(*)) AS x
+  FROM a{i} JOIN p USING (rid, part), width, (SELECT unnest(range(1, 100)) AS i) WHERE i <= w GROUP BY part, m % 64, i
+), b{j} AS (
+  SELECT part, entry, coalesce(n.c, o.c) AS c
+  FROM b{i} AS o LEFT JOIN (SELECT part, entry, list(x ORDER BY i) AS c FROM m{j} GROUP BY part, entry) AS n USING (part, entry)
+),"""
+    steps = "".join(assign.format(i=i) + (move.format(i=i, j=i + 1) if i < 2 else "") for i in range(3))
+    return f"""
+WITH k AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rid, vec_id, label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), width AS (SELECT CAST(ceil(max(len(q)) / 16) AS BIGINT) AS w FROM k
+), p AS (
+  SELECT rid, part, list_resize(q, 16 * w, 0.0)[part * w + 1:part * w + w] AS c FROM k, width, (SELECT unnest(range(16)) AS part)
+), b0 AS (SELECT part, rid - 1 AS entry, c FROM p WHERE rid <= 64),{steps}, e AS (
+  SELECT rid, string_agg(printf('%02x', m % 64), '' ORDER BY part) AS code, CAST(sum(m // 64) AS BIGINT) AS error FROM a2 GROUP BY rid
+), h AS (
+  SELECT sha256(string_agg(CAST(CAST(c[i] AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, i)) AS codebooks_sha256
+  FROM b2, width, (SELECT unnest(range(1, 100)) AS i) WHERE i <= w
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM e JOIN k USING (rid) CROSS JOIN h
+"""
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fill_middle.fill_middle(table(spark, sf_dir, "documents"), seed=42, rate=50, spm=80)
     return out.select(
@@ -235,9 +273,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": op8_secrets,
         "op9_near_dedup": op9_near_dedup,
         "op10_toxicity": op10_toxicity,
+        "op11_vector_codes": op11_vector_codes,
         "op13_fill_middle": op13_fill_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op5_topk": OP5_SQL, "op7_mixing": OP7_SQL, "op13_fill_middle": OP13_SQL}
+    return {"op1_chat_format": OP1_SQL, "op5_topk": OP5_SQL, "op7_mixing": OP7_SQL, "op11_vector_codes": _codes_sql(), "op13_fill_middle": OP13_SQL}
