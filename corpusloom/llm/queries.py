@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat_format, fill_middle, fingerprints, mixing, near_dedup, packing, quality, secrets, substring_dedup, topk, toxicity, vector_codes
+from corpusloom.llm import chat_format, fill_middle, fingerprints, mixing, near_dedup, packing, quality, secrets, substring_dedup, topk, toxicity, vector_codes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -229,6 +229,28 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 """
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    normal = warc.archive_pages(table(spark, sf_dir, "pages"), least=1000)
+    broken = normal.where("error is not null").first()
+    if broken is not None:
+        raise ValueError(f"{broken.archive}: {broken.error}")
+    found = warc.read_records(warc.read_index(normal), payload=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP12_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+         max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top
+  FROM pages
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM top THEN top END AS refers_to
+FROM p
+"""
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fill_middle.fill_middle(table(spark, sf_dir, "documents"), seed=42, rate=50, spm=80)
     return out.select(
@@ -274,9 +296,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_near_dedup": op9_near_dedup,
         "op10_toxicity": op10_toxicity,
         "op11_vector_codes": op11_vector_codes,
+        "op12_warc": op12_warc,
         "op13_fill_middle": op13_fill_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op5_topk": OP5_SQL, "op7_mixing": OP7_SQL, "op11_vector_codes": _codes_sql(), "op13_fill_middle": OP13_SQL}
+    return {"op1_chat_format": OP1_SQL, "op5_topk": OP5_SQL, "op7_mixing": OP7_SQL, "op11_vector_codes": _codes_sql(), "op12_warc": OP12_SQL, "op13_fill_middle": OP13_SQL}
