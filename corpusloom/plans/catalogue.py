@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import rules
+from corpusloom.functions.json_text import json_to_text
 from corpusloom.functions.text import html_to_text, jaccard, mock_embedding, normalize_text, token_set, tokens
 from corpusloom.operators import chunk, clean, evaluate, policy, rank, report, result, retrieve, review, tables, workflow
 from corpusloom.plans.sql import ORACLES
+from corpusloom.sources import parse
 from corpusloom.sources.bindings import corpus, queries as asked, table
 from corpusloom.storage import materialize
 from corpusloom.streaming import ingest
@@ -530,6 +532,39 @@ def session_events(spark: SparkSession, d: str) -> DataFrame:
     return ingest.sessions(table(spark, d, "events"), "30 minutes")
 
 
+def _event_trees(spark: SparkSession, d: str) -> DataFrame:
+    """A JSON document of every user's events by type; those of an odd number of events are cut short, so they are no JSON."""
+    e = table(spark, d, "events").withColumn("leaf", F.struct(F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("title"), F.col("props").alias("children")))
+    of = lambda rows, key: F.transform(F.array_sort(F.collect_list(F.struct(key, rows))), lambda x: x[rows])
+    by = e.groupBy("user_id", "event_type").agg(of("leaf", "event_id").alias("children"), F.count("*").alias("n"), F.min("ts").alias("first"))
+    node = by.select("user_id", "n", "first", "event_type", F.struct(F.col("event_type").alias("title"), "children").alias("node"))
+    users = node.groupBy("user_id").agg(of("node", "event_type").alias("children"), F.sum("n").alias("n"), F.min("first").alias("first"))
+    payload = F.struct(
+        F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("title"), F.date_format("first", "yyyy-MM-dd").alias("gbrq"), F.struct(F.lit("events").alias("title"), "children").alias("content")
+    )
+    raw = F.to_json(F.struct(payload.alias("data")))
+    return users.select("user_id", F.when(F.col("n") % 2 == 1, F.substring(raw, F.lit(1), F.length(raw) - 1)).otherwise(raw).alias("raw"))
+
+
+def json_documents(spark: SparkSession, d: str) -> DataFrame:
+    rows = _event_trees(spark, d).select("user_id", json_to_text(F.col("raw")).alias("text"))
+    return rows.select("user_id", F.col("text").isNotNull().alias("parsed"), F.size(F.split("text", "\n")).cast("long").alias("n_lines"), F.md5("text").alias("digest"))
+
+
+def file_dispatch(spark: SparkSession, d: str) -> DataFrame:
+    """Every text of the tables as a raw file of some kind, and what its parser makes of it."""
+
+    def files(name: str, stem: str, content: str, suffix: str) -> DataFrame:
+        key = F.concat(F.lit(name + "-"), F.col(stem).cast("string"))
+        return table(spark, d, name).select(key.alias("stem"), F.lit(suffix).alias("suffix"), F.concat(F.lit("raw/"), key, F.lit(suffix)).alias("path"), F.col(content).cast("binary").alias("content"))
+
+    kinds = [("pages", "page_id", "html", ".html"), ("documents", "doc_id", "text", ".txt"), ("events", "event_id", "props", ".json"), ("benchmark", "item_id", "text", ".docx"), ("conversations", "conv_id", "text", ".pdf")]
+    every, *more = (files(*k) for k in kinds)
+    for m in more:
+        every = every.unionByName(m)
+    return parse.parse_files(every).select("path", "parser", F.md5("text").alias("digest"), "error", "hint")
+
+
 def label_agreement(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
     return rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum("quality").alias("n_good"), F.sum("toxic").alias("n_toxic"))
@@ -541,7 +576,7 @@ _QUERIES = [
     citation_roles, citation_groups, clean_control_and_space, clean_rule_hits, rule_hit_totals, dedupe_title_lines, ordered_clean_rules, html_text, line_pack_chunks, structured_chunks, heading_units,
     faq_units, case_metrics, mode_metrics, bad_case_taxonomy, span_overlap_eval, retrieval_cases, suite_cap, governance_counts, governance_report, heading_depth_hist, fact_extraction, query_plan,
     query_plan_merge, evidence_self_check, second_queries, second_pass, review_results, keyword_review, hybrid_review, boost_summary, merged_facts, review_routing, risk_decision, claim_grounding, issue_plan, dossiers, issue_aware_select, latest_artifact, first_seen_dedup, upsert_merge, mock_embeddings,
-    latency_by_stage, windowed_events, sliding_events, session_events, label_agreement,
+    latency_by_stage, windowed_events, sliding_events, session_events, label_agreement, json_documents, file_dispatch,
 ]
 
 

@@ -16,6 +16,9 @@ def tokens(x: str) -> str:
     return _SET.format(x=x)
 
 
+_HTML = r"""trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(
+ regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g'), '(?i)<br\s*/?>', E'\n', 'g'), '(?i)</(?:p|div|tr|li|h[1-6]|ul|ol|table)\s*>', E'\n', 'g'), '(?i)<(?:td|th)[^>]*>', '', 'g'), '(?i)</(?:td|th)\s*>', ' | ', 'g'), '<[^>]+>', '', 'g'),
+ '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&#39;', ''''), '&amp;', '&'), '[ \t]+', ' ', 'g'), '\n{3,}', E'\n\n', 'g'), E' \n\t\r' || chr(160))"""
 _TITLE = r"trim(split_part(ltrim(text, E' \n\r\t'), E'\n', 1))"
 _CORPUS = f"""
 corpus AS (
@@ -251,9 +254,7 @@ SELECT case_id, usage, string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY rank)
     "clean_control_and_space": rf"""SELECT doc_id, length(t) AS n_chars, md5(t) AS digest FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace({_CLEAN}, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '[ \t]+\n', E'\n', 'g'), '\n{{3,}}', E'\n\n', 'g'), E' \n\t\r') || E'\n' AS t FROM documents)""",
     "clean_rule_hits": f"WITH {_RULE_HITS} SELECT doc_id, rule, n FROM hits WHERE n > 0 AND rule IS NOT NULL",
     "rule_hit_totals": f"WITH {_RULE_HITS} SELECT rule, CAST(sum(n) AS BIGINT) AS n FROM hits WHERE n > 0 AND rule IS NOT NULL GROUP BY rule",
-    "html_text": r"""SELECT page_id, length(t) AS n_chars, md5(t) AS digest FROM (SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(
- regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g'), '(?i)<br\s*/?>', E'\n', 'g'), '(?i)</(?:p|div|tr|li|h[1-6]|ul|ol|table)\s*>', E'\n', 'g'), '(?i)<(?:td|th)[^>]*>', '', 'g'), '(?i)</(?:td|th)\s*>', ' | ', 'g'), '<[^>]+>', '', 'g'),
- '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&#39;', ''''), '&amp;', '&'), '[ \t]+', ' ', 'g'), '\n{3,}', E'\n\n', 'g'), E' \n\t\r' || chr(160)) AS t FROM pages)""",
+    "html_text": f"SELECT page_id, length(t) AS n_chars, md5(t) AS digest FROM (SELECT page_id, {_HTML} AS t FROM pages)",
     "faq_units": """WITH t AS (SELECT conv_id, turn, role, trim(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g')) AS t FROM conversations),
 u AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN '问：' || t ELSE t END AS line, role = 'user' AND t <> '' AS asks FROM t WHERE t <> '' OR role = 'user'),
 g AS (SELECT *, sum(CAST(asks AS INTEGER)) OVER (PARTITION BY conv_id ORDER BY turn, line ROWS UNBOUNDED PRECEDING) AS unit_no FROM u)
@@ -330,4 +331,17 @@ SELECT case_id, unnest(range(len(c))) AS claim_pos, support FROM s JOIN sup USIN
     "sliding_events": "SELECT start, event_type, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS start, event_type FROM events) GROUP BY ALL",
     "session_events": "WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n FROM s GROUP BY user_id, k",
     "label_agreement": "SELECT lang, count(*) AS n, CAST(sum(quality) AS BIGINT) AS n_good, CAST(sum(toxic) AS BIGINT) AS n_toxic FROM labels JOIN documents USING (doc_id) GROUP BY lang",
+    "json_documents": """WITH n AS (SELECT user_id, event_type, event_id, props, ts, count(*) OVER (PARTITION BY user_id) AS n, min(ts) OVER (PARTITION BY user_id) AS first,
+ row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS i FROM events),
+l AS (SELECT user_id, event_type, event_id, CASE WHEN i = 1 THEN 'events / ' || event_type || chr(10) ELSE '' END || 'events / ' || event_type || ' / event ' || event_id || CASE WHEN trim(props) <> '' THEN chr(10) || trim(props) ELSE '' END AS line, n, first FROM n),
+t AS (SELECT user_id, min(n) AS n, 'user ' || user_id || chr(10) || '制定机关：' || chr(10) || '公布日期：' || strftime(min(first), '%Y-%m-%d') || chr(10) || '施行日期：' || chr(10) || '法规类型：' || chr(10) || 'events' || chr(10) ||
+ string_agg(line, chr(10) ORDER BY event_type, event_id) AS t FROM l GROUP BY user_id)
+SELECT user_id, n % 2 = 0 AS parsed, CASE WHEN n % 2 = 0 THEN len(string_split(t, chr(10))) END AS n_lines, CASE WHEN n % 2 = 0 THEN md5(t) END AS digest FROM t""",
+    "file_dispatch": f"""WITH f AS (
+ SELECT 'raw/pages-' || page_id || '.html' AS path, 'html_text_parser' AS parser, {_HTML} AS t, NULL AS error, NULL AS hint FROM pages
+ UNION ALL SELECT 'raw/documents-' || doc_id || '.txt', 'plain_text_parser', text, CASE WHEN text IS NULL THEN 'no content' END, NULL FROM documents
+ UNION ALL SELECT 'raw/events-' || event_id || '.json', 'json_parser', '制定机关：' || chr(10) || '公布日期：' || chr(10) || '施行日期：' || chr(10) || '法规类型：', NULL, NULL FROM events
+ UNION ALL SELECT 'raw/benchmark-' || item_id || '.docx', 'docx_parser', NULL, 'DOCX parser received a non-zip document', 'benchmark-' || item_id || '.docx 不是有效的 DOCX 文件（ZIP 头校验失败），可能是旧版 .doc 或损坏文件，请另存为 .docx 后重试。' FROM benchmark
+ UNION ALL SELECT 'raw/conversations-' || conv_id || '.pdf', NULL, NULL, 'an external parser is needed for .pdf', '无法解析文件 conversations-' || conv_id || '.pdf：an external parser is needed for .pdf' FROM conversations)
+SELECT path, parser, md5(t) AS digest, error, coalesce(hint, CASE WHEN error IS NOT NULL THEN '无法解析文件 ' || split_part(path, '/', 2) || '：' || error END) AS hint FROM f""",
 }
