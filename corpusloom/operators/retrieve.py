@@ -1,8 +1,8 @@
-"""Lexical and vector retrieval: postings, field-weighted overlap, BM25, cosine neighbours.
+"""Lexical and vector retrieval: field-weighted overlap with phrases, semantic overlap, BM25 of many fields, cosine neighbours.
 
-A corpus is a table of chunk_id, corpus_pos and text fields; queries are query_id and text. Any
-number of queries is one job: query tokens meet postings in an equi-join, scores are sums, the
-best of each query are a window.
+A corpus is a table of chunk_id and text fields; queries are query_id and text. Any number of queries
+is one job. Token searches are exact top-k over an index with upper bounds (``bounds``), whole queries
+in texts are found by an automaton (``phrases``).
 """
 
 from __future__ import annotations
@@ -15,65 +15,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import rules
-from corpusloom.functions.text import normalize_text, token_set, tokens
+from corpusloom.operators import bounds
+from corpusloom.operators.phrases import phrase_pairs
 from corpusloom.storage import materialize
 
 
-def postings(corpus: DataFrame, fields: dict[str, str]) -> DataFrame:
-    """token, chunk_id, field: every distinct token of every field (field name: column)."""
-    parts = [
-        corpus.select("chunk_id", F.lit(name).alias("field"), F.explode(token_set(F.coalesce(F.col(column), F.lit("")))).alias("token"))
-        for name, column in fields.items()
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def query_tokens(queries: DataFrame) -> DataFrame:
-    """query_id, token, n_tokens."""
-    return queries.select("query_id", token_set(F.col("text")).alias("t")).select("query_id", F.size("t").alias("n_tokens"), F.explode("t").alias("token"))
-
-
-def overlap_hits(corpus: DataFrame, queries: DataFrame, fields: dict[str, str], weights: dict[str, float], phrase: str | None = None, base: str | None = None) -> DataFrame:
-    """query_id, chunk_id, score: shares of query tokens met by field, weighted; plus the phrase weight.
-
-    ``phrase`` is the column in which the whole query may occur. A text that contains a query has
-    all its inner tokens, so only such pairs are looked at (and, for queries of up to two tokens, the
-    texts with a word that holds one of them). ``base`` names a field without which there is no hit.
-    """
-    listed = materialize(postings(corpus, fields | ({"body": phrase} if phrase else {})), "postings")
-    met = query_tokens(queries).join(listed.where(F.col("field").isin(*fields)), "token")
-    counts = [F.count_if(F.col("field") == f).alias(f"n_{f}") for f in fields]
-    hits = met.groupBy("query_id", "chunk_id").agg(F.first("n_tokens").alias("n_tokens"), *counts)
-    score = None
-    for f in fields:
-        part = F.col(f"n_{f}") / F.col("n_tokens") * weights[f]
-        score = part if score is None else score + part
-    hits = hits.withColumn("score", score)
-    if base:
-        hits = hits.where(F.col(f"n_{base}") > 0)
-    if phrase is None:
-        return hits.select("query_id", "chunk_id", "score")
-    q = queries.select("query_id", normalize_text(F.col("text")).alias("q"), token_set(F.col("text")).alias("t")).where(F.length("q") >= rules.PHRASE_LEAST)
-    near = hits.where(F.col("n_body") >= F.col("n_tokens") - 2).select("query_id", "chunk_id").join(q.where("size(t) > 2").select("query_id", "q"), "query_id")
-    # a text that holds a query of one or two tokens has a token that holds the first of them
-    short = q.where("size(t) between 1 and 2").select("query_id", "q", F.col("t")[0].alias("part"))
-    words = listed.where("field = 'body'").select("token", "chunk_id")
-    holding = words.select("token").distinct().join(short, F.contains("token", "part")).join(words, "token").select("query_id", "chunk_id", "q")
-    # a text meets all queries that may be in it at once, and is not copied for each
-    asked = near.unionByName(holding.select(*near.columns)).groupBy("chunk_id").agg(F.collect_set(F.struct("query_id", "q")).alias("asked"))
-    # only texts that may hold a query are normalized
-    whole = asked.join(corpus.select("chunk_id", F.col(phrase).alias("body")), "chunk_id").withColumn("body", normalize_text(F.col("body")))
-    met = whole.select("chunk_id", F.explode(F.filter("asked", lambda x: F.contains(F.col("body"), x["q"]))).alias("x"))
-    found = met.select(F.col("x.query_id").alias("query_id"), "chunk_id")
-    found = found.withColumn("phrase", F.lit(rules.PHRASE_WEIGHT))
-    return hits.select("query_id", "chunk_id", "score").join(found, ["query_id", "chunk_id"], "full").select(
-        "query_id", "chunk_id", (F.coalesce("score", F.lit(0.0)) + F.coalesce("phrase", F.lit(0.0))).alias("score")
-    )
-
-
 def top_k(hits: DataFrame, k: int, tie: str = "chunk_id", key: str = "query_id") -> DataFrame:
     """The k best of each query with zero-based ranks; order on the unrounded score, then ``tie``; score rounded after.
 
@@ -84,31 +30,46 @@ def top_k(hits: DataFrame, k: int, tie: str = "chunk_id", key: str = "query_id")
     return cut.withColumn("rank", F.col("rank") - 1).withColumn("score", F.round("score", 6))
 
 
+def with_phrases(hits: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Scores with the phrase weight for the pairs (query_id, chunk_id) that hold the whole query; those without another hit are hits too."""
+    both = hits.join(pairs.select("query_id", "chunk_id", F.lit(rules.PHRASE_WEIGHT).alias("phrase")), ["query_id", "chunk_id"], "full")
+    return both.select("query_id", "chunk_id", (F.coalesce("score", F.lit(0.0)) + F.coalesce("phrase", F.lit(0.0))).alias("score"))
+
+
+def phrase_hits(corpus: DataFrame, queries: DataFrame, column: str = "text") -> DataFrame:
+    """query_id, chunk_id, score (share of the query's tokens and phrase weight) of the texts that hold a whole query."""
+    pairs = materialize(phrase_pairs(corpus, queries, column), "phrase-pairs")
+    index = bounds.share_index(corpus.join(pairs.select("chunk_id").distinct(), "chunk_id", "left_semi"), {"body": column})
+    return with_phrases(bounds.weighted_shares(index, queries, {"body": rules.FIELD_WEIGHTS["body"]}, None, pairs), pairs)
+
+
 def keyword_search(corpus: DataFrame, queries: DataFrame, k: int, fields: dict[str, str], phrase: str | None = "text") -> DataFrame:
-    return top_k(overlap_hits(corpus, queries, fields, rules.FIELD_WEIGHTS, phrase), k)
+    """The k best by weighted shares of fields (name: column) and, with ``phrase``, the weight of a whole query in that column."""
+    index = bounds.share_index(corpus, fields)
+    weights = {f: rules.FIELD_WEIGHTS[f] for f in fields}
+    if phrase is None:
+        return top_k(bounds.weighted_shares(index, queries, weights, k), k)
+    pairs = materialize(phrase_pairs(corpus, queries, phrase), "phrase-pairs")
+    return top_k(with_phrases(bounds.weighted_shares(index, queries, weights, k, pairs), pairs), k)
+
+
+#: Columns whose tokens together are what semantic overlap is measured on, as far as a corpus has them.
+SEMANTIC = ("text", "title", "topic_tags", "legal_domain", "applicable_subjects", "heading_path", "citation_label", "article_no")
 
 
 def semantic_search(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Overlap with all fields' tokens together, and half and a third again for title and tags."""
-    fields = {"sem": "sem", "title": "title", "tag": "tag"}
-    joined = corpus.withColumn("sem", F.concat_ws(" ", "text", "title", "tag"))
-    return top_k(overlap_hits(joined, queries, fields, {"sem": 1.0, "title": 0.5, "tag": 0.3}, base="sem"), k)
-
-
-def bm25(corpus: DataFrame, queries: DataFrame, k: int, text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 of one field: ln(1 + (N - df + 0.5) / (df + 0.5)) * tf (k1 + 1) / (tf + k1 (1 - b + b len / avg))."""
-    listed = corpus.select("chunk_id", tokens(F.col(text)).alias("t")).select("chunk_id", F.size("t").cast("long").alias("len"), "t")
-    stats = listed.agg(F.count("*").alias("n_docs"), F.sum("len").alias("all_len"))
-    tf = listed.select("chunk_id", "len", F.explode("t").alias("token")).groupBy("token", "chunk_id", "len").agg(F.count("*").alias("tf"))
-    asked = query_tokens(queries).select("query_id", "token")
-    tf = tf.join(asked.select("token").distinct(), "token", "left_semi")
-    df = tf.groupBy("token").agg(F.count("*").alias("df"))
-    scored = tf.join(df, "token").crossJoin(F.broadcast(stats))  # one row of statistics
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("len") / (F.col("all_len") / F.col("n_docs")))
-    scored = scored.withColumn("part", idf * F.col("tf") * (k1 + 1) / norm)
-    hits = asked.join(scored, "token").groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score"))
-    return top_k(hits, k)
+    tags = F.concat_ws(" ", "topic_tags") if "topic_tags" in corpus.columns else F.lit("")
+    joined = corpus.withColumns({"sem": F.concat_ws(" ", *[c for c in SEMANTIC if c in corpus.columns]), "tag": tags})
+    index = bounds.share_index(joined, {"sem": "sem", "title": "title", "tag": "tag"})
+    return top_k(bounds.weighted_shares(index, queries, {"sem": 1.0, "title": 0.5, "tag": 0.3}, k), k)
+
+
+def bm25(corpus: DataFrame, queries: DataFrame, k: int, fields: dict[str, str] | None = None, weights: dict[str, float] | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """The k best by the largest of the fields' BM25 scores times their weights (1 where none is given)."""
+    fields = fields or {"text": "text"}
+    weights = {f: (weights or {}).get(f, 1.0) for f in fields}
+    return top_k(bounds.best_fields(bounds.bm25_index(corpus, fields, k1, b), queries, weights, k), k)
 
 
 def vector_blocks(vectors: DataFrame, size: int) -> DataFrame:

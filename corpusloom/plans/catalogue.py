@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from corpusloom.functions import rules
 from corpusloom.functions.json_text import json_to_text
 from corpusloom.functions.text import html_to_text, jaccard, mock_embedding, normalize_text, token_set, tokens
-from corpusloom.operators import chunk, clean, evaluate, policy, rank, report, result, retrieve, review, tables, workflow
+from corpusloom.operators import bounds, chunk, clean, evaluate, policy, rank, report, result, retrieve, review, tables, workflow
+from corpusloom.operators.phrases import phrase_pairs
 from corpusloom.plans.sql import ORACLES
 from corpusloom.sources import parse
-from corpusloom.sources.bindings import corpus, queries as asked, table
+from corpusloom.sources.bindings import corpus, queries as asked, semantic_corpus, table
 from corpusloom.storage import materialize
 from corpusloom.streaming import ingest
 
@@ -46,8 +47,7 @@ def keyword_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def keyword_phrase_boost(spark: SparkSession, d: str) -> DataFrame:
-    hits = retrieve.overlap_hits(corpus(spark, d), asked(spark, d), {"body": "text"}, {"body": 1.0}, "text")
-    return hits.where("score >= 3").select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+    return retrieve.phrase_hits(corpus(spark, d), asked(spark, d)).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
 def field_weighted_search(spark: SparkSession, d: str) -> DataFrame:
@@ -55,14 +55,19 @@ def field_weighted_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def semantic_overlap_topk(spark: SparkSession, d: str) -> DataFrame:
-    rows = corpus(spark, d).withColumn("tag", F.concat_ws(" ", "topic_tags"))
-    return retrieve.semantic_search(rows, asked(spark, d), 10).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+    return retrieve.semantic_search(semantic_corpus(spark, d), asked(spark, d), 10).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.bm25(corpus(spark, d), asked(spark, d), 10).select("query_id", "chunk_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def bm25_fields_topk(spark: SparkSession, d: str) -> DataFrame:
+    rows = corpus(spark, d).withColumn("tag", F.concat_ws(" ", "topic_tags"))
+    found = retrieve.bm25(rows, asked(spark, d), 10, {"title": "title", "label": "label", "heading": "lang", "text": "text", "tag": "tag"}, {"title": 2.0, "label": 2.0})
+    return found.select("query_id", "chunk_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 def _neighbours(spark: SparkSession, d: str, k: int) -> DataFrame:
     v = table(spark, d, "embeddings")
     return retrieve.cosine_search(v, v.where(F.col("vec_id") % 20 == 0), k)
@@ -81,8 +86,9 @@ def vector_label_recall(spark: SparkSession, d: str) -> DataFrame:
 def _lists(spark: SparkSession, d: str, k: int = 50) -> DataFrame:
     """The body list (0) and the title list (1) of every benchmark item, as hits of a case; a table, as queries read it often."""
     rows, q = corpus(spark, d), asked(spark, d)
-    body = retrieve.top_k(retrieve.overlap_hits(rows, q, {"body": "text"}, {"body": 1.0}), k).withColumn("list_id", F.lit(0))
-    title = retrieve.top_k(retrieve.overlap_hits(rows, q, {"title": "title"}, {"title": 1.0}), k).withColumn("list_id", F.lit(1))
+    index = bounds.share_index(rows, {"body": "text", "title": "title"})
+    body = retrieve.top_k(bounds.weighted_shares(index, q, {"body": 1.0}, k), k).withColumn("list_id", F.lit(0))
+    title = retrieve.top_k(bounds.weighted_shares(index, q, {"title": 1.0}, k), k).withColumn("list_id", F.lit(1))
     both = body.unionByName(title).withColumnRenamed("query_id", "case_id")
     return materialize(both.join(rows.select("chunk_id", "source_id"), "chunk_id"), "lists")
 
@@ -259,7 +265,7 @@ def faq_units(spark: SparkSession, d: str) -> DataFrame:
 def _gold(spark: SparkSession, d: str) -> DataFrame:
     """Sources of documents that contain a benchmark passage; the first is a must, the others optional."""
     rows, q = corpus(spark, d), asked(spark, d)
-    hits = retrieve.overlap_hits(rows, q, {"body": "text"}, {"body": 1.0}, "text").where("score >= 3").join(rows.select("chunk_id", "source_id"), "chunk_id")
+    hits = phrase_pairs(rows, q, "text").join(rows.select("chunk_id", "source_id"), "chunk_id")
     gold = hits.select(F.col("query_id").alias("case_id"), "source_id").distinct()
     return materialize(gold.withColumn("must", F.row_number().over(Window.partitionBy("case_id").orderBy("source_id")) == 1), "gold")
 
@@ -292,7 +298,7 @@ def bad_case_taxonomy(spark: SparkSession, d: str) -> DataFrame:
 
 def span_overlap_eval(spark: SparkSession, d: str) -> DataFrame:
     rows, q = corpus(spark, d), asked(spark, d)
-    pairs = retrieve.overlap_hits(rows, q, {"body": "text"}, {"body": 1.0}, "text").where("score >= 3")
+    pairs = phrase_pairs(rows, q, "text")
     own = pairs.join(rows.select("chunk_id", "text"), "chunk_id").join(q.withColumnRenamed("text", "q"), "query_id").withColumn("at", F.instr("text", F.col("q")) - 1).where("at >= 0")
     gold = own.select(F.col("query_id").alias("case_id"), F.col("chunk_id").alias("doc_id"), F.col("at").alias("g_start"), (F.col("at") + F.length("q")).alias("g_end"))
     gold = tables.first_seen(gold, ["case_id"], ["doc_id"])
@@ -449,7 +455,7 @@ def keyword_review(spark: SparkSession, d: str) -> DataFrame:
 def hybrid_review(spark: SparkSession, d: str) -> DataFrame:
     """Evidence of every case after keyword and semantic search, fusion, issues and at most one second pass."""
     plan, facts, chunks = _review(spark, d)
-    rows = corpus(spark, d).withColumn("tag", F.concat_ws(" ", "topic_tags"))
+    rows = semantic_corpus(spark, d)
     searches = [lambda q, k: retrieve.keyword_search(rows, q, k, FIELDS), lambda q, k: retrieve.semantic_search(rows, q, k)]
     hits, checks = workflow.hybrid_retrieval(
         plan, facts, chunks, searches, evidence_terms=("the ", "der "), industries={"en": ("en",)}, expansions={"数据出境": ("que la", "der und"), "en": ("the of",)},
@@ -571,7 +577,7 @@ def label_agreement(spark: SparkSession, d: str) -> DataFrame:
 
 
 _QUERIES = [
-    normalize_text_stats, token_sets, keyword_topk, keyword_phrase_boost, field_weighted_search, semantic_overlap_topk, bm25_topk, vector_knn_cosine, vector_label_recall, multi_query_merge,
+    normalize_text_stats, token_sets, keyword_topk, keyword_phrase_boost, field_weighted_search, semantic_overlap_topk, bm25_topk, bm25_fields_topk, vector_knn_cosine, vector_label_recall, multi_query_merge,
     rrf_fuse, rrf_fuse_many, metadata_boosts, source_aware_fuse, rerank_blend, fixed_window_chunks, chunk_links, neighbor_expansion, source_packets, packet_order, metadata_filter, clause_citable_filter,
     citation_roles, citation_groups, clean_control_and_space, clean_rule_hits, rule_hit_totals, dedupe_title_lines, ordered_clean_rules, html_text, line_pack_chunks, structured_chunks, heading_units,
     faq_units, case_metrics, mode_metrics, bad_case_taxonomy, span_overlap_eval, retrieval_cases, suite_cap, governance_counts, governance_report, heading_depth_hist, fact_extraction, query_plan,

@@ -46,6 +46,14 @@ _BODY, _TITLES = _post("body", "text"), _post("title_p", "title")
 _TOP = "SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS rank FROM {s} WHERE score > 0) WHERE rank < {k}"
 
 
+def _bm25(name: str, column: str, weight: float) -> str:
+    """name: the BM25 score of one field, weighted, for every pair that shares a token."""
+    return f"""{name}_l AS (SELECT chunk_id, regexp_extract_all({norm(f"coalesce({column}, '')")}, '[a-z0-9]+') AS t FROM corpus), {name}_st AS (SELECT count(*) AS n_docs, sum(len(t)) AS all_len FROM {name}_l),
+{name}_tf AS (SELECT chunk_id, len, token, count(*) AS tf FROM (SELECT chunk_id, len(t) AS len, unnest(t) AS token FROM {name}_l) GROUP BY ALL), {name}_df AS (SELECT token, count(*) AS df FROM {name}_tf GROUP BY token),
+{name} AS (SELECT query_id, chunk_id, {weight}::DOUBLE * sum(ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / (all_len / n_docs)))) AS score
+FROM qt JOIN {name}_tf USING (token) JOIN {name}_df USING (token), {name}_st GROUP BY ALL)"""
+
+
 def _weighted(parts: list[tuple[str, float]], phrase: bool) -> str:
     """scored: sum of shares by field, in the order of the fields, and the phrase."""
     keys = " UNION ".join(f"SELECT query_id, chunk_id FROM {p}_n" for p, _ in parts) + (" UNION SELECT query_id, chunk_id FROM phrase" if phrase else "")
@@ -205,11 +213,11 @@ SELECT case_id, unnest(cs) AS chunk_id, CAST(generate_subscripts(cs, 1) AS INTEG
     "keyword_topk": f"WITH {_CORPUS}, {_BODY}, {_TITLES}, {_PHRASE}, {_weighted([('body', 1.0), ('title_p', 2.5)], True)} {_TOP.format(s='scored', k=10)}",
     "keyword_phrase_boost": f"WITH {_CORPUS}, {_BODY}, {_PHRASE}, {_weighted([('body', 1.0)], True)} SELECT query_id, chunk_id, round(score, 6) AS score FROM scored WHERE score >= 3",
     "field_weighted_search": f"WITH {_CORPUS}, {_BODY}, {_TITLES}, {_post('label_p', 'label')}, {_post('head_p', 'lang')}, {_weighted([('body', 1.0), ('title_p', 2.5), ('label_p', 2.0), ('head_p', 1.5)], False)} {_TOP.format(s='scored', k=10)}",
-    "semantic_overlap_topk": f"""WITH {_CORPUS}, {_post('sem_p', "text || ' ' || title || ' ' || array_to_string(topic_tags, ' ')")}, {_TITLES}, {_post('tag_p', "array_to_string(topic_tags, ' ')")}, {_weighted([('sem_p', 1.0), ('title_p', 0.5), ('tag_p', 0.3)], False)} {_TOP.format(s='scored', k=10)}""",
-    "bm25_topk": f"""WITH {_CORPUS}, l AS (SELECT chunk_id, regexp_extract_all({norm('text')}, '[a-z0-9]+') AS t FROM corpus), st AS (SELECT count(*) AS n_docs, sum(len(t)) AS all_len FROM l),
-tf AS (SELECT chunk_id, len, token, count(*) AS tf FROM (SELECT chunk_id, len(t) AS len, unnest(t) AS token FROM l) GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
-h AS (SELECT query_id, chunk_id, round(sum(ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / (all_len / n_docs)))), 6) AS score FROM qt JOIN tf USING (token) JOIN df USING (token), st GROUP BY ALL)
-SELECT query_id, chunk_id, round(score, 4) AS score, rank FROM ({_TOP.format(s='h', k=10)})""",
+    "semantic_overlap_topk": f"""WITH {_CORPUS}, {_post('sem_p', "concat_ws(' ', text, title, array_to_string(topic_tags, ' '), lang, applicable_region, law_status, title, source_id, label, article_no)")}, {_TITLES}, {_post('tag_p', "array_to_string(topic_tags, ' ')")}, {_weighted([('sem_p', 1.0), ('title_p', 0.5), ('tag_p', 0.3)], False)} {_TOP.format(s='scored', k=10)}""",
+    "bm25_topk": f"WITH {_CORPUS}, {_bm25('b', 'text', 1)} SELECT query_id, chunk_id, round(score, 4) AS score, rank FROM ({_TOP.format(s='(SELECT query_id, chunk_id, round(score, 6) AS score FROM b)', k=10)})",
+    "bm25_fields_topk": f"""WITH {_CORPUS}, {_bm25('b1', 'title', 2)}, {_bm25('b2', 'label', 2)}, {_bm25('b3', 'lang', 1)}, {_bm25('b4', 'text', 1)}, {_bm25('b5', "array_to_string(topic_tags, ' ')", 1)},
+every AS (SELECT query_id, chunk_id, round(max(score), 6) AS score FROM (SELECT * FROM b1 UNION ALL SELECT * FROM b2 UNION ALL SELECT * FROM b3 UNION ALL SELECT * FROM b4 UNION ALL SELECT * FROM b5) GROUP BY ALL)
+SELECT query_id, chunk_id, round(score, 4) AS score, rank FROM ({_TOP.format(s='every', k=10)})""",
     "vector_knn_cosine": """SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id,
  round(list_cosine_similarity(list_transform(a.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(b.embedding, lambda x: CAST(x AS DOUBLE))), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)) WHERE rank < 10""",
     "vector_label_recall": """WITH h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id, a.label AS own, b.label,

@@ -33,3 +33,10 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def semantic_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus with the columns that semantic overlap reads besides."""
+    return corpus(spark, sf_dir).withColumns({
+        "legal_domain": F.array("lang"), "applicable_subjects": F.array("applicable_region", "law_status"), "heading_path": F.array("title", "source_id"), "citation_label": F.concat("label", F.lit(" "), F.coalesce("article_no", F.lit(""))),
+    })
