@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.components import connected_components
 from corpusloom.llm.prefilter import may_match
+from corpusloom.llm.tasks import by_bytes, tidy
 from corpusloom.llm.words import shingles, word_groups
 from corpusloom.storage import materialize
 
@@ -102,7 +103,7 @@ def sets_of(docs: DataFrame, n: int) -> DataFrame:
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64")} | out)
 
     schema = "doc_id long, n_shingles long, set_key binary, signature binary"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, schema)
+    return by_bytes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInPandas(tidy(run), schema)
 
 
 #: The tree is in the low bits of a region's key.
@@ -167,7 +168,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
                 yield pd.DataFrame({"id": ids, "set": sets})
 
     named = may_match(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), "id", ids, "id")
-    return named.mapInPandas(run, "id long, set array<long>").join(ids, "id", "left_semi")
+    return by_bytes(named).mapInPandas(tidy(run), "id long, set array<long>").join(ids, "id", "left_semi")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, floor: float) -> DataFrame:

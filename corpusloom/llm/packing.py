@@ -29,6 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.llm.tasks import by_bytes, tidy
 from corpusloom.storage import materialize
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -124,7 +125,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, ranks_path: str | None =
             out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
             yield out.astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, PIECES)
+    return by_bytes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInPandas(tidy(run), PIECES)
 
 
 def knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:

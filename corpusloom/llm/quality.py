@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.tasks import by_bytes, tidy
+
 WIDTH, STRIDE, FILTERS, HIDDEN = 6, 2, 24, 12
 BLOCK, SPAN = 32, 8
 CHUNK_BYTES = BLOCK * SPAN * STRIDE
@@ -196,4 +198,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": model.of(batch["text"].tolist())})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, score double")
+    return by_bytes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInPandas(tidy(run), "doc_id long, score double")

@@ -29,6 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.tasks import by_bytes, tidy
 from corpusloom.storage import materialize
 
 
@@ -270,7 +271,7 @@ def learn_lexicon(sample: DataFrame, limit: int) -> tuple[dict[str, float], int]
     pos, neg = totals["p"] or 0, (totals["n"] or 0) - (totals["p"] or 0)
     if not pos or not neg:
         return {}, 0
-    counts = sample.select("text", "y").mapInPandas(run, "token string, y int").groupBy("token").agg(F.sum("y").alias("p"), F.count("*").alias("n"))
+    counts = by_bytes(sample.select("text", "y")).mapInPandas(tidy(run), "token string, y int").groupBy("token").agg(F.sum("y").alias("p"), F.count("*").alias("n"))
     odds = F.log((F.col("p") + 0.25) / (pos + 0.5)) - F.log((F.col("n") - F.col("p") + 0.25) / (neg + 0.5))
     found = materialize(counts.where(F.col("p") >= max(2, round(0.004 * pos))).withColumn("w", odds).where(F.col("w") >= WEAK), "lexicon")
     kept = {r["token"]: float(r["w"]) for r in found.orderBy(F.desc(F.col("w") * F.sqrt("p")), "token").limit(limit).collect()}
@@ -311,7 +312,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": model.of(batch["text"].tolist())})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, score double")
+    return by_bytes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInPandas(tidy(run), "doc_id long, score double")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, limits: Limits | None = None) -> DataFrame:
@@ -319,10 +320,10 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, limit
     model = learn(docs, labels, limits)
 
     @F.pandas_udf("boolean")
-    def accepted(text: pd.Series) -> pd.Series:
-        return pd.Series(model.of(text.tolist()) < threshold)
+    def accepted(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from tidy(lambda batches: (pd.Series(model.of(text.tolist()) < threshold) for text in batches))(texts)
 
-    return docs.where(accepted(F.coalesce(F.col("text"), F.lit(""))))
+    return by_bytes(docs).where(accepted(F.coalesce(F.col("text"), F.lit(""))))
 
 
 def held_out(modulus: int, remainder: int) -> Column:
