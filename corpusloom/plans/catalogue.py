@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import rules
 from corpusloom.functions.json_text import json_to_text
 from corpusloom.functions.text import html_to_text, jaccard, mock_embedding, normalize_text, token_set, tokens
-from corpusloom.operators import bounds, chunk, clean, evaluate, policy, rank, report, result, retrieve, review, tables, workflow
+from corpusloom.operators import bounds, chunk, clean, evaluate, policy, rank, report, result, retrieve, review, tables, vector_index, workflow
 from corpusloom.operators.phrases import phrase_pairs
 from corpusloom.plans.sql import ORACLES
 from corpusloom.sources import parse
@@ -83,6 +83,13 @@ def vector_label_recall(spark: SparkSession, d: str) -> DataFrame:
     return hits.groupBy("query_id").agg(F.count_if(F.col("label") == F.col("own")).alias("n_same"), F.min(F.when(F.col("label") == F.col("own"), F.col("rank"))).cast("long").alias("first_same"))
 
 
+def vector_ivf_recall(spark: SparkSession, d: str) -> DataFrame:
+    """What an inverted file finds of the ten nearest of every query, against the exact search."""
+    v = table(spark, d, "embeddings")
+    found = vector_index.search(vector_index.build(v), v.where(F.col("vec_id") % 20 == 0), 10)
+    return vector_index.recall_at_k(found, _neighbours(spark, d, 10))
+
+
 def _lists(spark: SparkSession, d: str, k: int = 50) -> DataFrame:
     """The body list (0) and the title list (1) of every benchmark item, as hits of a case; a table, as queries read it often."""
     rows, q = corpus(spark, d), asked(spark, d)
@@ -577,7 +584,7 @@ def label_agreement(spark: SparkSession, d: str) -> DataFrame:
 
 
 _QUERIES = [
-    normalize_text_stats, token_sets, keyword_topk, keyword_phrase_boost, field_weighted_search, semantic_overlap_topk, bm25_topk, bm25_fields_topk, vector_knn_cosine, vector_label_recall, multi_query_merge,
+    normalize_text_stats, token_sets, keyword_topk, keyword_phrase_boost, field_weighted_search, semantic_overlap_topk, bm25_topk, bm25_fields_topk, vector_knn_cosine, vector_label_recall, vector_ivf_recall, multi_query_merge,
     rrf_fuse, rrf_fuse_many, metadata_boosts, source_aware_fuse, rerank_blend, fixed_window_chunks, chunk_links, neighbor_expansion, source_packets, packet_order, metadata_filter, clause_citable_filter,
     citation_roles, citation_groups, clean_control_and_space, clean_rule_hits, rule_hit_totals, dedupe_title_lines, ordered_clean_rules, html_text, line_pack_chunks, structured_chunks, heading_units,
     faq_units, case_metrics, mode_metrics, bad_case_taxonomy, span_overlap_eval, retrieval_cases, suite_cap, governance_counts, governance_report, heading_depth_hist, fact_extraction, query_plan,
