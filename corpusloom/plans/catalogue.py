@@ -250,8 +250,8 @@ def line_pack_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def structured_chunks(spark: SparkSession, d: str) -> DataFrame:
-    rows = chunk.chunk_documents(table(spark, d, "documents"))
-    return rows.select("chunk_id", "prev_chunk_id", "next_chunk_id", F.length("text").cast("long").alias("n_chars"))
+    rows = chunk.chunk_documents(corpus(spark, d).select("doc_id", "source_id", "title", "text"))
+    return rows.select("chunk_id", "prev_chunk_id", "next_chunk_id", F.col("char_count").cast("long").alias("n_chars"), F.size("heading_path").cast("long").alias("depth"), F.md5("citation_label").alias("label_digest"), "citation_role", "can_cite_clause")
 
 
 def heading_units(spark: SparkSession, d: str) -> DataFrame:
