@@ -210,20 +210,31 @@ def expand_neighbors(top: DataFrame, chunks: DataFrame, most: int = 10) -> DataF
     return ranked(sides, ["hit_pos", "side"], most).select("case_id", "chunk_id", (-(F.col("side") + 1)).alias("side"), F.lit(0.0).alias("score"), F.col("rank").alias("pos"))
 
 
-def source_packets(final: DataFrame, candidates: DataFrame, supports: int = 2) -> DataFrame:
-    """case_id, source_id, representative, supporting (array of chunk ids in order)."""
-    rest = candidates.join(final.select("case_id", "source_id", F.col("chunk_id").alias("_rep")), ["case_id", "source_id"]).where("chunk_id <> _rep")
-    place = Window.partitionBy("case_id", "source_id").orderBy("rank", F.desc("score"), "chunk_id")
+def source_packets(final: DataFrame, candidates: DataFrame, supports: int = 2, neighbors: DataFrame | None = None) -> DataFrame:
+    """case_id, source_id, representative, supporting and neighbors (arrays of chunk ids in order), rank.
+
+    ``neighbors``: case_id, source_id, chunk_id, pos, as of expand_neighbors; they go to the packet of their source.
+    """
+    reps = final.select("case_id", "source_id", F.col("chunk_id").alias("_rep"))
+    kind = f"array<{final.schema['chunk_id'].dataType.simpleString()}>"
+    rest = candidates.join(reps, ["case_id", "source_id"]).where("chunk_id <> _rep")
+    place = Window.partitionBy("case_id", "source_id", "_rep").orderBy("rank", F.desc("score"), "chunk_id")
     rest = rest.withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= supports)
-    listed = rest.groupBy("case_id", "source_id").agg(F.sort_array(F.collect_list(F.struct("_n", "chunk_id"))).alias("s"))
-    return final.join(listed, ["case_id", "source_id"], "left").select(
-        "case_id", "source_id", F.col("chunk_id").alias("representative"), F.coalesce(F.col("s.chunk_id"), F.array().cast("array<bigint>")).alias("supporting"), "rank"
-    )
+    listed = rest.groupBy("case_id", "source_id", "_rep").agg(F.sort_array(F.collect_list(F.struct("_n", "chunk_id"))).alias("s"))
+    keys = ["case_id", "source_id", "_rep"]
+    out = final.withColumn("_rep", F.col("chunk_id")).join(listed, keys, "left")
+    if neighbors is None:
+        near = F.array().cast(kind)
+    else:  # at most as many as expand_neighbors gives a case
+        own = neighbors.join(reps, ["case_id", "source_id"]).where("chunk_id <> _rep")
+        out = out.join(own.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "chunk_id"))).alias("n")), keys, "left")
+        near = F.coalesce(F.col("n.chunk_id"), F.array().cast(kind))
+    return out.select("case_id", "source_id", F.col("chunk_id").alias("representative"), F.coalesce(F.col("s.chunk_id"), F.array().cast(kind)).alias("supporting"), near.alias("neighbors"), "rank")
 
 
 def flatten_packets(packets: DataFrame) -> DataFrame:
-    """Representatives and supports in packet order, each chunk once."""
-    every = packets.select("case_id", "rank", F.posexplode(F.concat(F.array("representative"), "supporting")).alias("i", "chunk_id"))
+    """Representatives, supports and neighbours in packet order, each chunk once."""
+    every = packets.select("case_id", "rank", F.posexplode(F.concat(F.array("representative"), "supporting", "neighbors")).alias("i", "chunk_id"))
     first = Window.partitionBy("case_id", "chunk_id").orderBy("rank", "i")
     once = every.withColumn("_n", F.row_number().over(first)).where("_n = 1").withColumnRenamed("rank", "packet")
     return ranked(once, ["packet", "i"]).select("case_id", "chunk_id", F.col("rank").alias("pos"))

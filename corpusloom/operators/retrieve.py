@@ -7,7 +7,7 @@ in texts are found by an automaton (``phrases``).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -43,26 +43,38 @@ def phrase_hits(corpus: DataFrame, queries: DataFrame, column: str = "text") ->
     return with_phrases(bounds.weighted_shares(index, queries, {"body": rules.FIELD_WEIGHTS["body"]}, None, pairs), pairs)
 
 
-def keyword_search(corpus: DataFrame, queries: DataFrame, k: int, fields: dict[str, str], phrase: str | None = "text") -> DataFrame:
-    """The k best by weighted shares of fields (name: column) and, with ``phrase``, the weight of a whole query in that column."""
+def keyword_searcher(corpus: DataFrame, fields: dict[str, str], phrase: str | None = "text") -> Callable[[DataFrame, int], DataFrame]:
+    """A search (queries, k) by weighted shares of fields (name: column) and, with ``phrase``, the weight of a whole query in that column; the index is built once."""
     index = bounds.share_index(corpus, fields)
     weights = {f: rules.FIELD_WEIGHTS[f] for f in fields}
-    if phrase is None:
-        return top_k(bounds.weighted_shares(index, queries, weights, k), k)
-    pairs = materialize(phrase_pairs(corpus, queries, phrase), "phrase-pairs")
-    return top_k(with_phrases(bounds.weighted_shares(index, queries, weights, k, pairs), pairs), k)
+
+    def search(queries: DataFrame, k: int) -> DataFrame:
+        if phrase is None:
+            return top_k(bounds.weighted_shares(index, queries, weights, k), k)
+        pairs = materialize(phrase_pairs(corpus, queries, phrase), "phrase-pairs")
+        return top_k(with_phrases(bounds.weighted_shares(index, queries, weights, k, pairs), pairs), k)
+
+    return search
+
+
+def keyword_search(corpus: DataFrame, queries: DataFrame, k: int, fields: dict[str, str], phrase: str | None = "text") -> DataFrame:
+    return keyword_searcher(corpus, fields, phrase)(queries, k)
 
 
 #: Columns whose tokens together are what semantic overlap is measured on, as far as a corpus has them.
 SEMANTIC = ("text", "title", "topic_tags", "legal_domain", "applicable_subjects", "heading_path", "citation_label", "article_no")
 
 
-def semantic_search(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Overlap with all fields' tokens together, and half and a third again for title and tags."""
+def semantic_searcher(corpus: DataFrame) -> Callable[[DataFrame, int], DataFrame]:
+    """A search by overlap with all fields' tokens together, and half and a third again for title and tags."""
     tags = F.concat_ws(" ", "topic_tags") if "topic_tags" in corpus.columns else F.lit("")
     joined = corpus.withColumns({"sem": F.concat_ws(" ", *[c for c in SEMANTIC if c in corpus.columns]), "tag": tags})
     index = bounds.share_index(joined, {"sem": "sem", "title": "title", "tag": "tag"})
-    return top_k(bounds.weighted_shares(index, queries, {"sem": 1.0, "title": 0.5, "tag": 0.3}, k), k)
+    return lambda queries, k: top_k(bounds.weighted_shares(index, queries, {"sem": 1.0, "title": 0.5, "tag": 0.3}, k), k)
+
+
+def semantic_search(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    return semantic_searcher(corpus)(queries, k)
 
 
 def bm25(corpus: DataFrame, queries: DataFrame, k: int, fields: dict[str, str] | None = None, weights: dict[str, float] | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:

@@ -8,6 +8,7 @@ query_id, chunk_id, score: keyword search, or a vector search of a service.
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,68 +35,101 @@ def merged_list(hits: DataFrame, groups: DataFrame, chunks: DataFrame, facts: Da
     return boosted.select(F.struct("case_id", "group").alias("case_id"), "chunk_id", "query_type", "score", F.lit(list_id).alias("list_id"))
 
 
-def fused(plan: DataFrame, groups: DataFrame, lists: list[DataFrame], chunks: DataFrame, facts: DataFrame, k: int, options: dict) -> DataFrame:
-    """case_id, group, source_id, chunk_id, score, rank: a group's lists merged, boosted, fused and collapsed by source."""
+def candidates(groups: DataFrame, lists: list[DataFrame], chunks: DataFrame, facts: DataFrame, k: int, options: dict) -> DataFrame:
+    """case_id (struct of case_id and group), source_id, chunk_id, query_type, score, rank: a group's lists merged, boosted and fused."""
     every = None
     for i, hits in enumerate(lists):
         one = merged_list(hits, groups, chunks, facts, i, k, options)
         every = one if every is None else every.unionByName(one)
     every = every.join(chunks.select("chunk_id", "source_id"), "chunk_id")
     types = every.groupBy("case_id", "chunk_id").agg(F.min_by("query_type", "list_id").alias("query_type"))
-    ranked = rank.rrf(every, k).join(types, ["case_id", "chunk_id"])
-    out = rank.source_fuse(ranked, chunks, k)
-    return out.select("case_id.case_id", "case_id.group", "source_id", "chunk_id", "score", "rank")
+    return rank.rrf(every, k).join(types, ["case_id", "chunk_id"])
 
 
-def issue_pools(plan: DataFrame, issues: DataFrame, lists: list[DataFrame], chunks: DataFrame, facts: DataFrame, k: int, options: dict | None = None) -> DataFrame:
-    """case_id, issue_id, source_id, chunk_id, score, rank: each issue's own queries fused before issues compete for evidence."""
+def _plain(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select("case_id.case_id", "case_id.group", "source_id", "chunk_id", "score", "rank", *more)
+
+
+def issue_pools(issues: DataFrame, lists: list[DataFrame], chunks: DataFrame, facts: DataFrame, k: int, options: dict | None = None) -> DataFrame:
+    """case_id, issue_id, source_id, chunk_id, score, rank: each issue's own queries fused and collapsed by source before issues compete for evidence."""
     groups = issues.select("case_id", F.col("issue_id").alias("group"), F.explode("query_ids").alias("query_id"))
-    return fused(plan, groups, lists, chunks, facts, k, options or {}).withColumnRenamed("group", "issue_id")
+    return _plain(rank.source_fuse(candidates(groups, lists, chunks, facts, k, options or {}), chunks, k)).withColumnRenamed("group", "issue_id")
 
 
 def keyword_retrieval(plan: DataFrame, search: Search, k: int) -> DataFrame:
-    """case_id, chunk_id, score, query_type, rank: the hits of all queries of a case, merged by chunk."""
+    """case_id, chunk_id, score, query_type, rank: the hits of all queries of a case, merged by chunk.
+
+    ``search`` may be a service's; what it returns is checked for the columns of hits.
+    """
     hits = hits_of_queries(plan, search, k)
     return rank.merge_queries(hits, k).select("case_id", "chunk_id", "score", "query_type", "rank")
 
 
+class Review(NamedTuple):
+    """A case's evidence (with second_pass), verdicts, and what led to them: fused candidates, neighbours of the first places, packets by source."""
+
+    hits: DataFrame
+    checks: DataFrame
+    candidates: DataFrame
+    neighbors: DataFrame
+    packets: DataFrame
+
+
 def hybrid_retrieval(
     plan: DataFrame, facts: DataFrame, chunks: DataFrame, searches: list[Search], k: int = 10, pool: int = 50, evidence_terms: tuple[str, ...] | None = None,
     industries: dict[str, tuple[str, ...]] | None = None, expansions: dict[str, tuple[str, ...]] | None = None, options: dict | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """(hits, checks): a case's evidence after at most one second pass, and its verdict.
-
-    plan: case_id, query_id, query_pos, query_type, text. facts: as of extract_facts. chunks: what
-    boosts, fusion and the self-check read. The first pass gives issue-aware hits; cases that the
-    self-check sends on are searched again with the expanded queries besides their own, and only
-    those; all other cases keep the first pass.
+    by_issue: bool = True, issues: DataFrame | None = None, rerank_scores: Callable[[DataFrame], DataFrame] | None = None, window: int = 50, weight: float = 0.4, max_neighbors: int = 10,
+) -> Review:
+    """Evidence of every case after at most one second pass.
+
+    plan: case_id, query_id, query_pos, query_type, text, and ``initial`` where some queries serve issues only (false).
+    facts: as of extract_facts. chunks: what boosts, fusion and the self-check read. With ``by_issue``
+    every issue gets a hit of its own queries; the issues are those given, or made from the plan, and the second
+    pass keeps them. ``rerank_scores`` gives case_id, chunk_id, rerank_score of hits (case_id, chunk_id, score,
+    rank), blended over the first ``window``. Cases that the self-check sends on are searched again with the
+    expanded queries besides their own, for max(k, top_k of the second plan) hits; all others keep the first pass.
     """
     options = options or {}
     told = facts.withColumn("cross_border", F.col("cross_border_transfer"))
-
-    def passed(queries: DataFrame, n: int) -> DataFrame:
-        queries = materialize(queries, "plan")
-        lists = [materialize(hits_of_queries(queries, s, max(n, pool)), "query-hits") for s in searches]
-        whole = queries.select("case_id", F.lit("all").alias("group"), "query_id")
-        everything = materialize(fused(queries, whole, lists, chunks, told, pool, options), "fused")
-        issues = materialize(review.issue_plan(queries), "issues")
-        pools = issue_pools(queries, issues, lists, chunks, told, pool, options)
-        chosen = review.select_by_issue(issues, pools, everything, n)
-        return materialize(chosen.join(chunks.select("chunk_id", "source_id"), "chunk_id"), "evidence")
+    queries = plan if "initial" in plan.columns else plan.withColumn("initial", F.lit(True))
+    queries = materialize(queries.select("case_id", "query_id", "query_pos", "query_type", "text", "initial"), "plan")
+    issues = materialize(issues if issues is not None else review.issue_plan(queries.drop("initial")), "issues") if by_issue else None
+
+    def passed(queries: DataFrame, n: int, second: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+        depth = max(n, pool)
+        lists = [materialize(hits_of_queries(queries, s, depth), "query-hits") for s in searches]
+        whole = queries.where("initial").select("case_id", F.lit("all").alias("group"), "query_id")
+        every = materialize(candidates(whole, lists, chunks, told, depth, options), "candidates")
+        wide = max(n, window) if rerank_scores else n
+        chosen = _plain(rank.source_fuse(every, chunks, wide)).drop("group")
+        if issues is not None:
+            own = issues.join(queries.select("case_id").distinct(), "case_id", "left_semi")
+            pools = issue_pools(own, lists, chunks, told, depth, options)
+            picked = review.select_by_issue(own, pools, chosen, wide).withColumn("rank", F.col("rank") - 1)
+            scores = pools.drop("issue_id").unionByName(chosen.select(*[c for c in pools.columns if c != "issue_id"])).groupBy("case_id", "chunk_id").agg(F.max("score").alias("score"))
+            chosen = picked.join(scores, ["case_id", "chunk_id"]).join(chunks.select("chunk_id", "source_id"), "chunk_id")
+        if rerank_scores:
+            chosen = materialize(chosen, "before-rerank")
+            blended = rank.rerank(chosen.select("case_id", "chunk_id", "score", "rank"), rerank_scores(chosen), n, window, weight)
+            chosen = blended.join(chunks.select("chunk_id", "source_id"), "chunk_id")
+        chosen = materialize(chosen.where(F.col("rank") < n).select("case_id", "source_id", "chunk_id", "score", "rank").withColumn("second_pass", F.lit(second)), "evidence")
+        near = rank.expand_neighbors(chosen.where("rank < 5").select("case_id", "chunk_id", "rank"), chunks, max_neighbors).join(chunks.select("chunk_id", "source_id"), "chunk_id")
+        return chosen, _plain(every, "query_type").drop("group"), materialize(near, "neighbors")
 
     def check(hits: DataFrame) -> DataFrame:
         seen = hits.select("case_id", "chunk_id").join(chunks.select("chunk_id", "citation_role", "can_cite_clause", "applicable_region", "subject_words", "title", "text"), "chunk_id")
         more = {"evidence_terms": evidence_terms} if evidence_terms else {}
         return materialize(review.self_check(facts, seen, industries=industries, **more), "checks")
 
-    first = passed(plan, k)
-    checks = check(first)
-    second = review.second_plan(facts, checks, expansions)
-    own = plan.join(checks.where("status = 'needs_second_retrieval'").select("case_id"), "case_id", "left_semi")
-    more = second.select("case_id", F.concat(F.lit("s"), "query_id").alias("query_id"), (F.substring("query_id", 3, 9).cast("int") + 10_000).alias("query_pos"), "query_type", "text")
-    again = passed(own.select(*more.columns).unionByName(more), 2 * k)
-    kept = first.join(again.select("case_id").distinct(), "case_id", "left_anti").withColumn("second_pass", F.lit(False))
-    hits = kept.unionByName(again.withColumn("second_pass", F.lit(True)))
-    second_checks = check(again).join(again.select("case_id").distinct(), "case_id", "left_semi")
-    final = review.after_second(second_checks).unionByName(checks.join(again.select("case_id").distinct(), "case_id", "left_anti"))
-    return hits, final
+    first = passed(queries, k, False)
+    checks = check(first[0])
+    more = materialize(review.second_plan(facts, checks, expansions), "second-plan")
+    deep = max(k, more.agg(F.max("top_k")).first()[0] or 0)
+    own = queries.join(checks.where("status = 'needs_second_retrieval'").select("case_id"), "case_id", "left_semi")
+    expanded = more.select("case_id", F.concat(F.lit("s"), "query_id").alias("query_id"), (F.substring("query_id", 3, 9).cast("int") + 10_000).alias("query_pos"), "query_type", "text", F.lit(True).alias("initial"))
+    again = passed(own.unionByName(expanded), deep, True)
+    searched = own.select("case_id").distinct()
+    hits, every, near = (a.join(searched, "case_id", "left_anti").unionByName(b) for a, b in zip(first, again, strict=True))
+    second_checks = check(again[0]).join(searched, "case_id", "left_semi")
+    final = review.after_second(second_checks).unionByName(checks.join(searched, "case_id", "left_anti"))
+    return Review(hits, final, every, near, rank.source_packets(hits, every, neighbors=near))

@@ -459,16 +459,32 @@ def keyword_review(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("case_id", "chunk_id", "score", "query_type", F.col("rank").cast("long").alias("rank"))
 
 
-def hybrid_review(spark: SparkSession, d: str) -> DataFrame:
-    """Evidence of every case after keyword and semantic search, fusion, issues and at most one second pass."""
+def _hybrid(spark: SparkSession, d: str, reranked: bool = False) -> workflow.Review:
+    """Cases of the benchmark after keyword and semantic search, fusion, issues and at most one second pass; documents of neighbouring ids count as neighbours."""
     plan, facts, chunks = _review(spark, d)
+    chunks = chunks.withColumns({"prev_chunk_id": F.when(F.col("chunk_id") > 0, F.col("chunk_id") - 1), "next_chunk_id": F.col("chunk_id") + 1})
     rows = semantic_corpus(spark, d)
-    searches = [lambda q, k: retrieve.keyword_search(rows, q, k, FIELDS), lambda q, k: retrieve.semantic_search(rows, q, k)]
-    hits, checks = workflow.hybrid_retrieval(
+    searches = [retrieve.keyword_searcher(rows, FIELDS), retrieve.semantic_searcher(rows)]
+
+    def title_scores(hits: DataFrame) -> DataFrame:
+        t = rows.select("chunk_id", token_set(F.col("title")).alias("t"))
+        q = asked(spark, d).select(F.col("query_id").alias("case_id"), token_set(F.col("text")).alias("q"))
+        return hits.join(t, "chunk_id").join(q, "case_id").select("case_id", "chunk_id", F.round(jaccard(F.col("q"), F.col("t")), 6).alias("rerank_score"))
+
+    return workflow.hybrid_retrieval(
         plan, facts, chunks, searches, evidence_terms=("the ", "der "), industries={"en": ("en",)}, expansions={"数据出境": ("que la", "der und"), "en": ("the of",)},
-        options={"cross_border_terms": ("the", "der"), "industries": {"en": ("en",)}},
+        options={"cross_border_terms": ("the", "der"), "industries": {"en": ("en",)}}, rerank_scores=title_scores if reranked else None,
     )
-    return hits.join(checks.select("case_id", "status"), "case_id").select("case_id", "chunk_id", "source_id", F.col("rank").cast("long").alias("rank"), "second_pass", "status")
+
+
+def hybrid_review(spark: SparkSession, d: str) -> DataFrame:
+    r = _hybrid(spark, d)
+    return r.hits.join(r.checks.select("case_id", "status"), "case_id").select("case_id", "chunk_id", "source_id", F.col("rank").cast("long").alias("rank"), "second_pass", "status")
+
+
+def hybrid_packets(spark: SparkSession, d: str) -> DataFrame:
+    """The packets of a reranked hybrid review, flattened: every chunk of evidence once, in order."""
+    return rank.flatten_packets(_hybrid(spark, d, reranked=True).packets).select("case_id", "chunk_id", F.col("pos").cast("long").alias("pos"))
 
 
 def claim_grounding(spark: SparkSession, d: str) -> DataFrame:
@@ -588,7 +604,7 @@ _QUERIES = [
     rrf_fuse, rrf_fuse_many, metadata_boosts, source_aware_fuse, rerank_blend, fixed_window_chunks, chunk_links, neighbor_expansion, source_packets, packet_order, metadata_filter, clause_citable_filter,
     citation_roles, citation_groups, clean_control_and_space, clean_rule_hits, rule_hit_totals, dedupe_title_lines, ordered_clean_rules, html_text, line_pack_chunks, structured_chunks, heading_units,
     faq_units, case_metrics, mode_metrics, bad_case_taxonomy, span_overlap_eval, retrieval_cases, suite_cap, governance_counts, governance_report, heading_depth_hist, fact_extraction, query_plan,
-    query_plan_merge, evidence_self_check, second_queries, second_pass, review_results, keyword_review, hybrid_review, boost_summary, merged_facts, review_routing, risk_decision, claim_grounding, issue_plan, dossiers, issue_aware_select, latest_artifact, first_seen_dedup, upsert_merge, mock_embeddings,
+    query_plan_merge, evidence_self_check, second_queries, second_pass, review_results, keyword_review, hybrid_review, hybrid_packets, boost_summary, merged_facts, review_routing, risk_decision, claim_grounding, issue_plan, dossiers, issue_aware_select, latest_artifact, first_seen_dedup, upsert_merge, mock_embeddings,
     latency_by_stage, windowed_events, sliding_events, session_events, label_agreement, json_documents, file_dispatch,
 ]
 
