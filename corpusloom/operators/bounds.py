@@ -49,7 +49,7 @@ def _banded(impacts: DataFrame) -> Index:
     return Index(rows, materialize(rows.groupBy("field", "token", "band").agg(F.max("impact").alias("top"), F.count("*").alias("n")), "posting-bands"))
 
 
-def _exploded(corpus: DataFrame, fields: dict[str, str], split) -> DataFrame:
+def exploded(corpus: DataFrame, fields: dict[str, str], split) -> DataFrame:
     """chunk_id, field, t of all fields in one pass over the corpus."""
     each = F.array(*[F.struct(F.lit(name).alias("field"), split(F.coalesce(F.col(column), F.lit(""))).alias("t")) for name, column in fields.items()])
     return corpus.select("chunk_id", F.explode(each).alias("x")).select("chunk_id", "x.field", "x.t")
@@ -57,21 +57,25 @@ def _exploded(corpus: DataFrame, fields: dict[str, str], split) -> DataFrame:
 
 def share_index(corpus: DataFrame, fields: dict[str, str]) -> Index:
     """Distinct tokens of every field (name: column), all of impact 1."""
-    rows = _exploded(corpus, fields, token_set).select("field", F.explode("t").alias("token"), F.lit(0).alias("band"), "chunk_id", F.lit(1.0).alias("impact"))
+    rows = exploded(corpus, fields, token_set).select("field", F.explode("t").alias("token"), F.lit(0).alias("band"), "chunk_id", F.lit(1.0).alias("impact"))
     rows = materialize(rows, "postings")
     return Index(rows, materialize(rows.groupBy("field", "token").agg(F.count("*").alias("n")).select("field", "token", F.lit(0).alias("band"), F.lit(1.0).alias("top"), "n"), "posting-bands"))
 
 
 def bm25_index(corpus: DataFrame, fields: dict[str, str], k1: float = 1.2, b: float = 0.75) -> Index:
-    """Impacts ln(1 + (N - df + 0.5) / (df + 0.5)) * tf (k1 + 1) / (tf + k1 (1 - b + b len / avg)), each field by itself.
-
-    N counts all chunks; a field's mean length is over all chunks too.
-    """
-    listed = _exploded(corpus, fields, tokens).withColumn("len", F.size("t").cast("long"))
+    """An index of BM25 impacts, each field (name: column) by itself. N counts all chunks; a field's mean length is over all chunks too."""
+    listed = exploded(corpus, fields, tokens).withColumn("len", F.size("t").cast("long"))
     stats = listed.groupBy("field").agg(F.count("*").alias("n_docs"), F.sum("len").alias("all_len"))
     tf = listed.select("chunk_id", "field", "len", F.explode("t").alias("token")).groupBy("field", "token", "chunk_id", "len").agg(F.count("*").alias("tf"))
     tf = materialize(tf, "term-frequencies")
-    df = tf.groupBy("field", "token").agg(F.count("*").alias("df"))
+    return index_of(tf, tf.groupBy("field", "token").agg(F.count("*").alias("df")), stats, k1, b)
+
+
+def index_of(tf: DataFrame, df: DataFrame, stats: DataFrame, k1: float = 1.2, b: float = 0.75) -> Index:
+    """Impacts ln(1 + (N - df + 0.5) / (df + 0.5)) * tf (k1 + 1) / (tf + k1 (1 - b + b len / avg)).
+
+    tf: field, token, chunk_id, len, tf. df: field, token, df. stats: field, n_docs, all_len.
+    """
     rows = tf.join(df, ["field", "token"]).join(F.broadcast(stats), "field")  # a row of statistics for each field
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + k1 * (1 - b + b * F.col("len") / (F.col("all_len") / F.col("n_docs")))
