@@ -173,3 +173,32 @@ def first_per_group(rows: DataFrame, group: str, order: str, n: int) -> DataFram
     """The first n rows of each group."""
     place = Window.partitionBy(group).orderBy(order)
     return rows.withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= n).drop("_n")
+
+
+#: What case ids of a category begin with, or hold.
+CATEGORY_STARTS = {"cross_border": "cross_border", "standard_contract": "standard_contract", "automotive": "automotive", "abstain": "abstention", "sensitive": "sensitive", "classification": "classification", "financial": "classification"}
+REGIONAL = ("shanghai", "tianjin", "hainan", "beijing", "zhejiang")
+
+
+def case_category(case_id: Column) -> Column:
+    """The category that a case's id names."""
+    name = F.regexp_replace(case_id, "^eval_", "")
+    starts = [F.when(F.startswith(name, F.lit(s)), F.lit(c)) for s, c in CATEGORY_STARTS.items()]
+    return F.coalesce(*starts, F.when(name.rlike("|".join(REGIONAL)), F.lit("regional")), F.lit("other"))
+
+
+def radar_dimensions(modes: DataFrame) -> DataFrame:
+    """mode, dimension, value (0 to 1) of mode metrics (means of recall@3, recall@5, mrr@10 and abstention, n_cases, n_violations, n_bad)."""
+    zero = lambda c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))
+    free = lambda c: F.when(F.col("n_cases") > 0, 1 - F.col(c) / F.col("n_cases")).otherwise(F.lit(1.0))
+    values = {"r3": zero("mean_recall_at_3"), "r5": zero("mean_recall_at_5"), "mrr": zero("mean_mrr_at_10"), "abst": zero("abstention_accuracy"), "cite": free("n_violations"), "good": free("n_bad")}
+    return modes.select("mode", F.explode(F.array(*[F.struct(F.lit(k).alias("dimension"), v.alias("value")) for k, v in values.items()])).alias("d")).select("mode", "d.dimension", "d.value")
+
+
+def compared_arms(rows: DataFrame, base: str, other: str, metrics: list[str]) -> DataFrame:
+    """category, metric, n, base, other, change: means by category of the cases that both arms (mode) have with a value."""
+    each = rows.withColumn("category", case_category(F.col("case_id"))).select("case_id", "category", "mode", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("m"))
+    each = each.select("case_id", "category", "mode", "m.metric", "m.value").where(F.col("mode").isin(base, other) & F.col("value").isNotNull())
+    value = lambda m: F.max(F.when(F.col("mode") == m, F.col("value")))
+    both = each.groupBy("case_id", "category", "metric").agg(value(base).alias("base"), value(other).alias("other")).where("base is not null and other is not null")
+    return both.groupBy("category", "metric").agg(F.count("*").alias("n"), F.round(F.avg("base"), 4).alias("base"), F.round(F.avg("other"), 4).alias("other"), F.round(F.avg(F.col("other") - F.col("base")), 4).alias("change"))

@@ -129,3 +129,19 @@ def cosine_search(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4
     hits = vector_blocks(vectors, block).crossJoin(asked).mapInPandas(run, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
+
+
+def project_hits(rows: DataFrame, retriever: str) -> DataFrame:
+    """Hits of index rows (with query_id, query_type, score, rank) as they are handed on; columns that an index lacks, or leaves null, have their defaults."""
+    given = lambda c, kind: F.col(c).cast(kind) if c in rows.columns else F.lit(None).cast(kind)
+    must = ("chunk_id", "doc_id", "source_id", "title", "text")
+    for c in must:
+        if c not in rows.columns:
+            raise ValueError(f"index rows have no {c}")
+    needed = [F.coalesce(F.col(c).cast("string"), F.raise_error(F.lit(f"an index row has no {c}")).cast("string")).alias(c) for c in must]
+    return rows.select(
+        "query_id", *needed, given("score", "double").alias("score"), given("rank", "int").alias("rank"), F.lit(retriever).alias("retriever"),
+        F.coalesce(given("citation_role", "string"), F.lit("interpretation_auxiliary")).alias("citation_role"), F.coalesce(given("can_cite_clause", "boolean"), F.lit(False)).alias("can_cite_clause"),
+        F.coalesce(given("source_url", "string"), F.lit("")).alias("source_url"), given("query_type", "string").alias("matched_query_type"), given("article_no", "string").alias("article_no"),
+        given("citation_label", "string").alias("citation_label"), F.coalesce(given("heading_path", "array<string>"), F.array().cast("array<string>")).alias("heading_path"),
+    )

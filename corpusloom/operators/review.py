@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import rules
-from corpusloom.functions.text import contains_any, first_label, labels_of, token_set
+from corpusloom.functions.text import contains_any, first_label, labels_of, strip_ws, token_set
+from corpusloom.operators import tables
 
 
 @dataclass(frozen=True)
@@ -409,3 +410,38 @@ def apply_patch(claims: DataFrame, removed: DataFrame, replaced: DataFrame, adde
     left = claims.join(removed.select("case_id", "claim_pos"), ["case_id", "claim_pos"], "left_anti")
     new = left.join(replaced.select("case_id", "claim_pos", F.col("claim").alias("_c")), ["case_id", "claim_pos"], "left").select("case_id", "claim_pos", F.coalesce("_c", "claim").alias("claim"))
     return new.unionByName(added.select("case_id", "claim_pos", "claim"))
+
+
+#: Issues of an analyst that are kept, and research queries of each.
+ANALYST_ISSUES, ANALYST_QUERIES = 4, 3
+
+
+def analysed(plan: DataFrame, drafts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(queries, issues) of cases after an analyst's draft: new queries with ids of their own, and the issues with the ids that serve them.
+
+    plan: case_id, query_id, query_pos, query_type, text, the queries so far. drafts: case_id, issues (array of
+    struct question, query_types, research_queries, priority). Of the first issues and the first queries of each,
+    those count whose text, by case, no query before has; ``initial`` is false for them. An issue left without
+    a query takes the first of the plan's of its types. Cases without a draft get the issues made from their plan.
+    """
+    kept = drafts.select("case_id", F.posexplode(F.slice("issues", 1, ANALYST_ISSUES)).alias("issue_pos", "i"))
+    kept = kept.select("case_id", (F.col("issue_pos") + 1).alias("issue_pos"), "i.*")
+    asked = kept.select("case_id", "issue_pos", F.coalesce(F.try_element_at("query_types", F.lit(1)), F.lit("legal_issue")).alias("query_type"), F.posexplode(F.slice("research_queries", 1, ANALYST_QUERIES)).alias("at", "text"))
+    asked = asked.withColumn("text", strip_ws(F.col("text"))).where("text <> ''").withColumn("key", F.lower("text"))
+    known = plan.select("case_id", F.lower(strip_ws(F.col("text"))).alias("key")).distinct()
+    fresh = tables.first_seen(asked.join(known, ["case_id", "key"], "left_anti"), ["case_id", "key"], ["issue_pos", "at"])
+    counts = plan.groupBy("case_id").agg(F.count("*").alias("n"), F.max("query_pos").alias("last"))
+    place = F.row_number().over(Window.partitionBy("case_id").orderBy("issue_pos", "at"))
+    new = fresh.join(counts, "case_id").withColumn("_p", place)
+    new = new.select("case_id", "issue_pos", F.concat(F.lit("q_"), (F.col("n") + F.col("_p")).cast("string")).alias("query_id"), (F.col("last") + F.col("_p")).cast("int").alias("query_pos"), "query_type", "text")
+    queries = plan.select("case_id", "query_id", "query_pos", "query_type", "text").withColumn("initial", F.lit(True)).unionByName(new.drop("issue_pos").withColumn("initial", F.lit(False)))
+    ids = lambda rows: F.transform(F.array_sort(F.collect_list(F.struct("query_pos", "query_id"))), lambda x: x["query_id"])
+    own = new.groupBy("case_id", "issue_pos").agg(ids(new).alias("own"))
+    of_type = kept.select("case_id", "issue_pos", F.explode("query_types").alias("query_type")).distinct().join(plan, ["case_id", "query_type"])
+    spare = of_type.groupBy("case_id", "issue_pos").agg(F.slice(ids(of_type), 1, ANALYST_QUERIES).alias("spare"))
+    issues = kept.join(own, ["case_id", "issue_pos"], "left").join(spare, ["case_id", "issue_pos"], "left")
+    issues = issues.select(
+        "case_id", F.concat(F.lit("issue_"), F.col("issue_pos").cast("string")).alias("issue_id"), "issue_pos", "question",
+        F.coalesce("own", "spare", F.array().cast("array<string>")).alias("query_ids"), "query_types", "priority",
+    )
+    return queries, issues.unionByName(issue_plan(plan.join(kept.select("case_id").distinct(), "case_id", "left_anti")).select(*issues.columns))
