@@ -125,8 +125,23 @@ def _entities() -> str:
     return json.dumps({name[:-1]: by for name, by in html5.items() if name.endswith(";")})
 
 
+#: Entities that nearly all texts do with; the ampersand is last, so that nothing is undone twice.
+_FREQUENT = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "#39": "'", "nbsp": "\u00a0", "amp": "&"}
+_OTHER = _ENTITY.replace("&(?:", "&(?!(?:" + "|".join(_FREQUENT) + ");)(?:", 1)
+
+
 def unescape_html(text: Column) -> Column:
-    """Named and numeric entities (ended by a semicolon) undone; unknown names stay."""
+    """Named and numeric entities (ended by a semicolon) undone; unknown names stay.
+
+    Texts with none but the frequent ones take a few plain replacements, others are taken apart.
+    """
+    plain = text
+    for name, by in _FREQUENT.items():
+        plain = F.replace(plain, F.lit(f"&{name};"), F.lit(by))
+    return F.when(~F.contains(text, F.lit("&")), text).when(text.rlike(_OTHER), _unescaped(text)).otherwise(plain)
+
+
+def _unescaped(text: Column) -> Column:
     table = F.from_json(F.lit(_entities()), "map<string,string>")
 
     def undone(entity: Column) -> Column:
@@ -141,7 +156,7 @@ def unescape_html(text: Column) -> Column:
         gaps = F.split(text, _ENTITY, -1)
         return F.array_join(F.flatten(F.zip_with(gaps, F.transform(found, undone), lambda g, e: F.array(g, F.coalesce(e, F.lit(""))))), "")
 
-    return F.when(text.rlike(_ENTITY), let(F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(0)), joined)).otherwise(text)
+    return let(F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(0)), joined)
 
 
 def strip_tags(text: Column) -> Column:

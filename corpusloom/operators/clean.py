@@ -43,8 +43,19 @@ def simple_clean(text: Column) -> Column:
     return F.concat(F.trim(t, F.lit(" \n\t\r")), F.lit("\n"))
 
 
+#: How a line that some mechanical rule drops begins, or what it holds: one look at a line instead of one for each rule.
+MAY_BE_MECHANICAL = (
+    r"(?i)^(?:<!--|\||number of|本文档|[#\[\]()*!_]|\d{4}|technical|cyber|维化|术委|[会委]$|title:|url source|markdown|当前|关闭|中央|中华|承办|技术|京icp|produced|分享|打开|使用|https?:|www\.|tc260|cac\.|flk\.)"
+    r"|[.·…．]{4}"
+)
+
+
 def mechanical_rule(line: Column) -> Column:
     """Name of the first rule that drops the (stripped) line, or null."""
+    return F.when(line.rlike(MAY_BE_MECHANICAL), _first_rule(line))
+
+
+def _first_rule(line: Column) -> Column:
     url = F.trim(line, F.lit("[]()")).rlike(rules.SOURCE_URL)
     found = []
     for name, pattern in rules.MECHANICAL.items():
@@ -174,16 +185,38 @@ def _counts(*names: str) -> T.StructType:
     return T.StructType([T.StructField("text", T.StringType()), *[T.StructField(n, T.IntegerType()) for n in names]])
 
 
+#: What a text has to hold for the rules that follow lines to find anything: a contents heading; spaced letters or a line of a number.
+HAS_CONTENTS = r"(?i)目[\s#]*[录次]|" + r"[\s#]*".join("contents")
+HAS_JOINS = r"[a-zA-Z](?:\s[a-zA-Z]){4}|(?m:^\s*\d+(?:\.\d+){0,4}\s*$)"
+
+
 @F.pandas_udf(_counts("contents_table_lines"))
-def without_contents(text: pd.Series) -> pd.DataFrame:
-    rows = [remove_contents(t.split("\n")) for t in text]
+def _without_contents(text: pd.Series) -> pd.DataFrame:
+    rows = [([], 0) if t is None else remove_contents(t.split("\n")) for t in text]
     return pd.DataFrame({"text": ["\n".join(x) for x, _ in rows], "contents_table_lines": [n for _, n in rows]})
 
 
+def without_contents(text: Column) -> Column:
+    """Struct of a text without contents blocks, and the lines that went; only texts with such a heading leave the JVM."""
+    met = text.rlike(HAS_CONTENTS)
+    found = _without_contents(F.when(met, text))
+    return F.when(met, found).otherwise(F.struct(text.alias("text"), F.lit(0).alias("contents_table_lines")))
+
+
+def joined_lines(text: Column) -> Column:
+    """Struct of a text with spaced letters and isolated numbers joined, and the counts; only texts that hold such leave the JVM."""
+    met = text.rlike(HAS_JOINS)
+    found = _joined_lines(F.when(met, text))
+    return F.when(met, found).otherwise(F.struct(text.alias("text"), F.lit(0).alias("spaced_latin"), F.lit(0).alias("merged_isolated_numbers")))
+
+
 @F.pandas_udf(_counts("spaced_latin", "merged_isolated_numbers"))
-def joined_lines(text: pd.Series) -> pd.DataFrame:
+def _joined_lines(text: pd.Series) -> pd.DataFrame:
     rows = []
     for t in text:
+        if t is None:
+            rows.append((None, 0, 0))
+            continue
         spaced = [join_spaced_letters(x) for x in t.split("\n")]
         merged, n = merge_numbers([x for x, _ in spaced])
         rows.append(("\n".join(merged), sum(k for _, k in spaced), n))
@@ -199,7 +232,7 @@ def clean_documents(docs: DataFrame, title: Column) -> DataFrame:
     t = unify_newlines(F.coalesce(F.col("text"), F.lit("")))
     own = docs.withColumn("_t", t).withColumn("_p", drop_controls(F.col("_t")))
     own = own.withColumn("_d", drop_titles(drop_trailing_blanks(F.col("_p")), F.coalesce(title, F.lit(""))))
-    own = own.withColumn("_c", without_contents("_d.text")).withColumn("_m", drop_lines(F.col("_c.text"))).withColumn("_j", joined_lines("_m.text"))
+    own = own.withColumn("_c", without_contents(F.col("_d.text"))).withColumn("_m", drop_lines(F.col("_c.text"))).withColumn("_j", joined_lines(F.col("_m.text")))
     own = own.withColumn("_s", strip_ws(F.col("_j.text")))
     counts = {
         "control_chars": F.regexp_count("_t", F.lit(CONTROL)),

@@ -51,3 +51,25 @@ def test_documents(spark):
         "control_chars": 1, "trailing_space": 1, "duplicate_title": 1, "contents_table_lines": 2, "image_placeholder_lines": 1, "spaced_latin": 1, "merged_isolated_numbers": 1, "blank_lines": 1,
     }
     assert rows[2].text == "\n" and rows[2].cleaning_rule_hits == {}
+
+
+def test_every_mechanical_line_passes_the_first_look(spark):
+    lines = [
+        "<!-- image -->", "|---|", "Number of Pages: 3", "本文档可从以下网址获得：", "[x tc260.org.cn y](z)", "2021年 3月", "TECHNICAL COMMITTEE", "Cyber", "维化技术", "术委员会", "会", "委", "范围.......12", "a······IV", "Title: x", "URL Source: y",
+        "Markdown Content:", "2021年03月04日 星期一", "[设为首页] [加入收藏]", "[搜索](x", "* ![Image 1", "![Image 2", "[![Image 3", "* ### [首页", "### 首页", "* [首页]", "当前位置：a", "[](b", "[【打印】]", "关闭", "中央网络安全和信息化委员会办公室", "中华人民共和国国家互联网信息办公室 © 版权所有",
+        "承办：x", "技术支持：y", "京ICP备1号", "[京公网安备1", "Produced By CMS", "分享到微信", "打开微信", "使用“扫一扫”", "*  ###### 微信", "_◆_◆", "www.cac.gov.cn", "https://flk.npc.gov.cn/x", "(tc260.org.cn)", "[cac.gov.cn](x)", "flk.npc.gov.cn", "plain line", "第一条 文", "Contents",
+    ]
+    df = spark.createDataFrame([(x,) for x in lines], "x string").select("x", C.mechanical_rule(F.col("x")).alias("a"), C._first_rule(F.col("x")).alias("b"))
+    rows = df.collect()
+    assert all(r.a == r.b for r in rows) and sum(r.a is not None for r in rows) >= len(lines) - 5
+
+
+def test_guards_let_through_what_the_rules_find(spark):
+    texts = ["# 目 录\n第一章 x\n第一章 x\nbody", "Table of Contents\nA.....1\nB.....2\n1 范围", "t e x t x here", "3\n\ntitle", "1.2\n## head", "  4  \nx", "nothing here", "C O N T E N T S\nA ..... 1\nx", ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", "t", C.without_contents(F.col("t")).alias("c"), C.joined_lines(F.col("t")).alias("j"))
+    for r in df.collect():
+        lines, n = C.remove_contents(r.t.split("\n"))
+        assert (r.c.text, r.c.contents_table_lines) == ("\n".join(lines), n)
+        spaced = [C.join_spaced_letters(x) for x in r.t.split("\n")]
+        merged, k = C.merge_numbers([x for x, _ in spaced])
+        assert (r.j.text, r.j.spaced_latin, r.j.merged_isolated_numbers) == ("\n".join(merged), sum(m for _, m in spaced), k)
