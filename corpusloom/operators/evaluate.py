@@ -36,10 +36,6 @@ def first_seen(hits: DataFrame, key: str) -> DataFrame:
     return left.withColumn("rank", F.row_number().over(Window.partitionBy("case_id").orderBy("rank")) - 1)
 
 
-def duplicates_at(hits: DataFrame, k: int) -> DataFrame:
-    return hits.where(F.col("rank") < k).groupBy("case_id").agg((F.count("*") - F.count_distinct("source_id")).alias("duplicate_sources_at_10"))
-
-
 def by_source(hits: DataFrame) -> DataFrame:
     """case_id, source_id, r (best rank), u (best rank when repeated chunks don't count), p (place among the case's sources), n10 (hits among the first ten).
 

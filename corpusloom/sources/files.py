@@ -105,9 +105,9 @@ def usable_uploads(files: DataFrame) -> DataFrame:
 
 
 def bulk_lines(chunks: DataFrame, index: str) -> DataFrame:
-    """An action line and a document line per chunk, in order of chunk_id."""
+    """An action line and a document line per chunk, one after the other."""
     action = F.to_json(F.struct(F.struct(F.lit(index).alias("_index"), F.col("chunk_id").alias("_id")).alias("index")))
-    return chunks.select("chunk_id", F.posexplode(F.array(action, F.to_json(F.struct("*")))).alias("part", "line")).orderBy("chunk_id", "part").select("line")
+    return chunks.select("chunk_id", F.posexplode(F.array(action, F.to_json(F.struct("*")))).alias("part", "line")).select("line")
 
 
 def vector_rows(chunks: DataFrame, vectors: DataFrame) -> DataFrame:

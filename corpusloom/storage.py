@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -44,10 +45,20 @@ def shared_dir(spark: SparkSession) -> str:
 def folder(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder, which ``release`` deletes like a table."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    app = spark.sparkContext.applicationId
+    if app not in _MADE:
+        atexit.register(_at_end, spark, app)
+    _MADE.setdefault(app, []).append(path)
     return path
 
 
+def _at_end(spark: SparkSession, app: str) -> None:
+    """Delete what an application has left, if its session still runs when the program ends."""
+    jsc = spark.sparkContext._jsc
+    if jsc is not None and spark.sparkContext.applicationId == app:
+        release(spark)
+
+
 def materialize(df: DataFrame, label: str = "table", compression: str = "snappy") -> DataFrame:
     """Write a table to the shared folder and read it back.
 
