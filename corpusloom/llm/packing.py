@@ -45,14 +45,15 @@ class PieceIds(dict):
     a text are the ids of its parts cut there. Two generations of at most ``most`` parts bound it:
     when the young one is full it becomes the old one, and parts met again move back.
 
-    Parts not kept are encoded by the same vocabulary as ranks (equal ids, several times faster a
-    part); a part with a special token goes to the tokenizer itself, which is not read before.
+    Where the same vocabulary is given as ranks, a text without special tokens is encoded whole by it
+    (equal ids, and less work than to look up its parts). In other texts a part with a special token
+    goes to the tokenizer itself, which is not read before.
     """
 
     def __init__(self, path: str, ranks_path: str | None = None, most: int = 100_000, longest: int = 48):
         super().__init__()
         self.path, self.specials = path, _added_tokens(path)
-        self.ordinary = _ranked(ranks_path) if ranks_path else None
+        self.ranks = _ranked(ranks_path) if ranks_path else None
         self.most, self.longest, self.old = most, longest, {}
 
     @cached_property
@@ -73,13 +74,15 @@ class PieceIds(dict):
         return ids
 
     def encode(self, part: str) -> list[int]:
-        if self.ordinary is None or any(s in part for s in self.specials):
+        if self.ranks is None or any(s in part for s in self.specials):
             return self.tokenizer.encode(part, add_special_tokens=False).ids
-        return self.ordinary(part)
+        return self.ranks.encode_ordinary(part)
 
     def of(self, text: str) -> bytes:
         if not text:
             return b""
+        if self.ranks is not None and not any(s in text for s in self.specials):
+            return self.ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
         if _RAGGED.search(text):
             return b"".join([self[p] for p in _BEFORE_WORD.split(text) if p])
         head, *rest = text.split(" ")
@@ -105,7 +108,7 @@ def _ranked(path: str):
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, capacity: int = 2048, end_id: int = 1) -> DataFrame:

@@ -19,6 +19,14 @@ def test_ids_equal_the_tokenizer(ranks):
         assert np.frombuffer(ids.of(t), dtype="<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_a_text_without_special_tokens_is_encoded_whole():
+    ids, tok = P.PieceIds(PATH, RANKS), Tokenizer.from_file(PATH)
+    text = "words of  a text\n" * 50
+    assert np.frombuffer(ids.of(text), dtype="<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert not ids  # no part was looked up
+    assert np.frombuffer(ids.of(text + "<|endoftext|> x"), dtype="<u4").tolist() == tok.encode(text + "<|endoftext|> x", add_special_tokens=False).ids
+
+
 def test_knapsack_against_brute_force():
     sizes, values = np.array([3, 4, 5]), np.array([4.0, 5.5, 7.0])
     best = max(4 * a + 5.5 * b + 7 * c for a in range(6) for b in range(5) for c in range(4) if 3 * a + 4 * b + 5 * c <= 13)
