@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import rules
-from corpusloom.functions.text import normalize_text
+from corpusloom.functions.text import composed_tokens, normalize_text
+from corpusloom.operators.scan import normalized
 from corpusloom.storage import materialize
 
 #: Characters of queries that an automaton in every task may hold (some 100 bytes each).
@@ -26,18 +27,18 @@ def phrase_pairs(corpus: DataFrame, queries: DataFrame, column: str, most: int =
     """query_id, chunk_id of the texts that hold the whole normalised query of PHRASE_LEAST characters or more."""
     asked = queries.select("query_id", normalize_text(F.col("text")).alias("q")).where(F.length("q") >= rules.PHRASE_LEAST)
     asked = materialize(asked.dropDuplicates(), "phrases")
-    texts = corpus.select("chunk_id", normalize_text(F.coalesce(F.col(column), F.lit(""))).alias("body"))
+    composed = composed_tokens(F.coalesce(F.col(column), F.lit("")))
     distinct = asked.select("q").distinct()
     size = distinct.agg(F.sum(F.length("q"))).first()[0] or 0
     if size <= most:
-        found = by_automaton(texts, [r.q for r in distinct.collect()])
+        found = by_automaton(corpus.select("chunk_id", composed.cast("binary").alias("body")), [r.q for r in distinct.collect()])
     else:
-        found = by_rare_runs(texts, distinct)
+        found = by_rare_runs(corpus.select("chunk_id", normalize_text(F.coalesce(F.col(column), F.lit(""))).alias("body")), distinct)
     return found.join(asked, "q").select("query_id", "chunk_id")
 
 
 def by_automaton(texts: DataFrame, phrases: list[str]) -> DataFrame:
-    """chunk_id, q of the texts (chunk_id, body) that hold a phrase."""
+    """chunk_id, q of the texts (chunk_id, body: composed, as UTF-8) that hold a phrase when normalised."""
     kind = texts.schema["chunk_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,13 +51,13 @@ def by_automaton(texts: DataFrame, phrases: list[str]) -> DataFrame:
         for batch in batches:
             rows, told = [], []
             for i, body in enumerate(batch.column(1)):
-                for p in {p for _, p in automaton.iter(body.as_py())}:
+                for p in {p for _, p in automaton.iter(normalized(body.as_py()))}:
                     rows.append(i)
                     told.append(phrases[p])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(told, pa.string())], ["chunk_id", "q"])
 
     if not phrases:
-        return texts.select("chunk_id", F.col("body").alias("q")).where(F.lit(False))
+        return texts.select("chunk_id", F.col("body").cast("string").alias("q")).where(F.lit(False))
     return texts.mapInArrow(run, f"chunk_id {kind}, q string")
 
 
