@@ -43,3 +43,8 @@ def one_or_fail(rows: DataFrame, condition: Column, what: str) -> DataFrame:
     if found.isEmpty():
         raise KeyError(f"{what} not found")
     return found
+
+
+def among(rows: DataFrame, named: DataFrame, key: str) -> DataFrame:
+    """The rows whose key another table names, looked out before anything is made of their texts."""
+    return rows.join(named.select(key).distinct(), key, "left_semi")

@@ -8,12 +8,13 @@ query_id, chunk_id, score: keyword search, or a vector search of a service.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.operators import rank, review
+from corpusloom.operators import rank, review, tables
 from corpusloom.storage import materialize
 
 Search = Callable[[DataFrame, int], DataFrame]
@@ -83,8 +84,8 @@ def hybrid_retrieval(
     """Evidence of every case after at most one second pass.
 
     plan: case_id, query_id, query_pos, query_type, text, and ``initial`` where some queries serve issues only (false).
-    facts: as of extract_facts. chunks: what boosts, fusion and the self-check read. With ``by_issue``
-    every issue gets a hit of its own queries; the issues are those given, or made from the plan, and the second
+    facts: as of extract_facts. chunks: what boosts, fusion and the self-check read; all but ``text`` is made, and
+    written, only of those that searches find. With ``by_issue`` every issue gets a hit of its own queries; the issues are those given, or made from the plan, and the second
     pass keeps them. ``rerank_scores`` gives case_id, chunk_id, rerank_score of hits (case_id, chunk_id, score,
     rank), blended over the first ``window``. Cases that the self-check sends on are searched again with the
     expanded queries besides their own, for max(k, top_k of the second plan) hits; all others keep the first pass.
@@ -98,26 +99,29 @@ def hybrid_retrieval(
     def passed(queries: DataFrame, n: int, second: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
         depth = max(n, pool)
         lists = [materialize(hits_of_queries(queries, s, depth), "query-hits") for s in searches]
+        met = reduce(DataFrame.unionByName, [hits.select("chunk_id") for hits in lists])
+        own_chunks = materialize(tables.among(chunks.drop("text"), met, "chunk_id"), "chunks-met")
         whole = queries.where("initial").select("case_id", F.lit("all").alias("group"), "query_id")
-        every = materialize(candidates(whole, lists, chunks, told, depth, options), "candidates")
+        every = materialize(candidates(whole, lists, own_chunks, told, depth, options), "candidates")
         wide = max(n, window) if rerank_scores else n
-        chosen = _plain(rank.source_fuse(every, chunks, wide)).drop("group")
+        chosen = _plain(rank.source_fuse(every, own_chunks, wide)).drop("group")
         if issues is not None:
             own = issues.join(queries.select("case_id").distinct(), "case_id", "left_semi")
-            pools = issue_pools(own, lists, chunks, told, depth, options)
+            pools = materialize(issue_pools(own, lists, own_chunks, told, depth, options), "issue-pools")
+            chosen = materialize(chosen, "by-source")
             picked = review.select_by_issue(own, pools, chosen, wide).withColumn("rank", F.col("rank") - 1)
             scores = pools.drop("issue_id").unionByName(chosen.select(*[c for c in pools.columns if c != "issue_id"])).groupBy("case_id", "chunk_id").agg(F.max("score").alias("score"))
-            chosen = picked.join(scores, ["case_id", "chunk_id"]).join(chunks.select("chunk_id", "source_id"), "chunk_id")
+            chosen = picked.join(scores, ["case_id", "chunk_id"]).join(own_chunks.select("chunk_id", "source_id"), "chunk_id")
         if rerank_scores:
             chosen = materialize(chosen, "before-rerank")
             blended = rank.rerank(chosen.select("case_id", "chunk_id", "score", "rank"), rerank_scores(chosen), n, window, weight)
-            chosen = blended.join(chunks.select("chunk_id", "source_id"), "chunk_id")
+            chosen = blended.join(own_chunks.select("chunk_id", "source_id"), "chunk_id")
         chosen = materialize(chosen.where(F.col("rank") < n).select("case_id", "source_id", "chunk_id", "score", "rank").withColumn("second_pass", F.lit(second)), "evidence")
         near = rank.expand_neighbors(chosen.where("rank < 5").select("case_id", "chunk_id", "rank"), chunks, max_neighbors).join(chunks.select("chunk_id", "source_id"), "chunk_id")
         return chosen, _plain(every, "query_type").drop("group"), materialize(near, "neighbors")
 
     def check(hits: DataFrame) -> DataFrame:
-        seen = hits.select("case_id", "chunk_id").join(chunks.select("chunk_id", "citation_role", "can_cite_clause", "applicable_region", "subject_words", "title", "text"), "chunk_id")
+        seen = hits.select("case_id", "chunk_id").join(tables.among(chunks, hits, "chunk_id").select("chunk_id", "citation_role", "can_cite_clause", "applicable_region", "subject_words", "title", "text"), "chunk_id")
         more = {"evidence_terms": evidence_terms} if evidence_terms else {}
         return materialize(review.self_check(facts, seen, industries=industries, **more), "checks")
 

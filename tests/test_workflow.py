@@ -97,3 +97,17 @@ def test_rerank_neighbours_and_packets(spark, chunks):
 def test_first_issue_plan_is_the_one_of_the_plan(spark):
     own = {r.issue_id: r.query_ids for r in review.issue_plan(plan_of(spark)).where("case_id = 1").collect()}
     assert sorted(sum(own.values(), [])) == ["q_1", "q_2", "q_3"]
+
+
+def test_only_chunks_that_searches_found_are_worked_on(spark, chunks):
+    """What is made of texts is made of the chunks that some search found, not of the corpus."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(tokens):
+        seen.add(1)
+        return tokens
+
+    more = spark.range(200, 3000).select(F.col("id").alias("chunk_id"))
+    wide = chunks.unionByName(more, allowMissingColumns=True).repartition(2).withColumn("tokens", F.udf(counted, "array<string>")("tokens"))
+    r, _ = run(spark, wide, 0, k=4)
+    assert r.hits.count() == 8 and 0 < seen.value < 500
