@@ -18,6 +18,7 @@ from corpusloom.operators import rank, review, tables
 from corpusloom.storage import materialize
 
 Search = Callable[[DataFrame, int], DataFrame]
+Chunks = Callable[[DataFrame], DataFrame]
 
 
 def hits_of_queries(plan: DataFrame, search: Search, k: int) -> DataFrame:
@@ -77,20 +78,21 @@ class Review(NamedTuple):
 
 
 def hybrid_retrieval(
-    plan: DataFrame, facts: DataFrame, chunks: DataFrame, searches: list[Search], k: int = 10, pool: int = 50, evidence_terms: tuple[str, ...] | None = None,
+    plan: DataFrame, facts: DataFrame, chunks: DataFrame | Chunks, searches: list[Search], k: int = 10, pool: int = 50, evidence_terms: tuple[str, ...] | None = None,
     industries: dict[str, tuple[str, ...]] | None = None, expansions: dict[str, tuple[str, ...]] | None = None, options: dict | None = None,
     by_issue: bool = True, issues: DataFrame | None = None, rerank_scores: Callable[[DataFrame], DataFrame] | None = None, window: int = 50, weight: float = 0.4, max_neighbors: int = 10,
 ) -> Review:
     """Evidence of every case after at most one second pass.
 
     plan: case_id, query_id, query_pos, query_type, text, and ``initial`` where some queries serve issues only (false).
-    facts: as of extract_facts. chunks: what boosts, fusion and the self-check read; all but ``text`` is made, and
-    written, only of those that searches find. With ``by_issue`` every issue gets a hit of its own queries; the issues are those given, or made from the plan, and the second
+    facts: as of extract_facts. chunks: what boosts, fusion and the self-check read, or a function that makes it of
+    the chunks a table names (chunk_id); what searches find is written, but for ``text``. With ``by_issue`` every issue gets a hit of its own queries; the issues are those given, or made from the plan, and the second
     pass keeps them. ``rerank_scores`` gives case_id, chunk_id, rerank_score of hits (case_id, chunk_id, score,
     rank), blended over the first ``window``. Cases that the self-check sends on are searched again with the
     expanded queries besides their own, for max(k, top_k of the second plan) hits; all others keep the first pass.
     """
     options = options or {}
+    of: Chunks = chunks if callable(chunks) else lambda named: tables.among(chunks, named, "chunk_id")
     told = facts.withColumn("cross_border", F.col("cross_border_transfer"))
     queries = plan if "initial" in plan.columns else plan.withColumn("initial", F.lit(True))
     queries = materialize(queries.select("case_id", "query_id", "query_pos", "query_type", "text", "initial"), "plan")
@@ -100,7 +102,7 @@ def hybrid_retrieval(
         depth = max(n, pool)
         lists = [materialize(hits_of_queries(queries, s, depth), "query-hits") for s in searches]
         met = reduce(DataFrame.unionByName, [hits.select("chunk_id") for hits in lists])
-        own_chunks = materialize(tables.among(chunks.drop("text"), met, "chunk_id"), "chunks-met")
+        own_chunks = materialize(of(met).drop("text"), "chunks-met")
         whole = queries.where("initial").select("case_id", F.lit("all").alias("group"), "query_id")
         every = materialize(candidates(whole, lists, own_chunks, told, depth, options), "candidates")
         wide = max(n, window) if rerank_scores else n
@@ -117,11 +119,13 @@ def hybrid_retrieval(
             blended = rank.rerank(chosen.select("case_id", "chunk_id", "score", "rank"), rerank_scores(chosen), n, window, weight)
             chosen = blended.join(own_chunks.select("chunk_id", "source_id"), "chunk_id")
         chosen = materialize(chosen.where(F.col("rank") < n).select("case_id", "source_id", "chunk_id", "score", "rank").withColumn("second_pass", F.lit(second)), "evidence")
-        near = rank.expand_neighbors(chosen.where("rank < 5").select("case_id", "chunk_id", "rank"), chunks, max_neighbors).join(chunks.select("chunk_id", "source_id"), "chunk_id")
+        top = chosen.where("rank < 5").select("case_id", "chunk_id", "rank")
+        near = rank.expand_neighbors(top, of(top), max_neighbors)
+        near = near.join(of(near).select("chunk_id", "source_id"), "chunk_id")
         return chosen, _plain(every, "query_type").drop("group"), materialize(near, "neighbors")
 
     def check(hits: DataFrame) -> DataFrame:
-        seen = hits.select("case_id", "chunk_id").join(tables.among(chunks, hits, "chunk_id").select("chunk_id", "citation_role", "can_cite_clause", "applicable_region", "subject_words", "title", "text"), "chunk_id")
+        seen = hits.select("case_id", "chunk_id").join(of(hits).select("chunk_id", "citation_role", "can_cite_clause", "applicable_region", "subject_words", "title", "text"), "chunk_id")
         more = {"evidence_terms": evidence_terms} if evidence_terms else {}
         return materialize(review.self_check(facts, seen, industries=industries, **more), "checks")
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import rank, review, workflow
+from corpusloom.operators import rank, review, tables, workflow
 
 FACTS = "case_id long, cross_border_transfer boolean, region string, industry string, data_types array<string>, overseas_recipient string, missing_information array<string>"
 
@@ -108,6 +108,7 @@ def test_only_chunks_that_searches_found_are_worked_on(spark, chunks):
         return tokens
 
     more = spark.range(200, 3000).select(F.col("id").alias("chunk_id"))
-    wide = chunks.unionByName(more, allowMissingColumns=True).repartition(2).withColumn("tokens", F.udf(counted, "array<string>")("tokens"))
-    r, _ = run(spark, wide, 0, k=4)
+    wide = chunks.unionByName(more, allowMissingColumns=True).repartition(2)
+    of = lambda named: tables.among(wide, named, "chunk_id").withColumn("tokens", F.udf(counted, "array<string>")("tokens"))
+    r, _ = run(spark, of, 0, k=4)
     assert r.hits.count() == 8 and 0 < seen.value < 500
